@@ -1,0 +1,49 @@
+"""Shared storage and table helpers of the training-data operators."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, read by Spark so that any store works."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``).
+
+    A folder of our own is set only where the session names none, as in tests.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/stratolith-{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again.
+
+    This cuts the lineage: a lost executor costs the running tasks only, and
+    Python stages before the cut don't run twice.
+    """
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def own(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns, under the names the operators use inside.
+
+    Extra columns of the input, whatever their names, can't clash after this.
+    """
+    return df.select(*[df[column].alias(name) for name, column in columns.items()])
