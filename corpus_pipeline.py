@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolith.llm import quality, simhash
+from stratolith.llm import decontaminate, packing, quality, secrets, simhash
+from stratolith.llm.queries import tokenizer_path
 from stratolith.llm.shared import cut, table
 
 
@@ -20,9 +21,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts replaced by a mark and n_chars counted anew."""
+    found = secrets.scan(docs, redact=True)
+    changed = F.size("spans") > 0
+    return found.withColumn("n_chars", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).withColumnRenamed("redacted", "text").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every token of every document lies in the training sequences."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality classifier", drop_low_quality),
     ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("packing", pack_sequences),
 ]
 
 #: The stages use trained models, hashes and tokenizers, so no SQL stands for them; tests/llm holds them against plain Python.

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import archives, decontaminate, licenses, packing, quality, secrets, simhash, urls, vectors, wavelet
 from .shared import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; every executor has it in the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -26,9 +33,65 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base kinds, the digest of their spans, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in base],
+        F.sha2(secrets.joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page, and the model's score."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.fit(urls.labelled_urls(spark)))
+
+
+def op6_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page's record."""
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, word and phrase counts and places, labels and score of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, shared, item_shingles, containment of every benchmark item in a document."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
+    "op4_secrets": op4_secrets,
+    "op5_urls": op5_urls,
+    "op6_archives": op6_archives,
+    "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_token_ids": op10_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -171,7 +170,7 @@ def _redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool = False) -> DataFrame:
-    """``docs`` with a column ``spans`` (kind, start, end by start, then kind as listed), and ``redacted`` on request.
+    """``docs`` without text, with a column ``spans`` (kind, start, end by start, then kind as listed), and ``redacted`` on request.
 
     Offsets count code points; the end is exclusive. For each kind the
     leftmost matches that don't overlap are taken, then those with too short a
@@ -180,7 +179,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool = False)
     Repeated rows stay repeated; an empty table gives an empty result; the
     other columns pass unchanged, but for those named spans or redacted.
     """
-    names = [c for c in docs.columns if c not in ("spans", "redacted")]
+    names = [c for c in docs.columns if c not in ("spans", "redacted", "text")]
+    docs = docs.drop("spans", "redacted")
     inner = docs.select(docs["text"].alias("__text"), *[docs[c] for c in names])
     fields = ", ".join(["spans array<struct<kind:string,start:bigint,end:bigint>>", *["redacted string"] * redact, *[f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in names]])
     return inner.mapInArrow(_batches(rules, redact), fields)
@@ -189,7 +189,3 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool = False)
 def joined(spans) -> F.Column:
     """kind:start:end of every span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def base_digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

@@ -39,13 +39,17 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return found
 
 
+def _cut(part: Column, at: Column, n: int, mark: str) -> Column:
+    return F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(part, i, F.lit(n))))
+
+
 def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, marked with the part they are from."""
     parts = []
     for mark, part in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), F.regexp_replace(path, "[0-9]+", "0"), F.lit("$")))):
         for n in GRAMS:
             at = F.when(F.length(part) >= n, F.sequence(F.lit(1), F.length(part) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(at, lambda i, part=part, n=n, mark=mark: F.concat(F.lit(mark), F.substring(part, i, F.lit(n)))))
+            parts.append(_cut(part, at, n, mark))
     return F.concat(*parts)
 
 
