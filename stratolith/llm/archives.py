@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path
+from .shared import cut, new_path, spread
 
 #: Payloads shorter than this are always written whole.
 REVISIT_BYTES = 1000
@@ -234,7 +234,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in names.items()], list(names))
 
     parts = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(READ_TOGETHER).cast("long"))).alias("first"))
-    return parts.repartition("path", "first").mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return parts.repartition(spread(parts), "path", "first").mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, own
-from .tokens import TOGETHER, Encoder, ended
+from .tokens import Encoder, ended, slices
 
 SEQUENCE = 2048
 END = 1
@@ -149,8 +149,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(i, TOGETHER)
+            for batch in slices(whole, 1):
                 ids, at = ended(*encoder.encode(batch.column(1)), end)
                 data = pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), data, pa.array(np.diff(at), pa.int64())], ["doc_id", "ids", "n"])

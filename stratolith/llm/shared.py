@@ -47,3 +47,8 @@ def own(df: DataFrame, **columns: str) -> DataFrame:
     Extra columns of the input, whatever their names, can't clash after this.
     """
     return df.select(*[df[column].alias(name) for name, column in columns.items()])
+
+
+def spread(df: DataFrame) -> int:
+    """Tasks for work that is heavy for its bytes, which Spark would else put into a few partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

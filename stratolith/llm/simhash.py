@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, own
+from .shared import cut, own, spread
 from .tiles import Labels, runs
 
 SHINGLE_WORDS = 3
@@ -144,7 +144,7 @@ def near_links(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
     dealt = sent.withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1))).select(
         F.col("to").alias("tile"), "block", (F.col("block") != F.col("at")).cast("int").alias("side"), "fp", "rep"
     )
-    return dealt.repartition("tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(_compare(radius), "a long, b long")
+    return dealt.repartition(spread(reps), "tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:

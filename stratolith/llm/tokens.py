@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
-import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces, and distinct words in them, that a task remembers.
-REMEMBERED = 300_000
-#: Texts that are encoded together.
-TOGETHER = 500
+#: Distinct words that a task remembers.
+REMEMBERED = 1_000_000
+#: Texts that are encoded together, and bytes of them; a longer text is alone.
+TOGETHER = 4000
+TOGETHER_BYTES = 12 << 20
+#: Marks before a piece: it follows a line end, or it begins its text. Any other follows a blank.
+_LINE, _FIRST = "\x01", "\x02"
 #: A Latin word with plain punctuation behind it: two pre-tokens at most, whatever the tokenizer.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!&*$%#|]*)", re.DOTALL)
+_PLAIN = "^(?P<head>[\x01\x02]?)(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<marks>[.,!&*$%#|]*)$"
 
 
 def _byte_letters() -> list[str]:
@@ -24,13 +28,40 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts that are encoded together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, min(TOGETHER, int(np.searchsorted(ends, before + TOGETHER_BYTES, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
+class Ragged:
+    """Many short runs of ids in a row."""
+
+    def __init__(self, runs: list[bytes]) -> None:
+        self.ids = np.frombuffer(b"".join(runs), "<u2")
+        self.sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 2
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the runs in that order, where each ends)."""
+        each = self.sizes[codes]
+        ends = np.cumsum(each)
+        return self.ids[np.repeat(self.begins[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
-    """Ids of whole texts, as ``Tokenizer.encode`` gives them, by pieces that each get encoded once.
+    """Ids of whole texts, as ``Tokenizer.encode`` gives them, by words that each get encoded once.
 
-    Texts are parted before single blanks. A blank between two characters that
-    aren't white space is always the start of a pre-token (byte-level) or
-    dropped (word-level), so the pieces' ids in a row are the text's. Texts
-    with blanks next to other white space are encoded whole.
+    Texts are parted before single blanks and at single line ends. Between two
+    characters that aren't white space, these always part pre-tokens
+    (byte-level) or are dropped (word-level), so the pieces' ids in a row are
+    the text's. Texts with blanks or line ends next to other white space are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,78 +70,94 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.lowers = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            text = "".join([self.letters[b] for b in word.encode()])
-            found = np.array([t.id for t in self.model.tokenize(text)], dtype="<u2").tobytes()
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        self.line = self.whole("\n")
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def _piece(self, piece: str, blank: str) -> bytes:
-        m = _PLAIN.fullmatch(piece)
-        if not m or not piece:
-            return self.whole(blank + piece)
-        word, marks = m.groups()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens of Latin letters or punctuation, with the blank before them if there is one."""
+        known, tokenize, out = self.known, self.tokenize, []
+        if len(known) > REMEMBERED:
+            known.clear()
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                text = word if word.isascii() and word[:1] != " " else "".join([self.letters[b] for b in word.encode()])
+                ids = known[word] = array("H", [t.id for t in tokenize(text)]).tobytes()
+            out.append(ids)
+        return out
+
+    def _odd(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces that aren't plain; None if their text must be encoded whole."""
+        texts = []
+        for piece in pieces:
+            head, rest = (piece[0], piece[1:]) if piece[:1] in (_LINE, _FIRST) else (" ", piece)
+            bad = not self.lowers and (not rest or rest[0].isspace() or rest[-1].isspace())
+            texts.append(None if bad or head == _LINE and self.lowers else {" ": " ", _LINE: "\n", _FIRST: ""}[head] + rest)
+        got = iter(self.tokenizer.encode_batch_fast([t for t in texts if t is not None], add_special_tokens=False))
+        return [None if t is None else array("H", next(got).ids).tobytes() for t in texts]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[Ragged, np.ndarray]:
+        """(ids of distinct pieces, which of them need their texts encoded whole)."""
+        parts = pc.extract_regex(pieces, _PLAIN)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        head, word, marks = (pc.fill_null(pc.struct_field(parts, i), "") for i in range(3))
+        empty = pc.equal(word, "")
         if self.lowers:
-            return (self._word(word.lower()) if word else b"") + (self._word(marks) if marks else b"")
-        return (self._word(blank + word) + (self._word(marks) if marks else b"")) if word else self._word(blank + marks)
-
-    def _lookup(self, key: str) -> bytes | None:
-        """Ids of a piece; keys of pieces at a text's start begin with NUL. None: the text must be encoded whole."""
-        if key in self.pieces:
-            return self.pieces[key]
-        first, piece = key[:1] == "\0", key.removeprefix("\0")
-        if piece == "":
-            found = b"" if first or self.lowers else None
-        elif not self.lowers and (piece[0].isspace() or piece[-1].isspace()):
-            found = None
+            word, marks_word = pc.utf8_lower(word), marks
         else:
-            found = self._piece(piece, "" if first else " ")
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        self.pieces[key] = found
-        return found
+            # A blank belongs to what stands behind it: the word, or else the punctuation.
+            blank = pc.if_else(pc.equal(head, ""), " ", "")
+            word, marks_word = pc.binary_join_element_wise(blank, word, ""), pc.if_else(empty, pc.binary_join_element_wise(blank, marks, ""), marks)
+        words = pc.if_else(empty, "", word).dictionary_encode()
+        tails = pc.if_else(pc.equal(marks, ""), "", marks_word).dictionary_encode()
+        odd = np.flatnonzero(~plain)
+        odd_ids = self._odd(pieces.take(pa.array(odd)).to_pylist())
+        runs = [b"", self.line, *self._words(words.dictionary.to_pylist()), *self._words(tails.dictionary.to_pylist()), *[x or b"" for x in odd_ids]]
+        bad = np.zeros(len(pieces), dtype=bool)
+        bad[odd] = [x is None for x in odd_ids]
+        if not self.lowers:
+            # Nothing between two blanks, or between a line end and the next white space.
+            nothing = pc.and_(pc.and_(empty, pc.equal(marks, "")), pc.not_equal(head, _FIRST)).to_numpy(zero_copy_only=False)
+            bad |= nothing & plain
+        codes = np.zeros((len(pieces), 3), np.int64)
+        codes[:, 0] = np.where(pc.equal(head, _LINE).to_numpy(zero_copy_only=False), 1, 0)
+        codes[:, 1] = 2 + words.indices.to_numpy()
+        codes[:, 2] = 2 + len(words.dictionary) + tails.indices.to_numpy()
+        codes[odd] = 0
+        codes[odd, 1] = len(runs) - len(odd) + np.arange(len(odd))
+        made = Ragged(runs)
+        ids, ends = made.take(codes.ravel())
+        whole = Ragged([])
+        whole.ids, whole.sizes = ids, np.diff(ends[2::3], prepend=0)
+        whole.begins = ends[2::3] - whole.sizes
+        return whole, bad
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, where each text's begin and the last's end); null texts are empty."""
         texts = pc.fill_null(texts, "")
-        lists = pc.split_pattern(texts, " ")
+        if not len(texts):
+            return np.empty(0, np.uint16), np.zeros(1, np.int64)
+        marked = pc.replace_substring(texts, "\n", " " if self.lowers else f" {_LINE}")
+        lists = pc.split_pattern(pc.binary_join_element_wise(_FIRST, marked, ""), " ")
         flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = flat.dictionary_encode()
-        codes, keys = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
-        counts = np.diff(at)
-        has = np.flatnonzero(counts)  # an empty text has one empty piece or none
-        firsts = flat.take(pa.array(at[:-1][has])).to_pylist()
-        codes[at[:-1][has]] = len(keys) + np.arange(len(has))
-        # A piece that holds NUL could pass for a first one: those texts are encoded whole.
-        got = [None if "\0" in k else self._lookup(k) for k in keys]
-        for k, n in zip(firsts, counts[has].tolist(), strict=True):
-            got.append(None if "\0" in k or (k == "" and n > 1 and not self.lowers) else self._lookup("\0" + k))
-        bad = np.array([g is None for g in got], dtype=bool)
-        sizes = np.array([len(g or b"") // 2 for g in got], dtype=np.int64)
-        ids = np.frombuffer(b"".join([g or b"" for g in got]), "<u2")
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        out = ids[np.repeat(begin[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        codes = coded.indices.to_numpy()
+        pieces, bad = self._pieces(coded.dictionary)
+        out, ends = pieces.take(codes)
         bounds = np.concatenate([[0], ends])[at]
-        redo = np.flatnonzero(np.add.reduceat(bad[codes], at[:-1][has]) > 0) if len(has) else has
-        if len(redo):
+        redo = pc.match_substring_regex(texts, "[\x01\x02]").to_numpy(zero_copy_only=False)
+        if bad.any():
+            redo = redo | (np.add.reduceat(bad[codes], at[:-1]) > 0)
+        if redo.any():
             parts = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            for row in has[redo].tolist():
+            for row in np.flatnonzero(redo).tolist():
                 parts[row] = np.frombuffer(self.whole(texts[row].as_py()), "<u2")
             out, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return out, bounds

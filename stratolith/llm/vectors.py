@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, own
+from .shared import cut, own, spread
 from .tiles import Labels, runs
 
 COSINE = 0.9
@@ -245,13 +245,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         # At most 4,096 rows.
         blocks = F.broadcast(dealt.where("visits = 0").groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
         at = F.when(F.col("visits") == 0, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(-1)
-        spread = (
+        dealt_rows = (
             dealt.join(blocks, "tile")
             .withColumn("at", at)
             .withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1)))
             .select("tile", "block", (F.col("block") != F.col("at")).cast("int").alias("side"), "rep", "copies", "v")
         )
-        found = spread.repartition("tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(_search(sent, cosine, radius), "rep long, links long, on long")
+        found = dealt_rows.repartition(spread(dealt), "tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(_search(sent, cosine, radius), "rep long, links long, on long")
         linked = cut(found, "links")
     groups = connected_components(linked, "rep", "on")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))

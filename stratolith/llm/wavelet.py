@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, own
-from .tokens import TOGETHER, Encoder, ended
+from .shared import cut, new_path, own, spread
+from .tokens import Encoder, ended, slices
 
 END = 0
 #: Ids in a shard, unless one document alone has more.
@@ -169,8 +169,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -
             return done
 
         for whole in batches:
-            for i in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(i, TOGETHER)
+            for batch in slices(whole, 1):
                 ids, at = ended(*encoder.encode(batch.column(1)), end)
                 for k, doc_id in enumerate(batch.column(0).to_pylist()):
                     if rows and sum(sizes) + at[k + 1] - at[k] > SHARD_IDS:
@@ -211,7 +210,7 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
                     [pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    return files.repartition("path").mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(spread(files), "path").mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
