@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratolith.llm import decontaminate, packing, quality, secrets, simhash
 from stratolith.llm.queries import tokenizer_path
-from stratolith.llm.shared import cut, table
+from stratolith.storage import cut, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

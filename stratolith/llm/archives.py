@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, spread
+from stratolith.storage import cut, new_path, spread
 
 #: Payloads shorter than this are always written whole.
 REVISIT_BYTES = 1000

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import own
+from stratolith.storage import own
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, own
+from stratolith.storage import cut, own
 from .tokens import Encoder, ended, slices
 
 SEQUENCE = 2048

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import own
+from stratolith.storage import own
 
 #: Rows of each label that the fit may use, taken in the order of a hash of their ids.
 SAMPLE = 1500

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, decontaminate, licenses, packing, quality, secrets, simhash, urls, vectors, wavelet
-from .shared import table
+from stratolith.storage import table
 
 
 def tokenizer_path(name: str) -> str:

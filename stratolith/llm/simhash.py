@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import cut, own, spread
+from stratolith.operators.components import connected_components
+from stratolith.storage import cut, own, spread
 from .tiles import Labels, runs
 
 SHINGLE_WORDS = 3

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, own, spread
+from stratolith.storage import cut, new_path, own, spread
 from .tokens import Encoder, ended, slices
 
 END = 0
