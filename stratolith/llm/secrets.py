@@ -106,6 +106,8 @@ class Shard:
             codes = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
             at = np.flatnonzero(wanted[codes])
             pairs = np.unique(codes[at].astype(np.int64) << 32 | np.searchsorted(ends, at + i, side="right"))
+            if not len(pairs):
+                continue
             keys, starts = np.unique(pairs >> 32, return_index=True)
             for k, rows in zip(keys.tolist(), np.split(pairs & 0xFFFFFFFF, starts[1:]), strict=True):
                 found[k].append(rows)
@@ -133,7 +135,6 @@ def _spans(pattern: re.Pattern, rule: Rule, text: str) -> list[tuple[int, int]]:
 def _batches(rules: tuple[Rule, ...], redact: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(rule, re.compile(rule.pattern, rule.flags | re.ASCII), trigram_query(rule.pattern, rule.flags)) for rule in rules]
-        # Every hex match of the needed length holds this many such bytes in a row; the rule has no trigram, so it scans fully.
         wanted = np.zeros(1 << 24, dtype=bool)
         wanted[[c for _, _, q in compiled for needed in q for c in needed]] = True
         for whole in batches:
