@@ -91,12 +91,14 @@ class Quantiser:
 
     def tables(self, rest: np.ndarray) -> list[np.ndarray]:
         """For each subspace the squared distances from every query's residual to every code."""
-        return [((rest[:, a:b, None] - book.T[None]) ** 2).sum(axis=1) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
+        parts = [(book, rest[:, a:b]) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
+        return [(x * x).sum(axis=1)[:, None] + (book * book).sum(axis=1) - 2 * (x @ book.T) for book, x in parts]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors as rows; those on their way between tasks are little-endian doubles."""
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = np.frombuffer(b"".join(column.to_pylist()), "<f8") if pa.types.is_binary(column.type) else column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(n, -1) if n else np.empty((0, 0), np.float64)
 
 
@@ -115,12 +117,15 @@ def _deal(sent, radius: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(_matrix(batch.column(2))).astype(np.float32)
+            given = _matrix(batch.column(2)).astype("<f8")
+            x = _unit(given).astype(np.float32)
             home = q.lists(x)
             probes = [np.concatenate([[h], p[p > h]]) for h, p in zip(home.tolist(), q.probes(x, radius), strict=True)]
             rows = np.repeat(np.arange(len(x)), [len(p) for p in probes])
             to = np.concatenate(probes)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array((to != home[rows]).astype(np.int32)), *[batch.column(i).take(pa.array(rows)) for i in range(3)]], ["tile", "visits", "rep", "copies", "v"])
+            sent_as = pa.array([v.tobytes() for v in given], pa.binary())
+            columns = [c.take(pa.array(rows)) for c in (batch.column(0), batch.column(1), sent_as)]
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array((to != home[rows]).astype(np.int32)), *columns], ["tile", "visits", "rep", "copies", "v"])
 
     return task
 
@@ -241,7 +246,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         picked = np.array([r["v"] for r in reps.select("v").orderBy(F.xxhash64("v"), "rep").limit(sample).collect()])
         lists = int(np.clip(round(sizes["count"] ** 0.5 / 2), *LISTS))
         sent = spark.sparkContext.broadcast(Quantiser.fit(_unit(picked).astype(np.float32), lists))  # 4,096 centres at most
-        dealt = cut(reps.mapInArrow(_deal(sent, radius), "tile int, visits int, rep long, copies long, v array<double>"), "dealt")
+        dealt = cut(reps.mapInArrow(_deal(sent, radius), "tile int, visits int, rep long, copies long, v binary"), "dealt")
         # At most 4,096 rows.
         blocks = F.broadcast(dealt.where("visits = 0").groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
         at = F.when(F.col("visits") == 0, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(-1)
