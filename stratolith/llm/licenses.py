@@ -160,7 +160,9 @@ class Scanner:
         starts = [line.count(" ", 0, at) for at in ({min(base)[0], max(base)[0]} if base else ())]
         permissive = None
         # Only A-Z may change, or the places would shift.
-        low = text if "icense" not in text and "ICENSE" not in text else text.translate(_LOWER)
+        low = text.lower()
+        if len(low) != len(text):
+            low = text.translate(_LOWER)
         for end, _ in self.tags.iter(low):
             try:
                 names, free = evaluate(_expression_at(text, end + 1))
