@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 #: Verdict and rule (host, then path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: The labelled URLs: 1 is blocked. Made-up hosts; words of gambling, pills, loans and cloned downloads stand against plain ones.
-_BLOCKED_WORDS = ("casino", "casino-win", "spam-farm", "poker", "jackpot", "free-pills", "cheap-pills", "viagra", "payday-loan", "win-money", "slots", "betting", "xxx-cams", "adult-dating", "keygen", "warez", "click-farm", "seo-links", "replica-watch", "crypto-double")
-_PLAIN_WORDS = ("library", "weather", "museum", "garden", "school", "history", "recipes", "travel", "science", "music", "tionble", "ththan", "therrou", "ththere", "blog", "news", "sports", "health", "forum", "docs")
+#: The labelled URLs: 1 is blocked. Words and hosts are made up, taken from no table; three plain words for each blocked one
+#: stand for the share of plain hosts, so that the model allows a host that it knows nothing of.
+_BLOCKED_WORDS = tuple("casino poker jackpot roulette gambling betting slots pills viagra pharmacy loan payday cash adult dating xxx keygen warez torrent replica".split())
+_PLAIN_WORDS = tuple(
+    """library weather museum garden school history recipes travel science music blog news sports health forum docs
+    kitchen village church river mountain theatre cinema gallery archive letters university college research physics
+    chemistry biology medicine hospital council transport railway harbour airport market farming fishing forest
+    cycling walking football tennis chess painting poetry novels grammar language teacher student parents children
+    society""".split()
+)
+#: Shapes of hosts, alike for both labels.
+_SHAPES = ("{}", "my-{}", "{}-online", "best-{}", "{}4you")
 _PLACES = ("com", "net", "org")
 _PATHS = ("/en/12", "/de/7541/", "/fr/825", "/es/3210.html", "")
 BUCKETS = 1 << 14
@@ -54,9 +63,9 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: every word with every path, under a place each (200 rows)."""
+    """The small labelled table: every word with every path, each under another shape and place (390 rows)."""
     rows = [
-        (f"https://{'www.' * (i % 2)}{word}.example{i % 3 or ''}.{_PLACES[(i + j) % 3]}{path}", label)
+        (f"https://{'www.' * (i % 2)}{_SHAPES[(i + j) % 5].format(word)}.example{i % 3 or ''}.{_PLACES[(i + j) % 3]}{path}", label)
         for label, words in ((1.0, _BLOCKED_WORDS), (0.0, _PLAIN_WORDS))
         for i, word in enumerate(words)
         for j, path in enumerate(_PATHS)
@@ -71,7 +80,7 @@ def _features(urls: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame) -> LogisticRegressionModel:
     """Logistic regression on (url, label 0/1); rows with a null in either are left out."""
     rows = labelled.select("url", F.col("label").cast("double").alias("label")).where("url is not null and label is not null").coalesce(1)
-    return LogisticRegression(featuresCol="__features", labelCol="label", regParam=0.01, maxIter=60).fit(_features(rows))
+    return LogisticRegression(featuresCol="__features", labelCol="label", regParam=0.001, maxIter=60).fit(_features(rows))
 
 
 def weights(model: LogisticRegressionModel) -> tuple[list[float], float]:
