@@ -94,4 +94,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can say: exact links, payloads and containment. The rest rests on models, XXH64 or tokenizers.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embeddings": """
+with recursive usable as (
+    select vec_id, embedding::double[] v from embeddings
+    where len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links as (
+    select a.vec_id a, b.vec_id b from usable a join usable b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.9
+), reach as (
+    select vec_id a, vec_id b from embeddings
+    union
+    select r.a, l.b from reach r join links l on r.b = l.a
+), least as (select a, min(b) component_id from reach group by a)
+select vec_id, (select count(*) from links where a = vec_id)::bigint n_links, component_id, vec_id = component_id kept from embeddings join least on a = vec_id""",
+    "op6_archives": """
+with payloads as (
+    select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) n, max(page_id) over (partition by coalesce(html, '')) keeper from pages
+)
+select page_id, n::bigint payload_bytes, sha1(html) payload_digest, case when n >= 1000 and page_id <> keeper then 'revisit' else 'response' end record_type,
+    case when n >= 1000 and page_id <> keeper then keeper end refers_to from payloads""",
+    "op9_decontaminate": r"""
+with texts as (
+    select 'd' kind, doc_id id, text from documents union all select 'i', item_id, text from benchmark
+), words as (
+    select kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda w: w <> '') ws from texts where id is not null
+), shingles as (
+    select distinct kind, id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) shingle from words
+), items as (select id, shingle, count(*) over (partition by id) n from shingles where kind = 'i')
+select d.id doc_id, i.id item_id, count(*) shared, max(n) item_shingles, count(*)::double / max(n) containment
+from shingles d join items i using (shingle) where d.kind = 'd' group by d.id, i.id having count(*) >= ceil(0.8 * max(n) - 1e-9)""",
+}
