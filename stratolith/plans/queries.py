@@ -11,6 +11,8 @@ from stratolith.functions import geometry as g
 from stratolith.functions.circle import bounding_circle
 from stratolith.operators import catalog, params, raster, segment
 from stratolith.sources import adapters as ad
+from stratolith.sources import shapefile
+from stratolith.storage import cut, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +102,7 @@ FIPS = dict(
     pair.split(":")
     for pair in (
         "01:al 02:ak 03:as 04:az 05:ar 06:ca 08:co 09:ct 10:de 11:dc 12:fl 13:ga 15:hi 16:id 17:il 18:in 20:ks 21:ky 22:la 23:me 24:md 25:ma 27:mn 28:ms 29:mo 30:mt 31:ne 32:nv 33:nh 34:nj 35:nm 36:ny 37:nc 38:nd 39:oh 40:ok "
-        "41:or 42:pa 44:ri 45:sc 46:sd 47:tn 48:tx 49:ut 50:vt 51:va 53:wa 54:wv 55:wi 56:wy 60:as 66:gu 69:mp 72:pr 78:vi"
+        "41:or 42:pa 44:ri 45:sc 46:sd 47:tn 48:tx 49:ut 50:vt 51:va 53:wa 54:wv 55:wi 56:wy 60:as 64:fm 66:gu 68:mh 69:mp 70:pw 72:pr 78:vi"
     ).split()
 )
 
@@ -128,6 +130,16 @@ def region_lists_from_bbox(spark, sf_dir):
     return ad.regions(spark, sf_dir).where(catalog.in_box((4.0, 3.0, 30.0, 22.0))).select("statefp", "geoid").distinct()
 
 
+@query(_sql("select gid, st, filename, xmin, ymin, xmax, ymax, 1.0::double area from catalogue", "catalogue"))
+def shapefile_round_trip(spark, sf_dir):
+    """All tiles written as zipped shapefiles to the shared folder and read back."""
+    folder = new_path(spark, "shapes")
+    shell = g.rectangle(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    cut(shapefile.write_zipped(ad.catalogue(spark, sf_dir).select("gid", "st", "filename", F.array(F.array(shell)).alias("geom")), folder), "packages")
+    back = shapefile.read_zipped(spark, folder)
+    return back.select("gid", "st", "filename", g.envelope(F.get("geom", F.lit(0))).alias("box"), g.area(F.get("geom", F.lit(0))).alias("area")).select("gid", "st", "filename", "box.*", "area")
+
+
 @query(_sql("select min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax from regions where statefp = '00'", "regions"))
 def region_extent(spark, sf_dir):
     return catalog.extent(ad.regions(spark, sf_dir).where("statefp = '00'"))

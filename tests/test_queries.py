@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
 #: The driver holds all of them against SQL at a larger size; these are quick.
-QUICK = ["profile_segments", "status_fetched_by_state", "tiles_pending_limit_per_worker", "aoi_county", "spatial_join_grid", "log_insert_ignore", "name_prefix_lookup", "fips_lookup", "optimal_hs", "local_variance", "connected_components"]
+QUICK = ["profile_segments", "status_fetched_by_state", "tiles_pending_limit_per_worker", "aoi_county", "spatial_join_grid", "log_insert_ignore", "name_prefix_lookup", "fips_lookup", "shapefile_round_trip", "optimal_hs", "local_variance", "connected_components"]
 
 
 @pytest.mark.parametrize("name", QUICK)
