@@ -21,9 +21,13 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
 
 
+def _steps(ring: Column) -> Column:
+    """Places at which an edge begins; a ring of fewer than two points has none."""
+    return F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
+
+
 def _over_edges(ring: Column, term) -> Column:
-    steps = F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + term(F.get(ring, i), F.get(ring, i + 1)))
+    return F.aggregate(_steps(ring), F.lit(0.0), lambda acc, i: acc + term(F.get(ring, i), F.get(ring, i + 1)))
 
 
 def ring_area(ring: Column) -> Column:
@@ -106,7 +110,7 @@ def boxes_overlap(a: Column, b: Column) -> Column:
 
 
 def _edges(ring: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+    return F.transform(_steps(ring), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
 
 
 def _side(a: Column, b: Column, p: Column) -> Column:
@@ -133,7 +137,7 @@ def ring_holds(ring: Column, p: Column) -> Column:
         left = p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / (b["y"] - a["y"]) + a["x"]
         return F.when(straddles & left, ~acc).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(False), flips)
+    return F.aggregate(_steps(ring), F.lit(False), flips)
 
 
 def holds(rings: Column, p: Column) -> Column:
@@ -142,8 +146,9 @@ def holds(rings: Column, p: Column) -> Column:
 
 
 def intersects(a: Column, b: Column) -> Column:
-    """Whether two polygons share a point, their edges included."""
+    """Whether two polygons share a point, their edges included; null where one of them is."""
     edges = lambda rings: F.flatten(F.transform(rings, _edges))
     first = lambda rings: F.get(F.get(rings, F.lit(0)), F.lit(0))
     crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: _cross(e, f)))
-    return crossing | holds(a, first(b)) | holds(b, first(a))
+    # An empty polygon has no first point, and shares none.
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(crossing | holds(a, first(b)) | holds(b, first(a)), F.lit(False)))

@@ -56,6 +56,15 @@ def test_circle_is_least(points):
         assert max(math.hypot(x - a, y - b) for x, y in points) >= r - 1e-6
 
 
+def test_polygons_without_edges(spark):
+    shapes = "array<array<struct<x:double,y:double>>>"
+    one, square = [[{"x": 0.5, "y": 0.5}]], [[{"x": float(x), "y": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]]
+    rows = [(square, square, True), (square, one, True), (one, one, False), (square, [], False), (square, [[]], False), (square, None, None)]
+    df = spark.createDataFrame(rows, f"a {shapes}, b {shapes}, want boolean")
+    for row in df.select("want", g.intersects(F.col("a"), F.col("b")).alias("ab"), g.intersects(F.col("b"), F.col("a")).alias("ba"), g.area(F.col("b")).alias("area")).collect():
+        assert row.want == row.ab == row.ba
+
+
 def test_grid_join_is_the_nested_loop(spark):
     rng = random.Random(3)
     box = lambda: (x := rng.uniform(-9, 9), y := rng.uniform(-9, 9), x + rng.choice([0, 1, 7.0]), y + rng.uniform(0, 5))
