@@ -38,7 +38,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("map_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("live_key", r"sk_live_[A-Za-z0-9]+", 0, 24),
     Rule("url_login", r"://[^/\s:@]{1,64}:[^/\s:@]{3,64}@", 0, 1),

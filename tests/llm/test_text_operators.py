@@ -255,3 +255,13 @@ def test_pipeline_stages(spark):
     assert secrets.scan(docs).where("exists(spans, s -> s.kind = 'access')").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids and labels.count()
+
+
+def test_secret_rules_take_linear_time():
+    import time
+
+    begun = time.time()
+    for text in ("eyJ" * 300_000, "eyJa." * 200_000, "token" * 200_000, "password" + " " * 1_000_000, "://" + "a:" * 400_000, "-----BEGIN " * 90_000):
+        for rule in secrets.RULES:
+            sum(1 for _ in re.finditer(rule.pattern, text, rule.flags | re.A))
+    assert time.time() - begun < 20
