@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolith.llm import decontaminate, packing, quality, secrets, simhash
+from stratolith.llm import decontaminate, packing, quality, secrets, similar, simhash
 from stratolith.llm.queries import tokenizer_path
 from stratolith.storage import cut, table
 
@@ -17,8 +17,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, similar.near_copies(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

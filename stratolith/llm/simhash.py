@@ -24,6 +24,17 @@ _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HASHED_AT_ONCE = 1 << 15
 
 
+def words_of(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The lower-cased words of a text, space-joined, and where each shingle begins and ends in them."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    if not parts:
+        return b"", [], []
+    width = min(words, len(parts))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(parts) - width + 1]
+    return b" ".join(parts), starts.tolist(), ends[width - 1 :].tolist()
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The unsigned 64-bit SimHash of a whole text.
 
@@ -31,13 +42,9 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     ``words``-word shingle counts as often as it occurs; a shorter text is one
     shingle; a text without words (or null) has fingerprint 0.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    if not parts:
+    line, starts, stops = words_of(text, words)
+    if not starts:
         return 0
-    line, width = b" ".join(parts), min(words, len(parts))
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(parts) - width + 1].tolist()
-    stops = ends[width - 1 :].tolist()
     ones, hashed = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for i in range(0, len(starts), _HASHED_AT_ONCE):
         some = [hashed(line[a:b], seed) for a, b in zip(starts[i : i + _HASHED_AT_ONCE], stops[i : i + _HASHED_AT_ONCE], strict=True)]
@@ -166,13 +173,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each near-duplicate group, with all columns of ``docs``.
+    """One row of each group that ``near_duplicates`` finds, with all columns of ``docs`` (see ``one_of_each``)."""
+    return one_of_each(docs, near_duplicates(docs, radius))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group of ``groups`` (doc_id, component_id), with all columns of ``docs``.
 
     The row with the group's smallest doc_id stays; of repeated rows with that
     id, the one with the longest, then greatest, text. Rows without a doc_id
     stay, as nothing can stand for them.
     """
-    groups = near_duplicates(docs, radius).select("doc_id", "component_id")
+    groups = groups.select("doc_id", "component_id")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -35,3 +37,70 @@ class Labels:
         if (own != least).any():
             self.of[np.isin(self.of, np.unique(own))] = least
         return int(least)
+
+def deal(rows: DataFrame, blocks: DataFrame, steps: list[int], columns: list[str]) -> DataFrame:
+    """(tile, block, side, *columns): each row as a member of its block (side 0) and as a visitor of others (side 1).
+
+    ``rows`` has tile, rep and ``columns``; ``blocks`` has (to, blocks), the
+    number of blocks of each tile. A row visits the later blocks of its own
+    tile and all blocks of the tiles that lie ``steps`` further, so that any
+    two rows of such tiles meet in one block.
+    """
+    at = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    sent = rows.withColumn("step", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("to", F.col("tile") + F.col("step"))
+    sent = sent.join(blocks, "to").withColumn("at", F.when(F.col("step") == 0, at).otherwise(-1))
+    return sent.withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1))).select(
+        F.col("to").alias("tile"), "block", (F.col("block") != F.col("at")).cast("int").alias("side"), *columns
+    )
+
+
+def forest(load: Callable, near: Callable) -> Callable:
+    """A task over dealt rows, sorted by (tile, block, side), that returns links (a, b) spanning all it finds.
+
+    ``load(parts)`` makes one object of the batches of a side, with the ids in
+    ``rep``. ``near(rows, home)`` yields (row, members of home it links with).
+    Not all pairs come out, but a spanning forest of them.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(visitors, home, labels: Labels, same: bool) -> Iterator[tuple[int, int]]:
+            for i, members in near(visitors, home):
+                if len(members) > same:
+                    least = labels.join(members)
+                    if not same:
+                        yield int(visitors.rep[i]), int(home.rep[least])
+
+        def out(pairs: list) -> Iterator[pa.RecordBatch]:
+            if pairs:
+                a, b = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+        def close() -> list:
+            moved = np.flatnonzero(labels.of != np.arange(len(labels.of))) if labels is not None else []
+            return [(int(home.rep[i]), int(home.rep[labels.of[i]])) for i in moved]
+
+        def settle():
+            whole = load(parts)
+            fresh = Labels(len(whole.rep))
+            list(links(whole, whole, fresh, True))
+            return whole, fresh
+
+        key, parts, home, labels = None, [], None, None
+        for (tile, block, side), part in runs(batches, ("tile", "block", "side")):
+            if (tile, block) != key:
+                if parts:
+                    home, labels = settle()
+                yield from out(close())
+                key, parts, home, labels = (tile, block), [], None, None
+            if side == 0:
+                parts.append(part)
+                continue
+            if parts:
+                (home, labels), parts = settle(), []
+            if home is not None:
+                yield from out(list(links(load([part]), home, labels, False)))
+        if parts:
+            home, labels = settle()
+        yield from out(close())
+
+    return task
