@@ -20,7 +20,7 @@ except ImportError:  # pragma: no cover - older Python
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: where it stands, and how long its value (a group) must be."""
+    """A kind of secret: where it stands (the group ``span``), and how long its value (a group) must be."""
 
     kind: str
     pattern: str
@@ -28,6 +28,7 @@ class Rule:
     least: int
     flags: int = 0
     base: bool = False
+    span: int = 0
 
 
 #: The base kinds in their order, then the kinds of our own.
@@ -38,10 +39,11 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # A token may follow any character; only the first eyJ of a run is tried, as a later one can't match where it doesn't.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ[A-Za-z0-9_-]))(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)", 1, 30, span=1),
     Rule("map_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("live_key", r"sk_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_login", r"://[^/\s:@]{1,64}:[^/\s:@]{3,64}@", 0, 1),
+    Rule("url_login", r"://[^/\s:@]++:[^/\s:@]{3,}+@", 0, 1),
 )
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A choice with more strings than this isn't spelt out; the query then gets weaker, never wrong.
@@ -129,7 +131,7 @@ class Shard:
 
 
 def _spans(pattern: re.Pattern, rule: Rule, text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    return [m.span(rule.span) for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
 def _batches(rules: tuple[Rule, ...], redact: bool):

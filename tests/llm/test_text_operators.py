@@ -265,3 +265,21 @@ def test_secret_rules_take_linear_time():
         for rule in secrets.RULES:
             sum(1 for _ in re.finditer(rule.pattern, text, rule.flags | re.A))
     assert time.time() - begun < 20
+
+
+def spans_of(text, kind):
+    rule = next(r for r in secrets.RULES if r.kind == kind)
+    return secrets._spans(re.compile(rule.pattern, rule.flags | re.A), rule, text)
+
+
+def test_web_tokens_and_logins_after_any_character(spark):
+    token, plain = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.Sfl-Kx_wRJ", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+    login = "https://user:" + "aB3xY9" * 15 + "zQ7@host/x"
+    texts = [f"{before}{token} rest" for before in ("Bearer%20", "sid%3D", "jwt_", "id-", "x", "", "eyJ.eyJ.")] + [login, "http://" + "u" * 90 + ":pw1@h"]
+    got = {r.n: r.redacted for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), redact=True).collect()}
+    assert all(token not in got[n] and got[n].endswith("[REDACTED] rest") for n in range(7))
+    assert got[7] == "https[REDACTED]host/x" and got[8] == "http[REDACTED]h"
+    pick = np.random.default_rng(6)
+    for _ in range(3000):
+        text = "".join(pick.choice(["eyJ", "eyJ", "a", "-", "_", ".", ".", " ", "%", "b" * 12], 25))
+        assert spans_of(text, "web_token") == [m.span() for m in re.finditer(plain, text) if len(m[0]) >= 30]
