@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.IGNORECASE, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, 0, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, 0, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", r"-----BEGIN ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----", 0, 1),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     # A token may follow any character; only the first eyJ of a run is tried, as a later one can't match where it doesn't.
@@ -45,6 +46,15 @@ RULES = (
     Rule("live_key", r"sk_live_[A-Za-z0-9]+", 0, 24),
     Rule("url_login", r"://[^/\s:@]++:[^/\s:@]{3,}+@", 0, 1),
 )
+_KEY_END = re.compile(r"-----END ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----")
+#: What may stand between the lines of a key: white space, its escapes in source code, quotes and marks of quoted lines.
+_GAP = r"""(?:\s|\\+[nrt]|["'`,>|#*])"""
+#: A key without its END line: armour headers, then long base64 words, and short ones unless they are plain words with more prose behind them.
+_KEY_BODY = re.compile(
+    rf"""(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|X-[A-Za-z-]+):[^\r\n\\]*+)*+
+    (?:{_GAP}*+(?:[A-Za-z0-9+/=]{{16,}}+|(?!(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[ \t]*[^\sA-Za-z0-9+/="'`\\]|(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[ \t]+[^\s"'`\\])(?<!\n\n)(?<!\n\r\n)[A-Za-z0-9+/=]{{1,15}}+))*+""",
+    re.VERBOSE,
+)
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A choice with more strings than this isn't spelt out; the query then gets weaker, never wrong.
 _SPELT = 32
@@ -130,7 +140,21 @@ class Shard:
         return np.unique(np.concatenate(rows))
 
 
+def _key_spans(begins: list[re.Match], text: str) -> list[tuple[int, int]]:
+    """Each private key from its header to its END line, which comes before the next header; without one, to the end of its base64 block."""
+    ends = list(_KEY_END.finditer(text)) if begins else []
+    places, spans = [e.start() for e in ends], []
+    for begin, limit in zip(begins, [*[b.start() for b in begins[1:]], len(text)], strict=True):
+        mine = ends[bisect_left(places, begin.end()) : bisect_left(places, limit)]
+        # The first with the header's own label, or else the first of any private key.
+        end = next((e for e in mine if e[1] == begin[1]), mine[0] if mine else None)
+        spans.append((begin.start(), end.end() if end else _KEY_BODY.match(text, begin.end()).end()))
+    return spans
+
+
 def _spans(pattern: re.Pattern, rule: Rule, text: str) -> list[tuple[int, int]]:
+    if rule.kind == "private_key":
+        return _key_spans(list(pattern.finditer(text)), text)
     return [m.span(rule.span) for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
@@ -177,7 +201,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool = False)
 
     Offsets count code points; the end is exclusive. For each kind the
     leftmost matches that don't overlap are taken, then those with too short a
-    value dropped. Each shard of 1,000 texts gets its own inverted index, so
+    value dropped. A private key runs from its header to its END line, or to
+    the end of its base64 block where there is none. Each shard of 1,000 texts gets its own inverted index, so
     memory is bounded and no row moves. Null and empty texts have no span.
     Repeated rows stay repeated; an empty table gives an empty result; the
     other columns pass unchanged, but for those named spans or redacted.
