@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from stratolith.storage import cut, own, spread
 from .tiles import Labels, runs
 
 COSINE = 0.9
-#: Vectors on which lists and codes are fitted, in the order of a hash of the vector.
+#: Vectors on which lists and codes are fitted, in the order of a hash of the vector; lengths share them by their numbers of vectors.
 SAMPLE = 16_384
+#: Vectors of a length on which its lists and codes are fitted at least, where it has as many.
+LEAST_SAMPLE = 64
 SUBSPACES = 8
 CODES = 256
 #: Coarse lists: about the square root of the number of vectors, within these bounds.
@@ -109,23 +113,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@dataclass(frozen=True)
+class Quantisers:
+    """A quantiser for each length of vectors; a tile's number holds the length and the list."""
+
+    of: dict[int, Quantiser]
+    first: dict[int, int]  # for each length the tile of its first list
+    length: np.ndarray  # for each tile the length
+
+    @classmethod
+    def fit(cls, samples: dict[int, np.ndarray], lists: dict[int, int]) -> Quantisers:
+        of = {d: Quantiser.fit(_unit(x).astype(np.float32), lists[d]) for d, x in sorted(samples.items())}
+        counts = [len(q.coarse) for q in of.values()]
+        return cls(of, dict(zip(of, np.cumsum([0, *counts[:-1]]).tolist(), strict=True)), np.repeat(list(of), counts))
+
+    def of_tile(self, tile: int) -> tuple[Quantiser, int]:
+        """The quantiser of a tile's length, and the tile's list in it."""
+        d = int(self.length[tile])
+        return self.of[d], tile - self.first[d]
+
+
 def _deal(sent, radius: float):
-    """Each representative to its list as home row, and to later lists in its probes as visitor."""
+    """Each representative to its list as home row, and to later lists of its length in its probes as visitor."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: Quantiser = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            given = _matrix(batch.column(2)).astype("<f8")
-            x = _unit(given).astype(np.float32)
-            home = q.lists(x)
-            probes = [np.concatenate([[h], p[p > h]]) for h, p in zip(home.tolist(), q.probes(x, radius), strict=True)]
-            rows = np.repeat(np.arange(len(x)), [len(p) for p in probes])
-            to = np.concatenate(probes)
-            sent_as = pa.array([v.tobytes() for v in given], pa.binary())
-            columns = [c.take(pa.array(rows)) for c in (batch.column(0), batch.column(1), sent_as)]
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array((to != home[rows]).astype(np.int32)), *columns], ["tile", "visits", "rep", "copies", "v"])
+        fitted: Quantisers = sent.value
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes).tolist():
+                q, first = fitted.of[d], fitted.first[d]
+                batch = whole.take(pa.array(np.flatnonzero(sizes == d)))
+                given = _matrix(batch.column(2)).astype("<f8")
+                x = _unit(given).astype(np.float32)
+                home = q.lists(x)
+                probes = [np.concatenate([[h], p[p > h]]) for h, p in zip(home.tolist(), q.probes(x, radius), strict=True)]
+                rows = np.repeat(np.arange(len(x)), [len(p) for p in probes])
+                to = np.concatenate(probes)
+                sent_as = pa.array([v.tobytes() for v in given], pa.binary())
+                columns = [c.take(pa.array(rows)) for c in (batch.column(0), batch.column(1), sent_as)]
+                yield pa.RecordBatch.from_arrays([pa.array(to + first, pa.int32()), pa.array((to != home[rows]).astype(np.int32)), *columns], ["tile", "visits", "rep", "copies", "v"])
 
     return task
 
@@ -178,7 +204,7 @@ class _Block:
 
 def _search(sent, cosine: float, radius: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: Quantiser = sent.value
+        fitted: Quantisers = sent.value
         key, home, block = None, [], None
 
         def out(rep: np.ndarray, links: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +213,7 @@ def _search(sent, cosine: float, radius: float):
         def begin() -> _Block:
             reps, copies, x = (np.concatenate(c) for c in zip(*home, strict=True))
             home.clear()
-            made = _Block(q, key[0], reps, copies, x)
+            made = _Block(*fitted.of_tile(key[0]), reps, copies, x)
             made.meet(made.x, made.copies, cosine, radius, True)
             return made
 
@@ -218,14 +244,31 @@ def _search(sent, cosine: float, radius: float):
     return task
 
 
+def _samples(reps: DataFrame, sizes: dict[int, int], sample: int) -> dict[int, np.ndarray]:
+    """For each length the vectors of least hash: ``sample`` in all, shared by the numbers of vectors, and a few for each at least."""
+    total = sum(sizes.values())
+    wanted = {d: min(n, max(math.ceil(sample * n / total), LEAST_SAMPLE)) for d, n in sizes.items()}
+    # Hashes are even, so of those under a bound about as many are there as wanted and a few more; the rest is cut off here.
+    share = {d: min(1.0, (k + 6 * k**0.5) / sizes[d]) for d, k in wanted.items()}
+    bounds = F.create_map(*[F.lit(x) for d, p in share.items() for x in (d, min(int(-(2.0**63) + p * 2.0**64), 2**63 - 1))])
+    hashed = reps.withColumn("h", F.xxhash64("v")).where(F.col("h") <= bounds[F.size("v")])
+    found: dict[int, list] = {d: [] for d in sizes}
+    for r in hashed.orderBy("h", "rep").select("v").collect():
+        if len(found[len(r["v"])]) < wanted[len(r["v"])]:
+            found[len(r["v"])].append(r["v"])
+    for d in [d for d, x in found.items() if not x]:
+        found[d] = [r["v"] for r in reps.where(F.size("v") == d).orderBy("rep").select("v").limit(wanted[d]).collect()]
+    return {d: np.array(x) for d, x in found.items()}
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     n_links counts the other rows linked directly: those of the same vector,
-    and all copies of vectors with a cosine of ``cosine`` or more, in double
-    precision. Equal vectors are one representative. Vectors of another
-    length than most can't be compared and link with their copies only, as do
-    vectors that are null, zero or not finite with nothing at all. Rows with a
+    and all copies of vectors of the same length with a cosine of ``cosine`` or
+    more, in double precision. Equal vectors are one representative. Each
+    length is searched by lists and codes of its own. Vectors that are null,
+    zero or not finite link with nothing at all. Rows with a
     null vec_id are returned with their links, and stand for nothing; the
     component of a group without any vec_id is null, and kept false. Repeated
     rows link each other; an empty table gives an empty result; extra columns
@@ -238,16 +281,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     usable = F.coalesce(F.col("v").isNotNull() & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda e: e + F.lit(0.0))))
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    sizes = classes.where("rep is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    if sizes is None:
+    reps = classes.where("rep is not null").select("rep", "copies", "v")
+    # A row for each length; one with a single representative has nothing to search.
+    sizes = {r["d"]: r["count"] for r in reps.groupBy(F.size("v").alias("d")).count().where("count > 1").collect()}
+    if not sizes:
         linked = spark.createDataFrame([], "rep long, links long, on long")
     else:
-        reps = classes.where((F.col("rep").isNotNull()) & (F.size("v") == sizes["d"])).select("rep", "copies", "v")
-        picked = np.array([r["v"] for r in reps.select("v").orderBy(F.xxhash64("v"), "rep").limit(sample).collect()])
-        lists = int(np.clip(round(sizes["count"] ** 0.5 / 2), *LISTS))
-        sent = spark.sparkContext.broadcast(Quantiser.fit(_unit(picked).astype(np.float32), lists))  # 4,096 centres at most
+        reps = reps.where(F.size("v").isin(list(sizes)))
+        lists = {d: int(np.clip(round(n**0.5 / 2), *LISTS)) for d, n in sizes.items()}
+        sent = spark.sparkContext.broadcast(Quantisers.fit(_samples(reps, sizes, sample), lists))  # 4,096 centres a length at most
         dealt = cut(reps.mapInArrow(_deal(sent, radius), "tile int, visits int, rep long, copies long, v binary"), "dealt")
-        # At most 4,096 rows.
+        # At most 4,096 rows for each length.
         blocks = F.broadcast(dealt.where("visits = 0").groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
         at = F.when(F.col("visits") == 0, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(-1)
         dealt_rows = (

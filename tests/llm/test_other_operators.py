@@ -82,3 +82,23 @@ def test_vectors_against_brute_force(spark, block):
     for i in range(500, 506):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for d, n in ((16, 150), (24, 100), (3, 40), (1, 2), (2, 1)):
+        base = rng.normal(size=(max(n // 6, 1), d))
+        rows += [list(map(float, base[i % len(base)] + rng.normal(scale=0.1, size=d))) for i in range(n)]
+    rows += rows[150:160]
+    order = rng.permutation(len(rows))
+    rows = [rows[i] for i in order]
+    unit = [np.array(v) / np.linalg.norm(v) for v in rows]
+    near = np.array([[len(a) == len(b) and (a is b or a @ b >= 0.9) for b in unit] for a in unit])
+    on = np.arange(len(rows))
+    for _ in rows:
+        on = np.array([on[x].min() for x in near])
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    for sample in (vectors.SAMPLE, 20):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, sample=sample, block=30).collect()}
+        assert got == {i: (near[i].sum() - 1, on[i], on[i] == i) for i in range(len(rows))}
