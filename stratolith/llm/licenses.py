@@ -84,25 +84,28 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool]:
 
     OR offers a choice, AND demands both, WITH keeps the licence and adds an exception.
     """
-    stack: list[tuple[frozenset[str], bool]] = []
+    stack: list[tuple[set[str], bool]] = []
     for token in to_postfix(expression):
         if token in _RANK:
             (b, free_b), (a, free_a) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((frozenset(f"{x}-with-{y}" for x in a for y in b), free_a))
+                stack.append(({f"{x}-with-{y}" for x in a for y in b}, free_a))
             else:
-                stack.append((a | b, free_a or free_b if token == "or" else free_a and free_b))
+                # The smaller into the larger, so that long expressions take little more than linear time.
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+                stack.append((a, free_a or free_b if token == "or" else free_a and free_b))
         else:
-            stack.append((frozenset([token.lower()]), bool(_PERMISSIVE.match(token))))
-    return stack[0]
+            stack.append(({token.lower()}, bool(_PERMISSIVE.match(token))))
+    return frozenset(stack[0][0]), stack[0][1]
 
 
 def _expression_at(text: str, start: int) -> str:
     """The longest readable expression behind a tag, on its line."""
-    line = text[start : start + 400].split("\n", 1)[0]
-    tokens = _ID.findall(line)
+    end = text.find("\n", start)
     kept, depth, operand = [], 0, True
-    for token in tokens:
+    for found in _ID.finditer(text, start, len(text) if end < 0 else end):
+        token = found[0]
         word = token.lower()
         if word in _RANK:
             if operand:

@@ -314,3 +314,20 @@ def test_private_keys_take_linear_time():
     for text in (header * 30_000, (header + "\n" + "a " * 50) * 9_000, header + end * 40_000, header + "\n" * 1_000_000, header + "ab \n" * 200_000, header + "a" * 1_000_000, header + "\\" * 1_000_000):
         assert spans_of(text, "private_key")
     assert time.time() - begun < 20
+
+
+def test_long_licence_expressions(spark):
+    names = [f"LicenseRef-part-{i}" for i in range(60)]
+    text = "SPDX-License-Identifier: MIT AND (" + " OR ".join(["Apache-2.0", *names[:30]]) + ") AND " + " AND ".join(["MIT"] * 90) + " AND GPL-3.0-only and prose goes on\nAND BSD-3-Clause"
+    free = "// SPDX-License-Identifier: " + " AND ".join(["Apache-2.0"] * 200)
+    far = "x " * 5000 + "SPDX-License-Identifier: " + " OR ".join([*names, "MIT"])
+    got = [r for r in licenses.scan(spark.createDataFrame([(1, text), (2, free), (3, far)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert set(got[0].labels.split(",")) == {"mit", "apache-2.0", "gpl-3.0-only", "prose", *map(str.lower, names[:30])} and got[0].permissive is False
+    assert got[1].labels == "apache-2.0" and got[1].permissive is True
+    assert set(got[2].labels.split(",")) == {"mit", *map(str.lower, names)} and got[2].permissive is True
+    import time
+
+    begun = time.time()
+    for long in (" AND ".join(f"a{i}" for i in range(100_000)), "(a OR " * 50_000 + "b" + ")" * 50_000, "x" * 1_000_000, "," * 1_000_000, "a SPDX-License-Identifier: " * 40_000, "a AND SPDX-License-Identifier: " * 40_000):
+        licenses.Scanner().scan("SPDX-License-Identifier: " + long)
+    assert time.time() - begun < 20
