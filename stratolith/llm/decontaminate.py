@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.storage import own
+from .simhash import row_key
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -74,9 +75,13 @@ def contained(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, lea
 
 
 def clean(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, least: float = CONTAINMENT) -> DataFrame:
-    """Documents without a contained item, with all their columns; rows without a doc_id stay."""
-    found = contained(docs, items, words, least).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a contained item, with all their columns.
+
+    Every row is judged by its own text, whether it shares its doc_id or has none.
+    """
+    rows = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
+    found = contained(rows.select(F.col("__key").alias("doc_id"), "text"), items, words, least).select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(found, "__key", "left_anti").select(*docs.columns)
 
 
 def sketch_size(n: int, least: float = CONTAINMENT) -> int:

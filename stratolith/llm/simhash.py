@@ -53,6 +53,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return int.from_bytes(np.packbits(ones * 2 > len(starts), bitorder="little").tobytes(), "little")
 
 
+def row_key(doc_id, text) -> F.Column:
+    """16 bytes for a doc_id with a text, so that rows which share an id are told apart; null and empty texts are the same."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long."""
 
@@ -173,26 +178,47 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group that ``near_duplicates`` finds, with all columns of ``docs`` (see ``one_of_each``)."""
-    return one_of_each(docs, near_duplicates(docs, radius))
+    """One row of each group of fingerprints that hang together within ``radius`` bits, with all columns of ``docs`` (see ``one_of_each``).
+
+    Rows without a doc_id stay.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps)], ["doc_id", "key", "chars", "fp"])
+
+    named = docs.where("doc_id is not null")
+    rows = cut(keyed(named).mapInArrow(each, "doc_id long, key binary, chars int, fp long"), "fingerprints")
+    reps = cut(rows.select("fp").distinct().withColumn("rep", F.monotonically_increasing_id()), "reps")
+    found = connected_components(near_links(reps, radius), "a", "b")
+    groups = cut(reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("group")), "named")
+    return one_of_each(named, rows.join(groups, "fp")).unionByName(docs.where("doc_id is null"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, chars, text) of every row: its ``row_key``, and its text's length (-1 for null)."""
+    key, chars = row_key(docs["doc_id"], docs["text"]), F.coalesce(F.length(docs["text"]), F.lit(-1))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), key.alias("key"), chars.alias("chars"), docs["text"].alias("text"))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group of ``groups`` (doc_id, component_id), with all columns of ``docs``.
+    """One row of each group of ``groups`` (doc_id, key, chars, group; a row for each of ``docs``), with all columns of ``docs``.
 
-    The row with the group's smallest doc_id stays; of repeated rows with that
-    id, the one with the longest, then greatest, text. Rows without a doc_id
-    stay, as nothing can stand for them.
+    Rows are judged by their texts, whatever ids they share: of a group the
+    row with the smallest doc_id stays, of several the one with the longest
+    text. Rows without a doc_id stay only where their group has none with one.
+    Of repeated rows one stays.
     """
-    groups = groups.select("doc_id", "component_id")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    again = cut(again, "repeated")
+    names = docs.columns
+    texts = groups.groupBy("key").agg(*[F.min(c).alias(c) for c in ("group", "doc_id", "chars")], F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", (-F.col("chars")).alias("short"), "key", "n"))
+    best = cut(texts.groupBy("group").agg(first.alias("best")).select(F.col("best.key").alias("__key"), "best.n"), "kept")
+    rows = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
+    kept = rows.join(best.where("n = 1"), "__key", "left_semi").select(*names)
+    again = best.where("n > 1")
     if again.isEmpty():
         return kept
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text").desc_nulls_last())
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+    # Aggregated, not ranked: every task leaves one of the repeated rows before they meet.
+    one = F.max_by(F.struct(*names), F.col("text").isNotNull()).alias("row")
+    return kept.unionByName(rows.join(again, "__key", "left_semi").groupBy("__key").agg(one).select("row.*"))

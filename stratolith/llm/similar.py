@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.operators.components import connected_components
-from stratolith.storage import cut, own, spread
-from .simhash import SEED, words_of
+from stratolith.storage import cut, spread
+from .simhash import SEED, keyed, words_of
 from .tiles import deal, forest
 
 WORDS = 5
@@ -47,19 +47,19 @@ def wide_fingerprint(found: np.ndarray) -> tuple[int, int]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, lo, hi, size) of every row; texts with equal shingle sets share the digest."""
+    """(doc_id, key, chars, digest, lo, hi, size) of every row; texts with equal shingle sets share the digest."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = shingle_set(text)
                 rows.append((xxhash.xxh3_128_digest(found.tobytes()), *wide_fingerprint(found), len(found)))
             digest, lo, hi, size = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "lo", "hi", "size"])
+            columns = [*batch.columns[:3], pa.array(digest, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "chars", "digest", "lo", "hi", "size"])
 
-    return own(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(each, "doc_id long, digest binary, lo long, hi long, size int")
+    return keyed(docs).mapInArrow(each, "doc_id long, key binary, chars int, digest binary, lo long, hi long, size int")
 
 
 @dataclass
@@ -145,17 +145,19 @@ def _proposed(reps: DataFrame, block: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Links that span all pairs of a proposed group which are similar enough. ``wanted``: tile, rep, digest, size."""
+    """Links that span all pairs of a proposed group which are similar enough. ``wanted``: tile, rep, key, size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Repeated rows have one key; a task takes the first.
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
-            kept = batch.select(["tile", "rep", "lo", "hi"]).filter(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([s.tobytes() for s, k in zip(sets, same, strict=True) if k], pa.binary())], ["tile", "rep", "lo", "hi", "shingles"])
+            fresh = [not (r in seen or seen.add(r)) for r in batch.column("rep").to_pylist()]
+            kept = batch.filter(pa.array(fresh, pa.bool_()))
+            sets = [shingle_set(t).tobytes() for t in kept.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*kept.select(["tile", "rep", "lo", "hi"]).columns, pa.array(sets, pa.binary())], ["tile", "rep", "lo", "hi", "shingles"])
 
-    texts = own(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = texts.join(wanted, texts.doc_id == wanted.rep).select("tile", "rep", "lo", "hi", "digest", "text").mapInArrow(each, "tile long, rep long, lo long, hi long, shingles binary")
+    texts = keyed(docs).select("key", "text")
+    sets = texts.join(wanted, "key").select("tile", "rep", "lo", "hi", "text").mapInArrow(each, "tile long, rep long, lo long, hi long, shingles binary")
     need = F.greatest(F.count("*") / SET_ROWS, F.sum("size") / SET_SHINGLES)
     blocks = wanted.groupBy(F.col("tile").alias("to")).agg(F.ceil(need).cast("int").alias("blocks"))
     dealt = deal(sets, blocks, [], ["rep", "lo", "hi", "shingles"])
@@ -163,28 +165,33 @@ def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``, grouped by near copies.
+    """(doc_id, component_id, key, chars, group) for every row of ``docs``, grouped by near copies.
 
     Texts link when the sets of their five-word shingles (words and case as in
     ``simhash.fingerprint``) have a Jaccard similarity of 0.8 or more, and
     their 128-bit fingerprints lie within the stated radius, which holds for
-    nearly all such pairs. component_id is the smallest doc_id reachable.
-
-    Texts with equal shingle sets are one representative. Fingerprints are
-    compared tile by tile; whatever they propose is decided on the sets, group
-    by group and in blocks. Rows with a null doc_id link nothing and get the
-    component of equal texts, else null. Null texts count as empty, and texts
-    without words are copies of one another; repeated rows stay repeated; extra
-    columns are dropped; an empty table gives an empty result.
+    nearly all such pairs. group is a number of the group; component_id is its
+    smallest doc_id, null without one. key and chars are those of
+    ``simhash.keyed``.
+
+    Texts with equal shingle sets are one representative; rows link by their
+    texts alone, so rows that share a doc_id, or have none, are told apart.
+    Fingerprints are compared tile by tile; whatever they propose is decided
+    on the sets, group by group and in blocks. Null texts count as empty, and
+    texts without words are copies of one another; repeated rows stay
+    repeated; extra columns are dropped; an empty table gives an empty result.
     """
     rows = cut(_sketches(docs), "sketches")
-    same = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("lo", "hi", "size")])
-    reps = cut(same.where("rep is not null"), "reps")
+    same = rows.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("doc_id", "key", "lo", "hi", "size")])
+    reps = cut(same.withColumn("rep", F.monotonically_increasing_id()), "reps")
     if block is None:
         # About 40 blocks' meetings for each task: a row's copies grow with the root of the tasks, not with the rows.
         block = min(max(BLOCK, math.ceil(reps.count() / math.sqrt(40 * spread(reps)))), 1 << 20)
     groups = connected_components(_proposed(reps, block), "a", "b")
-    wanted = cut(groups.join(reps, groups.node == reps.rep).select(F.col("component").alias("tile"), "rep", "digest", "lo", "hi", "size"), "proposed")
+    wanted = cut(groups.join(reps, groups.node == reps.rep).select(F.col("component").alias("tile"), "rep", "key", "lo", "hi", "size"), "proposed")
     found = connected_components(_verified(docs, wanted), "a", "b")
-    named = cut(reps.join(found, reps.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
-    return rows.join(named, "digest", "left").select("doc_id", "component_id")
+    named = reps.join(found, reps.rep == found.node, "left").select("digest", "doc_id", "component", F.coalesce("component", "rep").alias("group"))
+    # Only groups of several representatives have to look up their smallest id.
+    ids = named.where("component is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.lit(True).alias("several"))
+    named = cut(named.join(ids, "group", "left").select("digest", "group", F.when(F.col("several"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")), "named")
+    return rows.join(named, "digest", "left").select("doc_id", "component_id", "key", "chars", "group")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from stratolith.llm import similar, simhash
+from stratolith.llm import decontaminate, similar, simhash
 from stratolith.storage import table
 from tests.llm.test_text_operators import ODD, WIDE
 
@@ -68,3 +68,19 @@ def test_near_copies_edges(spark):
     got = sorted(((r.doc_id, r.component_id) for r in similar.near_copies(odd).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (5, 4), (None, 4), (7, 1), (8, 8)], key=str)
     assert similar.near_copies(odd.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    word = lambda seed: " ".join("".join(random.Random(f"{seed} {i}").choices("abcdefgh", k=5)) for i in range(60))
+    near = lambda text: text + " once more"
+    a, b, c, d, e, item = (word(x) for x in "ABCDEF")
+    rows = [(5, a), (5, b), (2, b), (5, c), (5, c), (9, near(c)), (5, d), (None, near(d)), (None, e), (None, e), (7, near(a)), (5, item), (None, item), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = simhash.one_of_each(docs, similar.near_copies(docs))
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(5, a), (2, b), (5, c), (5, d), (None, e), (5, item), (3, "")], key=str)
+    apart = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs.where("doc_id = 5")).collect()), key=str)
+    assert apart == sorted([(5, a), (5, b), (5, c), (5, d), (5, item)], key=str)
+    clean = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.n for r in clean.collect()) == [n for n, (_, t) in enumerate(rows) if t != item]
