@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -60,8 +61,8 @@ class Encoder:
     Texts are parted before single blanks and at single line ends. Between two
     characters that aren't white space, these always part pre-tokens
     (byte-level) or are dropped (word-level), so the pieces' ids in a row are
-    the text's. Texts with blanks or line ends next to other white space are
-    encoded whole.
+    the text's. Texts with blanks or line ends next to other white space, and
+    texts that hold one of the tokenizer's added tokens, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,12 +70,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.lowers = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
         self.line = self.whole("\n")
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with any of these are encoded whole: our own marks, and added tokens, which part a text wherever they stand.
+        self.apart = "|".join(["[\x01\x02]", *map(re.escape, added)])
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -152,7 +155,7 @@ class Encoder:
         pieces, bad = self._pieces(coded.dictionary)
         out, ends = pieces.take(codes)
         bounds = np.concatenate([[0], ends])[at]
-        redo = pc.match_substring_regex(texts, "[\x01\x02]").to_numpy(zero_copy_only=False)
+        redo = pc.match_substring_regex(texts, self.apart, ignore_case=self.lowers).to_numpy(zero_copy_only=False)
         if bad.any():
             redo = redo | (np.add.reduceat(bad[codes], at[:-1]) > 0)
         if redo.any():

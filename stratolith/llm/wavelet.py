@@ -5,7 +5,10 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from io import BytesIO
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -21,62 +24,68 @@ from .tokens import Encoder, ended, slices
 END = 0
 #: Ids in a shard, unless one document alone has more.
 SHARD_IDS = 1 << 20
-#: Bits between two entries of the rank directory.
-STEP = 512
-_MAGIC = b"WVM1"
+#: Bits of a block, and blocks that an open file keeps.
+BLOCK_BITS, BLOCKS_KEPT = 1 << 16, 64
+_MAGIC = b"WVM2"
+#: Ids, documents, planes, entries of each plane's directory, bytes of the documents' part.
+_HEAD = struct.Struct("<QQIIQ")
 
 
 class WaveletMatrix:
     """Bit-planes of a sequence of ids, highest bit first, each stably parted by its bit for the next.
 
-    ``rank`` directories every 512 bits make access, counting and lookup cost
-    a few steps for each plane (Claude, Navarro and Ordonez 2015).
+    Planes are cut into blocks, and a directory holds the ones before each, so
+    access, counting and lookup take a block or two of each plane (Claude,
+    Navarro and Ordonez 2015). A file holds the directory and its blocks, each
+    compressed on its own; one that is opened reads only the blocks it needs.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray]) -> None:
-        self.n, self.planes = n, planes  # packed bits, little bit order
-        self.ones = [self._directory(p) for p in planes]
-        self.zeros = [n - int(self._rank1(k, n)) for k in range(len(planes))]
+    def __init__(self, n: int, ones: np.ndarray, block: Callable[[int, int], np.ndarray]) -> None:
+        self.n, self.ones, self.block = n, ones, block  # ones: planes x (blocks + 1); a block's bytes are in little bit order
+        self.bits = len(ones)
+        self.zeros = [n - int(row[-1]) for row in ones]
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
         row = np.ascontiguousarray(ids)
         bits = bits or max(1, int(row.max(initial=0)).bit_length())
-        planes = []
+        planes, step = [], BLOCK_BITS // 8
         for k in reversed(range(bits)):
             bit = (row >> k & 1).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
             row = np.concatenate([row[~bit], row[bit]])
-        return cls(len(ids), planes)
-
-    @staticmethod
-    def _directory(plane: np.ndarray) -> np.ndarray:
-        counts = np.bitwise_count(plane)
-        whole = np.add.reduceat(counts, np.arange(0, len(counts), STEP // 8), dtype=np.int64) if len(counts) else np.empty(0, np.int64)
-        return np.concatenate([[0], np.cumsum(whole)])
+        ones = np.zeros((bits, -(-len(ids) // BLOCK_BITS) + 1), np.int64)
+        for k, plane in enumerate(planes):
+            if len(plane):
+                ones[k, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), step), dtype=np.int64))
+        return cls(len(ids), ones, lambda k, b: planes[k][b * step : (b + 1) * step])
 
     def _rank1(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        block, plane = i // STEP, self.planes[k]
-        a = block * (STEP // 8)
-        count = int(self.ones[k][block]) + int(np.bitwise_count(plane[a : i // 8]).sum(dtype=np.int64))
-        return count + (int(plane[i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
+        b, rest = divmod(i, BLOCK_BITS)
+        count = int(self.ones[k][b])
+        if rest:
+            data = self.block(k, b)
+            count += int(np.bitwise_count(data[: rest // 8]).sum(dtype=np.int64))
+            count += int(data[rest // 8] & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else 0
+        return count
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, plane in enumerate(self.planes):
-            bit = plane[i // 8] >> (i % 8) & 1
+        for k in range(self.bits):
+            b, rest = divmod(i, BLOCK_BITS)
+            bit = int(self.block(k, b)[rest // 8] >> (rest % 8) & 1)
             ones = self._rank1(k, i)
             i = self.zeros[k] + ones if bit else i - ones
-            value = value << 1 | int(bit)
+            value = value << 1 | bit
         return value
 
     def _range(self, value: int, a: int, b: int) -> tuple[int, int]:
-        for k in range(len(self.planes)):
+        for k in range(self.bits):
             p, q = self._rank1(k, a), self._rank1(k, b)
-            if value >> (len(self.planes) - 1 - k) & 1:
+            if value >> (self.bits - 1 - k) & 1:
                 a, b = self.zeros[k] + p, self.zeros[k] + q
             else:
                 a, b = a - p, b - q
@@ -84,62 +93,74 @@ class WaveletMatrix:
 
     def count(self, value: int, a: int = 0, b: int | None = None) -> int:
         """Occurrences of ``value`` from a to b."""
-        if value >> len(self.planes):
+        if value >> self.bits:
             return 0
         a, b = self._range(value, a, self.n if b is None else b)
         return b - a
 
     def _select(self, k: int, bit: int, j: int) -> int:
         """Where bit number j (from 0) of that kind stands in plane k."""
-        before = self.ones[k] if bit else np.minimum(np.arange(len(self.ones[k])) * STEP, self.n) - self.ones[k]
-        block = int(np.searchsorted(before, j, side="right")) - 1
-        a = block * (STEP // 8)
-        bits = np.unpackbits(self.planes[k][a : a + STEP // 8], bitorder="little")[: self.n - block * STEP]
-        return block * STEP + int(np.flatnonzero(bits == bit)[j - int(before[block])])
+        before = self.ones[k] if bit else np.minimum(np.arange(len(self.ones[k])) * BLOCK_BITS, self.n) - self.ones[k]
+        b = int(np.searchsorted(before, j, side="right")) - 1
+        bits = np.unpackbits(self.block(k, b), bitorder="little")[: self.n - b * BLOCK_BITS]
+        return b * BLOCK_BITS + int(np.flatnonzero(bits == bit)[j - int(before[b])])
 
     def lookup(self, value: int, j: int) -> int:
         """Where occurrence number j (from 0) of ``value`` stands."""
         if not 0 <= j < self.count(value):
             raise IndexError(j)
         i = self._range(value, 0, self.n)[0] + j
-        for k in reversed(range(len(self.planes))):
-            bit = value >> (len(self.planes) - 1 - k) & 1
+        for k in reversed(range(self.bits)):
+            bit = value >> (self.bits - 1 - k) & 1
             i = self._select(k, bit, i - self.zeros[k] if bit else i)
         return i
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the parting plane by plane from the lowest bit."""
-        row = np.zeros(self.n, np.uint32 if len(self.planes) > 16 else np.uint16)
-        for k in reversed(range(len(self.planes))):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+        row = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
+        for k in reversed(range(self.bits)):
+            plane = np.concatenate([np.empty(0, np.uint8), *[self.block(k, b) for b in range(self.ones.shape[1] - 1)]])
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(row)
             back[~bit], back[bit] = row[: self.zeros[k]], row[self.zeros[k] :]
-            row = back | bit.astype(row.dtype) << (len(self.planes) - 1 - k)
+            row = back | bit.astype(row.dtype) << (self.bits - 1 - k)
         return row
 
     def to_bytes(self, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-        """The file: head, documents, then each plane compressed on its own."""
+        """The file: head, ones before each block, compressed bytes of each block, documents, then the blocks plane by plane."""
         zip_ = zstandard.ZstdCompressor(level=1).compress
         known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
         docs = zip_(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + lengths.astype("<i8").tobytes() + known.tobytes())
-        planes = [zip_(p.tobytes()) for p in self.planes]
-        head = _MAGIC + struct.pack("<QQII", self.n, len(doc_ids), len(planes), len(docs)) + struct.pack(f"<{len(planes)}I", *map(len, planes))
-        return b"".join([head, docs, *planes])
+        blocks = [zip_(self.block(k, b).tobytes()) for k in range(self.bits) for b in range(self.ones.shape[1] - 1)]
+        head = _MAGIC + _HEAD.pack(self.n, len(doc_ids), *self.ones.shape, len(docs))
+        return b"".join([head, self.ones.astype("<i8").tobytes(), np.array(list(map(len, blocks)), "<u4").tobytes(), docs, *blocks])
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-        if data[:4] != _MAGIC:
+    def open(cls, file: BinaryIO) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
+        """(the matrix, doc ids, lengths) of a file; blocks are read when they are asked for."""
+
+        def read(at: int, n: int) -> bytes:
+            file.seek(at)
+            return file.read(n)
+
+        head = read(0, len(_MAGIC) + _HEAD.size)
+        if head[: len(_MAGIC)] != _MAGIC:
             raise ValueError("not a wavelet matrix file")
-        n, docs, planes, size = struct.unpack_from("<QQII", data, 4)
-        sizes = struct.unpack_from(f"<{planes}I", data, 28)
-        at, unzip = 28 + 4 * planes, zstandard.ZstdDecompressor().decompress
-        raw = unzip(data[at : at + size])
+        n, docs, planes, width, size = _HEAD.unpack_from(head, len(_MAGIC))
+        at, unzip = len(head), zstandard.ZstdDecompressor().decompress
+        directory = read(at, planes * (8 * width + 4 * (width - 1)))
+        ones = np.frombuffer(directory, "<i8", planes * width).reshape(planes, width)
+        at += len(directory)
+        raw = unzip(read(at, size))
         ids, lengths, known = np.frombuffer(raw, "<i8", docs), np.frombuffer(raw, "<i8", docs, 8 * docs), np.frombuffer(raw, np.uint8, docs, 16 * docs)
-        at, parts = at + size, []
-        for s in sizes:
-            parts.append(np.frombuffer(unzip(data[at : at + s]), np.uint8))
-            at += s
-        return cls(n, parts), [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], lengths
+        ends = at + size + np.cumsum([0, *np.frombuffer(directory, "<u4", offset=8 * planes * width).tolist()])
+
+        @lru_cache(BLOCKS_KEPT)
+        def block(k: int, b: int) -> np.ndarray:
+            i = k * (width - 1) + b
+            return np.frombuffer(unzip(read(int(ends[i]), int(ends[i + 1] - ends[i]))), np.uint8)
+
+        return cls(n, ones, block), [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], lengths
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataFrame:
@@ -202,8 +223,9 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
         store = fs.FileSystem.from_uri(folder)[0]
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # All ids are wanted here, so the file comes in one read.
                 with store.open_input_file(path) as file:
-                    matrix, doc_ids, lengths = WaveletMatrix.from_bytes(file.read())
+                    matrix, doc_ids, lengths = WaveletMatrix.open(BytesIO(file.read()))
                 ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
                 crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(

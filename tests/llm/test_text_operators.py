@@ -1,4 +1,5 @@
 import hashlib
+import io
 import re
 import zlib
 
@@ -164,7 +165,6 @@ def test_decontamination_edges(spark, odd):
 
 def encoded(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -182,29 +182,70 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
+def laid(histogram, size):
+    """Every piece's place in the stream, by length and rank."""
+    found = {}
+    for length, each, first, count, total, at in packing.plan(histogram, size):
+        for i in range(count):
+            for j in range(each):
+                rank = first + i * each + j
+                assert (length, rank) not in found
+                found[length, rank] = at + i * total + j * length
+    return found
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan_places_every_token_once(seed):
     rng = np.random.default_rng(seed)
     histogram = {int(n): int(c) for n, c in zip(rng.integers(1, 129, 30), rng.integers(1, 40, 30), strict=True)}
-    seen, used = set(), {}
-    for length, lo, hi, first, count, sequence, offset in packing.plan(histogram, 128):
-        for i in range(count):
-            for k in range(lo, hi):
-                assert (length, first + i, k) not in seen
-                seen.add((length, first + i, k))
-            used.setdefault(sequence + i, []).append((offset, hi - lo))
-    assert len(seen) == sum(n * c for n, c in histogram.items())
-    for parts in used.values():
-        at = 0
-        for offset, n in sorted(parts):
-            assert offset == at
-            at += n
-    assert sum(sum(n for _, n in p) < 128 for p in used.values()) <= 1
+    found = laid(histogram, 128)
+    assert set(found) == {(n, r) for n, c in histogram.items() for r in range(c)}
+    at = 0
+    for begin, length in sorted((begin, length) for (length, _), begin in found.items()):
+        assert begin == at  # no gap and no overlap
+        at += length
+    cut = sum(begin // 128 != (begin + length - 1) // 128 for (length, _), begin in found.items())
+    assert cut <= at // 128
+
+
+def test_packing_plans_are_small():
+    import time
 
+    many = 10**9
+    shapes = {"1/n": lambda k: many // k, "exponential": lambda k: int(many * 0.99**k), "flat": lambda k: many, "ones": lambda k: many * (k == 1), "odd": lambda k: k * 7919 % 10007}
+    for name, shape in shapes.items():
+        begun = time.time()
+        rows = packing.plan({k: shape(k) for k in range(1, 2048)})
+        assert len(rows) <= packing.plan_rows() and time.time() - begun < 5, name
+        assert sum(each * count for _, each, _, count, *_ in rows) == sum(shape(k) for k in range(1, 2048)), name
 
-def test_wavelet_matrix():
+
+def test_packed_pieces_hold_the_documents_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(7)
+    words = ["alpha", "beta", "gamma", "delta", "<|endoftext|>", "rain", "42", "."]
+    texts = [" ".join(rng.choice(words, n)) for n in [3, 40, 40, 40, 200, 900, *rng.integers(1, 120, 60)]] * 2 + ["<|STARTOFTEXT|>", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = encoded("word_bpe_49k.json", texts, 1)
+    got = packing.pack(docs, path, size=64).toPandas().sort_values(["doc_id", "start"])
+    for doc_id, pieces in got.groupby("doc_id"):
+        at = 0
+        for p in pieces.itertuples():
+            assert p.start == at and p.length > 0 and p.offset + p.length <= 64 and p.doc_tokens == len(ids[doc_id])
+            assert p.ids_crc32 == zlib.crc32(ids[doc_id][at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids[doc_id])
+    assert got.doc_id.nunique() == len(texts)
+    totals = got.groupby("sequence_id").length.sum()
+    assert sorted(totals.index) == list(range(len(totals))) and (totals < 64).sum() <= 1 and totals.max() == 64
+
+
+def test_wavelet_matrix(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK_BITS", 512)
     ids = np.random.default_rng(1).integers(0, 300, 3000).astype(np.uint16)
-    m, docs, lengths = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes([5, None], np.array([1000, 2000])))
+    data = wavelet.WaveletMatrix.build(ids).to_bytes([5, None], np.array([1000, 2000]))
+    m, docs, lengths = wavelet.WaveletMatrix.open(io.BytesIO(data))
     assert (m.decode() == ids).all() and docs == [5, None] and lengths.tolist() == [1000, 2000]
     for i in (0, 511, 512, 1700, 2999):
         assert m.access(i) == ids[i]
@@ -212,11 +253,31 @@ def test_wavelet_matrix():
         at = np.flatnonzero(ids == v)
         assert m.count(v) == len(at) and m.count(v, 100, 900) == ((at >= 100) & (at < 900)).sum()
         assert [m.lookup(v, j) for j in range(len(at))] == at.tolist()
+    empty, docs, _ = wavelet.WaveletMatrix.open(io.BytesIO(wavelet.WaveletMatrix.build(np.empty(0, np.uint16)).to_bytes([], np.empty(0, np.int64))))
+    assert len(empty.decode()) == 0 == empty.count(0) and docs == []
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.open(io.BytesIO(b"junk" * 20))
+
+
+def test_wavelet_access_reads_few_blocks():
+    class Counted(io.BytesIO):
+        bytes_read = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            Counted.bytes_read += len(got)
+            return got
+
+    ids = np.random.default_rng(2).integers(0, 1 << 16, 1 << 20).astype(np.uint16)
+    data = wavelet.WaveletMatrix.build(ids).to_bytes([1], np.array([len(ids)]))
+    m, _, _ = wavelet.WaveletMatrix.open(Counted(data))
+    assert m.access(777_777) == ids[777_777] and Counted.bytes_read < len(data) / 10
 
 
 def test_token_files(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    for docs in (table(spark, DATA, "documents"), odd):
+    special = spark.createDataFrame([(1, "one <|endoftext|> two"), (2, "<|endoftext|>"), (3, "<|ENDOFTEXT|> plain"), (4, "a<|endoftext|>b c")], "doc_id long, text string")
+    for docs in (table(spark, DATA, "documents"), odd, special):
         rows = docs.orderBy("doc_id", F.xxhash64("text")).select("doc_id", "text").collect()
         ids = encoded("byte_bpe_50k.json", [r.text for r in rows], 0)
         starts = np.cumsum([0, *map(len, ids)])
