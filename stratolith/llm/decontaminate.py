@@ -4,48 +4,66 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratolith.storage import own
+from stratolith.storage import cut, own, unused
 from .simhash import row_key
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Item shingles up to which they are broadcast (about 100 bytes each); more are joined by shuffle.
-BROADCAST_SHINGLES = 200_000
+#: Rows of sketches or candidates up to which they are broadcast (some 50 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: A word: a run of letters, digits and marks; everything else parts words.
 _BETWEEN = r"[^\p{L}\p{N}\p{M}]+"
 
 
-def _shingles(text, words: int) -> F.Column:
-    """The shingles of a whole text as strings; fewer words than a shingle has make one of all."""
+def _shingles(text, words: int, one) -> F.Column:
+    """``one`` of the word list of each shingle of a whole text; fewer words than a shingle has make one of all."""
     parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
 
     def each(ws):
         n = F.size(ws)
-        full = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(words)]))
-        return F.when(n >= words, full).when(n > 0, F.array(F.concat_ws(" ", ws))).otherwise(F.array().cast("array<string>"))
+        full = F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: one(F.slice(ws, i, F.lit(words))))
+        return F.when(n >= words, full).when(n > 0, F.array(one(ws)))
 
     # The outer array holds the words once, so that each shingle doesn't split the text again.
-    return F.flatten(F.transform(F.array(parts), each))
+    return F.flatten(F.filter(F.transform(F.array(parts), each), lambda found: found.isNotNull()))
+
+
+def _text(ws) -> F.Column:
+    return F.concat_ws(" ", ws)
 
 
 def item_shingles(items: DataFrame, words: int, least: float) -> DataFrame:
-    """(item_id, shingle, n, sketch): distinct shingles of every item, those of its MinHash sketch marked.
+    """(item_id, shingle, hash, n, sketch): distinct shingles of every item, those of its MinHash sketch marked.
 
     Items are partitioned by size: one with n distinct shingles keeps the
     n - ceil(least * n) + 1 of least hash. A document that holds at least
     ``least`` of the item lacks at most n - ceil(least * n) of its shingles,
     so it holds one of the sketch: the search can't miss.
     """
-    from pyspark.sql import Window
-
-    each = own(items, item_id="item_id", text="text").where("item_id is not null").select("item_id", F.explode(_shingles(F.col("text"), words)).alias("shingle")).distinct()
+    each = own(items, item_id="item_id", text="text").where("item_id is not null")
+    each = each.select("item_id", F.explode(F.arrays_zip(_shingles(F.col("text"), words, _text).alias("shingle"), _shingles(F.col("text"), words, F.xxhash64).alias("hash"))).alias("s")).select("item_id", "s.*").distinct()
     size = Window.partitionBy("item_id")
-    rank = F.row_number().over(size.orderBy(F.xxhash64("shingle"), "shingle"))
+    rank = F.row_number().over(size.orderBy("hash", "shingle"))
     kept = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    return each.withColumn("n", F.count("*").over(size)).withColumn("sketch", rank <= kept).select("item_id", "shingle", "n", "sketch")
+    return each.withColumn("n", F.count("*").over(size)).withColumn("sketch", rank <= kept)
+
+
+def candidates(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc_id, item_id), once each, of all documents that hold a sketch's hash.
+
+    Only hashes up to the greatest in any sketch are looked up, so a document's
+    own sketch grows with its length and a short item is found in a long one.
+    """
+    sketch = wanted.where("sketch").select("hash", "item_id")
+    known = sketch.agg(F.count("*").alias("n"), F.max("hash").alias("greatest")).first()
+    if known["n"] <= BROADCAST_ROWS:
+        sketch = F.broadcast(sketch)
+    greatest = F.lit(known["greatest"]).cast("long")
+    hashes = F.filter(_shingles(F.col("text"), words, F.xxhash64), lambda h: h <= greatest)
+    return texts.select("doc_id", F.explode(hashes).alias("hash")).join(sketch, "hash").select("doc_id", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, least: float = CONTAINMENT) -> DataFrame:
@@ -53,23 +71,29 @@ def contained(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, lea
 
     Words are lower-cased runs of letters, digits and marks; documents are
     read whole, so an item inside a long one counts as much as in a short
-    one. A pair becomes a candidate by a shingle of the item's sketch, and
-    is verified by the exact share of the item's distinct shingles. Items with
-    fewer words than a shingle match only documents that consist of them.
-    Null texts count as empty and hold nothing; rows with a null id aren't
-    returned; rows that share a doc_id count as one document, and likewise
-    items; extra columns are ignored; an empty table gives an empty result.
+    one. A pair becomes a candidate by a hash of the item's sketch, and only
+    candidates are verified, by the exact share of the item's distinct
+    shingles. Items with fewer words than a shingle match only documents that
+    consist of them. Null texts count as empty and hold nothing; rows with a
+    null id aren't returned; rows that share a doc_id count as one document,
+    and likewise items; extra columns are ignored; an empty table gives an
+    empty result.
     """
-    wanted = item_shingles(items, words, least)
-    if wanted.count() <= BROADCAST_SHINGLES:
-        wanted = F.broadcast(wanted)
+    wanted = cut(item_shingles(items, words, least), "items")
     texts = own(docs, doc_id="doc_id", text="text").where("doc_id is not null")
-    hits = texts.select("doc_id", F.explode(_shingles(F.col("text"), words)).alias("shingle")).join(wanted, "shingle")
-    once = hits.groupBy("doc_id", "item_id", "shingle").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    pairs = cut(candidates(texts, wanted, words), "candidates")
+    found = pairs.select("doc_id").distinct()
+    # Where candidates are few, the other documents never leave their tasks.
+    found = F.broadcast(found) if pairs.count() <= BROADCAST_ROWS else found
+    shingles = F.array_distinct(_shingles(F.col("text"), words, _text))
+    hits = texts.join(found, "doc_id", "left_semi").select("doc_id", F.explode(shingles).alias("shingle")).join(wanted.select("item_id", "shingle", "n"), "shingle")
     return (
-        once.groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("shared"), F.max("n").alias("item_shingles"), F.max("sketch").alias("candidate"))
-        .where(F.col("candidate") & (F.col("shared") >= F.ceil(F.lit(least) * F.col("item_shingles") - 1e-9)))
+        hits.join(pairs, ["doc_id", "item_id"], "left_semi")
+        .groupBy("doc_id", "item_id", "shingle")
+        .agg(F.max("n").alias("n"))
+        .groupBy("doc_id", "item_id")
+        .agg(F.count("*").alias("shared"), F.max("n").alias("item_shingles"))
+        .where(F.col("shared") >= F.ceil(F.lit(least) * F.col("item_shingles") - 1e-9))
         .select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
     )
 
@@ -79,9 +103,11 @@ def clean(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, least:
 
     Every row is judged by its own text, whether it shares its doc_id or has none.
     """
-    rows = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
-    found = contained(rows.select(F.col("__key").alias("doc_id"), "text"), items, words, least).select(F.col("doc_id").alias("__key")).distinct()
-    return rows.join(found, "__key", "left_anti").select(*docs.columns)
+    key = unused(docs, "key")
+    rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
+    # Written, so that Spark knows its size and leaves the documents where they are if it is small.
+    found = cut(contained(rows.select(F.col(key).alias("doc_id"), "text"), items, words, least).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return rows.join(found, key, "left_anti").select(*docs.columns)
 
 
 def sketch_size(n: int, least: float = CONTAINMENT) -> int:

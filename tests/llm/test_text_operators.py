@@ -163,6 +163,20 @@ def test_decontamination_edges(spark, odd):
     assert all(decontaminate.sketch_size(n) - 1 < n - 0.8 * n + 1 for n in range(1, 200))
 
 
+def test_sketches_find_all_and_little_else(spark, monkeypatch):
+    docs, items = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
+    wanted = decontaminate.item_shingles(items, 5, 0.8)
+    for r in wanted.groupBy("item_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"), F.count_if("sketch").alias("kept")).collect():
+        assert r.n == r.rows and r.kept == decontaminate.sketch_size(r.n) < r.n
+    found = {tuple(r) for r in decontaminate.candidates(docs.select("doc_id", "text"), wanted, 5).collect()}
+    exact = sorted(map(tuple, decontaminate.contained(docs, items).collect()))
+    assert {(i, j) for i, j, *_ in exact} <= found and len(found) < 2 * len(exact) + 20
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, decontaminate.contained(docs, items).collect())) == exact
+    clash = docs.withColumn("key", F.lit(1)).withColumn("__key", F.lit(2))
+    assert decontaminate.clean(clash, items).columns == clash.columns
+
+
 def encoded(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
