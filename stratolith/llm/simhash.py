@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.operators.components import connected_components
-from stratolith.storage import cut, own, spread
-from .tiles import Labels, runs
+from stratolith.storage import cut, own, unused
+from .tiles import deal, forest, plan
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -84,58 +86,24 @@ def _steps(radius: int) -> list[int]:
     return [sum(x << (5 * i) for i, x in enumerate(d)) for d in steps]
 
 
-def _compare(radius: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home, reps, labels = None, [], [], None
-        fps = ids = np.empty(0, np.int64)
-
-        def close() -> list:
-            """Star edges from the rows of the block to the least of those they hang together with."""
-            if labels is None or key is None:
-                return []
-            moved = np.flatnonzero(labels.of != np.arange(len(labels.of)))
-            return [(ids[moved], ids[labels.of[moved]])]
-
-        def meet(fp: np.ndarray, rep: np.ndarray, same: bool) -> list:
-            found = []
-            for i in range(0, len(fp), 256):
-                near = np.bitwise_count(fp[i : i + 256, None] ^ fps[None, :]) <= radius
-                for row in np.flatnonzero(near.sum(axis=1) > same):
-                    least = labels.join(np.flatnonzero(near[row]))
-                    if not same:
-                        found.append((rep[i + row], ids[least]))
-            return [tuple(np.array(x, dtype=np.int64) for x in zip(*found, strict=True))] if found else []
-
-        def begin() -> list:
-            nonlocal fps, ids, labels, home, reps
-            fps, ids = np.concatenate(home), np.concatenate(reps)
-            labels, home, reps = Labels(len(fps)), [], []
-            return meet(fps, ids, True)
-
-        def out(edges: list) -> Iterator[pa.RecordBatch]:
-            for a, b in edges:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for (tile, block, side), part in runs(batches, ("tile", "block", "side")):
-            if (tile, block) != key:
-                if home:
-                    yield from out(begin())
-                yield from out(close())
-                key, labels, home, reps = (tile, block), None, [], []
-            fp, rep = part.column("fp").to_numpy().view(np.uint64), part.column("rep").to_numpy()
-            if side == 0:
-                home.append(fp)
-                reps.append(rep)
-                continue
-            if home:
-                yield from out(begin())
-            if labels is not None:
-                yield from out(meet(fp, rep, False))
-        if home:
-            yield from out(begin())
-        yield from out(close())
-
-    return task
+@dataclass
+class _Prints:
+    """Fingerprints and their representatives."""
+
+    fp: np.ndarray
+    rep: np.ndarray
+
+    @classmethod
+    def load(cls, parts: list[pa.RecordBatch]) -> _Prints:
+        fp, rep = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("fp", "rep"))
+        return cls(fp.view(np.uint64), rep)
+
+    def near(self, home: _Prints, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(0, len(self.fp), 256):
+            close = np.bitwise_count(self.fp[i : i + 256, None] ^ home.fp[None, :]) <= radius
+            # Every member is close to itself.
+            for row in np.flatnonzero(close.sum(axis=1) > (self is home)).tolist():
+                yield i + row, np.flatnonzero(close[row])
 
 
 def near_links(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -147,16 +115,12 @@ def near_links(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
     counts differ beyond the radius are never sent to each other. A task
     returns a spanning forest of what it found, not all pairs.
     """
-    tiled = reps.withColumn("tile", _tile(F.col("fp")))
+    steps = _steps(radius)
+    tiled = reps.withColumn("tile", _tile(F.col("fp")).cast("long"))
     # At most 17**4 = 83,521 rows, however many documents there are.
-    blocks = F.broadcast(tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("tile", "to"))
-    at = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    steps = F.array(*[F.lit(x) for x in [0, *_steps(radius)]])
-    sent = tiled.withColumn("step", F.explode(steps)).withColumn("to", F.col("tile") + F.col("step")).join(blocks, "to").withColumn("at", F.when(F.col("step") == 0, at).otherwise(-1))
-    dealt = sent.withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1))).select(
-        F.col("to").alias("tile"), "block", (F.col("block") != F.col("at")).cast("int").alias("side"), "fp", "rep"
-    )
-    return dealt.repartition(spread(reps), "tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(_compare(radius), "a long, b long")
+    sizes = F.broadcast(plan(tiled.groupBy("tile").agg((F.count("*") / block).alias("need")), steps))
+    sent = tiled.withColumn("visits", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("tile", F.col("tile") + F.col("visits"))
+    return deal(sent.join(sizes, "tile"), ["fp", "rep"]).mapInArrow(forest(_Prints.load, partial(_Prints.near, radius=radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -213,12 +177,13 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     names = docs.columns
     texts = groups.groupBy("key").agg(*[F.min(c).alias(c) for c in ("group", "doc_id", "chars")], F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", (-F.col("chars")).alias("short"), "key", "n"))
-    best = cut(texts.groupBy("group").agg(first.alias("best")).select(F.col("best.key").alias("__key"), "best.n"), "kept")
-    rows = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
-    kept = rows.join(best.where("n = 1"), "__key", "left_semi").select(*names)
-    again = best.where("n > 1")
+    key = unused(docs, "key")
+    best = cut(texts.groupBy("group").agg(first.alias("best")).select(F.col("best.key").alias(key), F.col("best.n").alias("copies")), "kept")
+    rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
+    kept = rows.join(best.where("copies = 1").select(key), key, "left_semi").select(*names)
+    again = best.where("copies > 1").select(key)
     if again.isEmpty():
         return kept
     # Aggregated, not ranked: every task leaves one of the repeated rows before they meet.
     one = F.max_by(F.struct(*names), F.col("text").isNotNull()).alias("row")
-    return kept.unionByName(rows.join(again, "__key", "left_semi").groupBy("__key").agg(one).select("row.*"))
+    return kept.unionByName(rows.join(again, key, "left_semi").groupBy(key).agg(one).select("row.*"))

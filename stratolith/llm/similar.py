@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratolith.operators.components import connected_components
 from stratolith.storage import cut, spread
 from .simhash import SEED, keyed, words_of
-from .tiles import deal, forest
+from .tiles import deal, forest, plan
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -138,10 +138,11 @@ def _proposed(reps: DataFrame, block: int) -> DataFrame:
     ratio, width = math.log(1 / SIMILARITY), max(RADIUS) + 1
     tile = (F.floor(F.log("size") / ratio) + 1) * 8 + F.floor((F.bit_count("lo") + F.bit_count("hi")) / width) + 1
     tiled = reps.where("size > 0").select(tile.cast("long").alias("tile"), "rep", "lo", "hi", "size")
+    steps = [1, 7, 8, 9]
     # Classes grow with the logarithm of a text's length: a few hundred rows.
-    blocks = F.broadcast(tiled.groupBy(F.col("tile").alias("to")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    dealt = deal(tiled, blocks, [1, 7, 8, 9], ["rep", "lo", "hi", "size"])
-    return dealt.repartition(spread(reps), "tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(forest(_Prints.load, _Prints.near), "a long, b long")
+    sizes = F.broadcast(plan(tiled.groupBy("tile").agg((F.count("*") / block).alias("need")), steps))
+    sent = tiled.withColumn("visits", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("tile", F.col("tile") + F.col("visits"))
+    return deal(sent.join(sizes, "tile"), ["rep", "lo", "hi", "size"]).mapInArrow(forest(_Prints.load, _Prints.near), "a long, b long")
 
 
 def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -154,14 +155,14 @@ def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             fresh = [not (r in seen or seen.add(r)) for r in batch.column("rep").to_pylist()]
             kept = batch.filter(pa.array(fresh, pa.bool_()))
             sets = [shingle_set(t).tobytes() for t in kept.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*kept.select(["tile", "rep", "lo", "hi"]).columns, pa.array(sets, pa.binary())], ["tile", "rep", "lo", "hi", "shingles"])
+            yield pa.RecordBatch.from_arrays([*kept.select(columns).columns, pa.array(sets, pa.binary())], [*columns, "shingles"])
 
-    texts = keyed(docs).select("key", "text")
-    sets = texts.join(wanted, "key").select("tile", "rep", "lo", "hi", "text").mapInArrow(each, "tile long, rep long, lo long, hi long, shingles binary")
+    columns = ["tile", "blocks", "parts", "rep", "lo", "hi"]
     need = F.greatest(F.count("*") / SET_ROWS, F.sum("size") / SET_SHINGLES)
-    blocks = wanted.groupBy(F.col("tile").alias("to")).agg(F.ceil(need).cast("int").alias("blocks"))
-    dealt = deal(sets, blocks, [], ["rep", "lo", "hi", "shingles"])
-    return dealt.repartition(spread(docs), "tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(forest(_Sets.load, _Sets.near), "a long, b long")
+    sized = wanted.join(plan(wanted.groupBy("tile").agg(need.alias("need")), []), "tile")
+    texts = keyed(docs).select("key", "text").join(sized, "key").select(*columns, "text")
+    sets = texts.mapInArrow(each, "tile long, blocks int, parts int, rep long, lo long, hi long, shingles binary").withColumn("visits", F.lit(0))
+    return deal(sets, ["rep", "lo", "hi", "shingles"]).mapInArrow(forest(_Sets.load, _Sets.near), "a long, b long")
 
 
 def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:

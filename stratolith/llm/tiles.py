@@ -1,4 +1,4 @@
-"""Rows that are dealt out as (tile, block, side), read back run by run."""
+"""Rows that are dealt out as (tile, block, part, side), read back run by run."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratolith.storage import spread
+
 
 def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Split sorted batches wherever a key changes. A run may go on in the next batch."""
@@ -38,27 +40,50 @@ class Labels:
             self.of[np.isin(self.of, np.unique(own))] = least
         return int(least)
 
-def deal(rows: DataFrame, blocks: DataFrame, steps: list[int], columns: list[str]) -> DataFrame:
-    """(tile, block, side, *columns): each row as a member of its block (side 0) and as a visitor of others (side 1).
 
-    ``rows`` has tile, rep and ``columns``; ``blocks`` has (to, blocks), the
-    number of blocks of each tile. A row visits the later blocks of its own
-    tile and all blocks of the tiles that lie ``steps`` further, so that any
-    two rows of such tiles meet in one block.
+
+#: Blocks' worth of visitors that a task takes for one block at once.
+VISITORS = 2
+
+
+def plan(need: DataFrame, steps: list[int]) -> DataFrame:
+    """(tile, blocks, parts) of each tile: its blocks, and the parts into which their visitors are dealt.
+
+    ``need`` has (tile, need), a tile's rows in blocks; the tiles that lie
+    ``steps`` before it send it all of theirs, and its own blocks theirs to
+    later ones.
+    """
+    moved = need.withColumn("step", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("to", F.col("tile") + F.col("step"))
+    sums = moved.groupBy("to").agg(F.max(F.when(F.col("step") == 0, F.col("need"))).alias("own"), F.sum("need").alias("all"))
+    parts = F.greatest(F.ceil(F.col("all") / VISITORS), F.lit(1)).cast("int")
+    return sums.where("own is not null").select(F.col("to").alias("tile"), F.ceil("own").cast("int").alias("blocks"), parts.alias("parts"))
+
+
+def deal(sent: DataFrame, columns: list[str]) -> DataFrame:
+    """(tile, block, part, side, *columns): rows as members of their block (side 0) and as visitors of others (side 1), dealt and sorted.
+
+    ``sent`` has tile, rep, visits (0 on a row's own tile), and the tile's
+    blocks and parts. Members come to each part, visitors to one, so any two
+    rows meet once, and no task sees more of a block than its members and
+    ``VISITORS`` blocks of others, however large the tile is.
     """
-    at = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    sent = rows.withColumn("step", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("to", F.col("tile") + F.col("step"))
-    sent = sent.join(blocks, "to").withColumn("at", F.when(F.col("step") == 0, at).otherwise(-1))
-    return sent.withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1))).select(
-        F.col("to").alias("tile"), "block", (F.col("block") != F.col("at")).cast("int").alias("side"), *columns
-    )
+    at = F.when(F.col("visits") == 0, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(-1)
+    place = lambda block, part, side: F.struct(block.alias("block"), part.alias("part"), F.lit(side).alias("side"))
+    member = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(F.col("at"), p, 0))
+    visitor = F.transform(F.sequence(F.col("at") + 1, F.col("blocks") - 1), lambda b: place(b, F.col("visited"), 1))
+    none = F.array().cast("array<struct<block:int,part:int,side:int>>")
+    places = F.concat(F.when(F.col("at") >= 0, member).otherwise(none), F.when(F.col("at") + 1 < F.col("blocks"), visitor).otherwise(none))
+    numbered = sent.withColumns({"at": at, "visited": F.pmod(F.xxhash64("rep", F.lit("visits")), F.col("parts")).cast("int")})
+    dealt = numbered.withColumn("place", F.explode(places)).select("tile", "place.*", *columns)
+    return dealt.repartition(spread(sent), "tile", "block", "part").sortWithinPartitions("tile", "block", "part", "side")
 
 
 def forest(load: Callable, near: Callable) -> Callable:
-    """A task over dealt rows, sorted by (tile, block, side), that returns links (a, b) spanning all it finds.
+    """A task over dealt rows that returns links (a, b) spanning all it finds.
 
     ``load(parts)`` makes one object of the batches of a side, with the ids in
-    ``rep``. ``near(rows, home)`` yields (row, members of home it links with).
+    ``rep``. ``near(rows, home)`` yields (row, members of home it links with);
+    a block's members are compared with one another in its first part.
     Not all pairs come out, but a spanning forest of them.
     """
 
@@ -82,23 +107,24 @@ def forest(load: Callable, near: Callable) -> Callable:
         def settle():
             whole = load(parts)
             fresh = Labels(len(whole.rep))
-            list(links(whole, whole, fresh, True))
+            if key[2] == 0:
+                list(links(whole, whole, fresh, True))
             return whole, fresh
 
         key, parts, home, labels = None, [], None, None
-        for (tile, block, side), part in runs(batches, ("tile", "block", "side")):
-            if (tile, block) != key:
+        for (*place, side), rows in runs(batches, ("tile", "block", "part", "side")):
+            if place != key:
                 if parts:
                     home, labels = settle()
                 yield from out(close())
-                key, parts, home, labels = (tile, block), [], None, None
+                key, parts, home, labels = place, [], None, None
             if side == 0:
-                parts.append(part)
+                parts.append(rows)
                 continue
             if parts:
                 (home, labels), parts = settle(), []
             if home is not None:
-                yield from out(list(links(load([part]), home, labels, False)))
+                yield from out(list(links(load([rows]), home, labels, False)))
         if parts:
             home, labels = settle()
         yield from out(close())

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.operators.components import connected_components
-from stratolith.storage import cut, own, spread
-from .tiles import Labels, runs
+from stratolith.storage import cut, own
+from .tiles import VISITORS, Labels, deal, runs
 
 COSINE = 0.9
 #: Vectors on which lists and codes are fitted, in the order of a hash of the vector; lengths share them by their numbers of vectors.
@@ -214,16 +214,17 @@ def _search(sent, cosine: float, radius: float):
             reps, copies, x = (np.concatenate(c) for c in zip(*home, strict=True))
             home.clear()
             made = _Block(*fitted.of_tile(key[0]), reps, copies, x)
-            made.meet(made.x, made.copies, cosine, radius, True)
+            if key[2] == 0:
+                made.meet(made.x, made.copies, cosine, radius, True)
             return made
 
-        for (tile, number, side), part in runs(batches, ("tile", "block", "side")):
-            if (tile, number) != key:
+        for (*place, side), part in runs(batches, ("tile", "block", "part", "side")):
+            if place != key:
                 if home:
                     block = begin()
                 if block is not None:
                     yield out(*block.result())
-                key, block = (tile, number), None
+                key, block = place, None
                 home.clear()
             row = (part.column("rep").to_numpy(), part.column("copies").to_numpy(), _matrix(part.column("v")))
             if side == 0:
@@ -292,15 +293,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         sent = spark.sparkContext.broadcast(Quantisers.fit(_samples(reps, sizes, sample), lists))  # 4,096 centres a length at most
         dealt = cut(reps.mapInArrow(_deal(sent, radius), "tile int, visits int, rep long, copies long, v binary"), "dealt")
         # At most 4,096 rows for each length.
-        blocks = F.broadcast(dealt.where("visits = 0").groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-        at = F.when(F.col("visits") == 0, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(-1)
-        dealt_rows = (
-            dealt.join(blocks, "tile")
-            .withColumn("at", at)
-            .withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1)))
-            .select("tile", "block", (F.col("block") != F.col("at")).cast("int").alias("side"), "rep", "copies", "v")
-        )
-        found = dealt_rows.repartition(spread(dealt), "tile", "block").sortWithinPartitions("tile", "block", "side").mapInArrow(_search(sent, cosine, radius), "rep long, links long, on long")
+        rows_of = dealt.groupBy("tile").agg((F.count_if(F.col("visits") == 0) / block).alias("own"), (F.count("*") / (block * VISITORS)).alias("all")).where("own > 0")
+        sizes = F.broadcast(rows_of.select("tile", F.ceil("own").cast("int").alias("blocks"), F.ceil("all").cast("int").alias("parts")))
+        found = deal(dealt.join(sizes, "tile"), ["rep", "copies", "v"]).mapInArrow(_search(sent, cosine, radius), "rep long, links long, on long")
         linked = cut(found, "links")
     groups = connected_components(linked, "rep", "on")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
