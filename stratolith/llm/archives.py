@@ -19,10 +19,11 @@ from stratolith.storage import cut, new_path, spread
 REVISIT_BYTES = 1000
 #: Bytes of records after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
-#: Records that one task reads in a row.
-READ_TOGETHER = 500
+#: Records, and bytes of them after which no more follow, that are read by one request.
+READ_TOGETHER, READ_BYTES = 500, 8 << 20
 _WARC, _INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 _LOCAL, _CENTRAL, _END, _END64, _FIND64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+_PARTS = pa.list_(pa.struct([("at", pa.int64()), ("bytes", pa.int64())]))
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -169,7 +170,10 @@ def _decided(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write every row of (page_id, url, html) as a record; (path, records) of each archive.
+    """Write every row of (page_id, url, html) as a record; (path, records, parts) of each archive.
+
+    A part is the place and the bytes of the index lines of records that are
+    read together.
 
     Of rows with equal payloads of 1,000 bytes or more the one with the
     largest page_id is a response, and the others revisit it; copies of that
@@ -186,6 +190,17 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         store, base = fs.FileSystem.from_uri(folder)
         data, index = bytearray(), []
 
+        def parts() -> list[dict]:
+            found, at, records, begun = [], 0, 0, 0
+            for line in index:
+                begins = int(line.split(" ")[1])
+                if not found or records == READ_TOGETHER or begins - begun >= READ_BYTES:
+                    found.append({"at": at, "bytes": 0})
+                    records, begun = 0, begins
+                found[-1]["bytes"] += len(line)
+                at, records = at + len(line), records + 1
+            return found
+
         def flush() -> pa.RecordBatch:
             path = f"{base}/{uuid.uuid4().hex}.wacz"
             with store.open_output_stream(path) as out:
@@ -193,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 package.add(_WARC, bytes(data))
                 package.add(_INDEX, "".join(index).encode())
                 package.close()
-            done = pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(index)], pa.int64())})
+            done = pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(index)], pa.int64()), "parts": pa.array([parts()], _PARTS)})
             data.clear()
             index.clear()
             return done
@@ -211,30 +226,34 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    return rows.mapInArrow(each, "path string, records long")
+    return rows.mapInArrow(each, "path string, records long, parts array<struct<at:bigint,bytes:bigint>>")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives (path, records): parse() without url and payload, by range reads."""
+    """Every record of the archives (path, parts): parse() without url and payload, by range reads.
+
+    A task that reads a part looks up the members in the package's directory,
+    reads the part's index lines, and then the records that they name, which
+    stand in a row, by one request.
+    """
     names = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = fs.FileSystem.from_uri(folder)[0]
         for batch in batches:
-            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size = store.get_file_info(path).size
                 with store.open_input_file(path) as file:
                     package = ZipReader(file, size)
                     index, warc = package.stored(".cdx"), package.stored(".warc.gz")
-                    lines = package.read(index.offset, index.size).decode().splitlines()[first : first + READ_TOGETHER]
-                    rows = []
-                    for line in lines:
-                        _, at, n = line.split(" ")
-                        rows.append(parse(package.read(warc.offset + int(at), int(n))))
+                    places = [tuple(map(int, line.split(" ")[1:])) for line in package.read(index.offset + at, n).decode().splitlines()]
+                    begin, end = places[0][0], sum(places[-1])
+                    data = package.read(warc.offset + begin, end - begin)
+                rows = [parse(data[a - begin : a - begin + k]) for a, k in places]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in names.items()], list(names))
 
-    parts = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(READ_TOGETHER).cast("long"))).alias("first"))
-    return parts.repartition(spread(parts), "path", "first").mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    parts = archives.select("path", F.inline("parts"))
+    return parts.repartition(spread(parts), "path", "at").mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

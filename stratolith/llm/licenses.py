@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stratolith.storage import unused
+
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Our own notice phrases (words as in a text's word list), with their labels.
@@ -206,7 +208,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     names of results give way to them.
     """
     names = [c for c in docs.columns if c not in (*_FIELDS, text)]
-    inner = docs.select(docs[text].alias("__text"), *[docs[c] for c in names])
+    inner = docs.select(docs[text].alias(unused(docs, "body")), *[docs[c] for c in names])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
@@ -215,5 +217,5 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [pa.array([r[f] for r in rows], kind) for f, kind in _FIELDS.items()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, batch.num_columns)], *found], [*batch.schema.names[1:], *_FIELDS])
 
-    fields = ", ".join([*[f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in names], _DDL])
+    fields = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names], _DDL])
     return inner.mapInArrow(each, fields)

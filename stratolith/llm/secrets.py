@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratolith.storage import unused
+
 try:
     from re import _parser as sre
 except ImportError:  # pragma: no cover - older Python
@@ -44,7 +46,7 @@ RULES = (
     Rule("web_token", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ[A-Za-z0-9_-]))(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)", 1, 30, span=1),
     Rule("map_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("live_key", r"sk_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_login", r"://[^/\s:@]++:[^/\s:@]{3,}+@", 0, 1),
+    Rule("url_login", r"://([^/\s:@]++:[^/\s:@]{3,}+)@", 0, 1, span=1),
 )
 _KEY_END = re.compile(r"-----END ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----")
 #: What may stand between the lines of a key: white space, its escapes in source code, quotes and marks of quoted lines.
@@ -158,7 +160,7 @@ def _spans(pattern: re.Pattern, rule: Rule, text: str) -> list[tuple[int, int]]:
     return [m.span(rule.span) for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
-def _batches(rules: tuple[Rule, ...], redact: bool):
+def _batches(rules: tuple[Rule, ...], names: list[str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(rule, re.compile(rule.pattern, rule.flags | re.ASCII), trigram_query(rule.pattern, rule.flags)) for rule in rules]
         wanted = np.zeros(1 << 24, dtype=bool)
@@ -174,11 +176,10 @@ def _batches(rules: tuple[Rule, ...], redact: bool):
                         found[row] += [(start, k, end) for start, end in _spans(pattern, rule, texts[row])]
                 spans = [sorted(x) for x in found]
                 out = [pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in x] for x in spans], _SPANS)]
-                if redact:
+                if len(names) > 1:
                     out.append(pa.array([_redacted(t, x) for t, x in zip(texts, spans, strict=True)], pa.string()))
                 rest = [batch.column(j) for j in range(1, batch.num_columns)]
-                names = ["spans", *["redacted"] * redact, *batch.schema.names[1:]]
-                yield pa.RecordBatch.from_arrays([*out, *rest], names)
+                yield pa.RecordBatch.from_arrays([*out, *rest], [*names, *batch.schema.names[1:]])
 
     return task
 
@@ -196,22 +197,23 @@ def _redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool = False) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, redact: bool = False, spans: str = "spans", redacted: str = "redacted") -> DataFrame:
     """``docs`` without text, with a column ``spans`` (kind, start, end by start, then kind as listed), and ``redacted`` on request.
 
     Offsets count code points; the end is exclusive. For each kind the
     leftmost matches that don't overlap are taken, then those with too short a
     value dropped. A private key runs from its header to its END line, or to
-    the end of its base64 block where there is none. Each shard of 1,000 texts gets its own inverted index, so
-    memory is bounded and no row moves. Null and empty texts have no span.
-    Repeated rows stay repeated; an empty table gives an empty result; the
-    other columns pass unchanged, but for those named spans or redacted.
+    the end of its base64 block where there is none. Each shard of 1,000 texts
+    gets its own inverted index, so memory is bounded and no row moves. Null
+    and empty texts have no span. Repeated rows stay repeated; an empty table
+    gives an empty result; the other columns pass unchanged, but for those
+    with the names of the results, which give way to them.
     """
-    names = [c for c in docs.columns if c not in ("spans", "redacted", "text")]
-    docs = docs.drop("spans", "redacted")
-    inner = docs.select(docs["text"].alias("__text"), *[docs[c] for c in names])
-    fields = ", ".join(["spans array<struct<kind:string,start:bigint,end:bigint>>", *["redacted string"] * redact, *[f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in names]])
-    return inner.mapInArrow(_batches(rules, redact), fields)
+    made = [spans, *[redacted] * redact]
+    names = [c for c in docs.columns if c not in (*made, "text")]
+    inner = docs.select(docs["text"].alias(unused(docs, "body")), *[docs[c] for c in names])
+    kinds = ["array<struct<kind:string,start:bigint,end:bigint>>", *["string"] * redact, *[docs.schema[c].dataType.simpleString() for c in names]]
+    return inner.mapInArrow(_batches(rules, made), ", ".join(f"`{c}` {kind}" for c, kind in zip([*made, *names], kinds, strict=True)))
 
 
 def joined(spans) -> F.Column:

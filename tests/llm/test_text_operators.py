@@ -332,6 +332,20 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids and labels.count()
 
 
+def test_columns_with_the_names_inside(spark):
+    docs = table(spark, DATA, "documents").limit(60)
+    for name in ("body", "__text", "text_", "key", "__key", "score", "__score", "spans", "redacted", "copies", "doc", "rep", "n"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, DATA)
+        assert done.columns == docs.columns, name
+        for r in done.select("body", "__text", "spans", "redacted", "__score", "__key").distinct().collect():
+            assert tuple(r) == ("body", "__text", "spans", "redacted", "__score", "__key"), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 60
+    assert licenses.scan(docs).count() == secrets.scan(docs).count() == 60
+    assert decontaminate.contained(docs, table(spark, DATA, "benchmark").withColumn("n", F.lit(1)).withColumn("hash", F.lit(1))).columns[0] == "doc_id"
+
+
 def test_secret_rules_take_linear_time():
     import time
 
@@ -353,7 +367,7 @@ def test_web_tokens_and_logins_after_any_character(spark):
     texts = [f"{before}{token} rest" for before in ("Bearer%20", "sid%3D", "jwt_", "id-", "x", "", "eyJ.eyJ.")] + [login, "http://" + "u" * 90 + ":pw1@h"]
     got = {r.n: r.redacted for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), redact=True).collect()}
     assert all(token not in got[n] and got[n].endswith("[REDACTED] rest") for n in range(7))
-    assert got[7] == "https[REDACTED]host/x" and got[8] == "http[REDACTED]h"
+    assert got[7] == "https://[REDACTED]@host/x" and got[8] == "http://[REDACTED]@h"
     pick = np.random.default_rng(6)
     for _ in range(3000):
         text = "".join(pick.choice(["eyJ", "eyJ", "a", "-", "_", ".", ".", " ", "%", "b" * 12], 25))
