@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from stratolith.llm import decontaminate, packing, quality, secrets, similar, simhash
 from stratolith.llm.queries import tokenizer_path
-from stratolith.storage import cut, table
+from stratolith.storage import cut, table, unused
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled rows of ``documents``, doesn't reject."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, name="__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "score")
+    return quality.score(docs, model, name=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced by a mark and n_chars counted anew."""
-    found = secrets.scan(docs, redact=True)
-    changed = F.size("spans") > 0
-    return found.withColumn("n_chars", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).withColumnRenamed("redacted", "text").select(*docs.columns)
+    spans, text = unused(docs, "spans"), unused(docs, "redacted")
+    found = secrets.scan(docs, redact=True, spans=spans, redacted=text)
+    chars = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", chars).withColumn("text", F.col(text)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
