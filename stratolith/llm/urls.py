@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 #: Verdict and rule (host, then path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: The labelled URLs: 1 is blocked. Words and hosts are made up, taken from no table; three plain words for each blocked one
-#: stand for the share of plain hosts, so that the model allows a host that it knows nothing of.
-_BLOCKED_WORDS = tuple("casino poker jackpot roulette gambling betting slots pills viagra pharmacy loan payday cash adult dating xxx keygen warez torrent replica".split())
+#: The labelled URLs: 1 is blocked. Words of the subjects that block lists commonly have (games of chance, adult, pills, loans,
+#: pirated goods, fraud, advertising and tracking), and three plain words for each; the plain ones' share makes the model allow
+#: a host that it knows nothing of. Hosts are made up and taken from no table.
+_BLOCKED_WORDS = tuple(
+    """casino poker jackpot roulette gambling betting slots lottery pills viagra pharmacy loan payday cash adult dating xxx
+    keygen warez torrent replica spam scam phishing malware clickbait ads adserver popup banner tracker tracking""".split()
+)
 _PLAIN_WORDS = tuple(
     """library weather museum garden school history recipes travel science music blog news sports health forum docs
     kitchen village church river mountain theatre cinema gallery archive letters university college research physics
     chemistry biology medicine hospital council transport railway harbour airport market farming fishing forest
     cycling walking football tennis chess painting poetry novels grammar language teacher student parents children
-    society""".split()
+    society coffee bread cheese orchard meadow valley island ocean desert castle bridge tower station
+    street square camera pencil paper window carpet furniture clothing winter summer autumn spring morning evening
+    planet comet galaxy insect bird horse sheep violin piano guitar choir opera dancing sculpture weaving pottery""".split()
 )
 #: Shapes of hosts, alike for both labels.
 _SHAPES = ("{}", "my-{}", "{}-online", "best-{}", "{}4you")
@@ -63,7 +69,7 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: every word with every path, each under another shape and place (390 rows)."""
+    """The small labelled table: every word with every path, each under another shape and place (670 rows)."""
     rows = [
         (f"https://{'www.' * (i % 2)}{_SHAPES[(i + j) % 5].format(word)}.example{i % 3 or ''}.{_PLACES[(i + j) % 3]}{path}", label)
         for label, words in ((1.0, _BLOCKED_WORDS), (0.0, _PLAIN_WORDS))
@@ -84,6 +90,7 @@ def fit(labelled: DataFrame) -> LogisticRegressionModel:
 
 
 def weights(model: LogisticRegressionModel) -> tuple[list[float], float]:
+    """The weight of each bucket of ``grams``, and the intercept."""
     return list(map(float, model.coefficients.toArray())), float(model.intercept)
 
 

@@ -1,9 +1,12 @@
 import hashlib
 import io
+import math
+import re
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 
 from stratolith.llm import archives, urls, vectors
 
@@ -24,6 +27,51 @@ def test_urls(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id == 1) for r in scored]) > 0.95
 
 
+def plain_parts(url):
+    """Host, path and rule by the contract's words."""
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    stop = min([i for c in "/?#" if (i := rest.find(c)) >= 0], default=len(rest))
+    host, rest = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:stop]), rest[stop:]
+    path = rest[: min([i for c in "?#" if (i := rest.find(c)) >= 0], default=len(rest))]
+    fits = [(r, v) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None))
+
+
+def plain_score(host, path, model):
+    index = HashingTF(numFeatures=urls.BUCKETS).indexOf
+    found = set()
+    for mark, part in (("h", f"^{host}$"), ("p", "^" + re.sub("[0-9]+", "0", path) + "$")):
+        found |= {index(mark + part[i : i + n]) for n in urls.GRAMS for i in range(len(part) - n + 1)}
+    weights, offset = urls.weights(model)
+    return 1 / (1 + math.exp(-offset - sum(weights[i] for i in found)))
+
+
+def test_urls_of_all_pages_against_a_plain_version(spark):
+    from stratolith.llm import queries
+
+    model = urls.fit(urls.labelled_urls(spark))
+    given = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = queries.op5_urls(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(given)
+    for r in got:
+        host, path, rule, verdict = plain_parts(given[r.page_id])
+        score = plain_score(host, path, model)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.block_score == pytest.approx(score, abs=1e-9)
+        assert r.verdict == (verdict or ("block" if score > 0.5 else "allow"))
+
+
+def test_urls_that_no_fit_has_seen(spark):
+    """Words under shapes that the labelled table lacks, and plain words that it lacks altogether."""
+    model = urls.fit(urls.labelled_urls(spark))
+    shapes = ("{}club", "go-{}-now", "the{}", "{}s-24", "new{}")
+    rows = [(n, f"http://m.{shapes[(i + n) % 5].format(w)}.example.com/en/{i}") for n, words in ((1, urls._BLOCKED_WORDS), (0, urls._PLAIN_WORDS)) for i, w in enumerate(words)]
+    rows += [(0, f"https://{w}.example.net/fr/9") for w in "bakery quilting sailing almanac lighthouse botany carpentry geology astronomy cathedral vineyard hiking knitting folklore parliament reservoir".split()]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), model, rules=()).collect()
+    share = lambda n, verdict: np.mean([r.verdict == verdict for r in got if r.page_id == n])
+    assert share(1, "block") > 0.9 and share(0, "allow") > 0.97
+
+
 def test_archives(spark):
     big, tie = "x" * 1500, "ä" * 600
     rows = [(1, "u", big), (2, "u\r\nX: y", big), (9, None, big), (9, None, big), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (7, "u", tie), (8, "u", tie)]

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import re
 import zlib
 
@@ -8,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -44,6 +46,30 @@ def test_quality_edges(spark, odd):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_quality_against_a_plain_scorer(spark):
+    """The fit sees no held-out row, and every score is what zstandard and the calibration say."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    model = quality.fit(docs, labels)
+    other = docs.withColumn("text", F.when(quality.held_out(F.col("doc_id")), F.lit("changed")).otherwise(F.col("text")))
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit(other, flipped) == model
+    got = {r.doc_id: r for r in queries.op1_quality(spark, DATA).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+
+    def size(piece, dictionary):
+        args = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), **args).compress(piece))
+
+    for i, text in list(texts.items())[:60]:
+        data = text.encode()
+        pieces = [data[k : k + 1024] for k in range(0, len(data), 1024)]
+        difference = sum(size(p, model.bad) - size(p, model.good) for p in pieces) / len(data) if data else 0.0
+        want = 1 / (1 + math.exp(-(model.slope * difference + model.offset)))
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].predicted == int(want >= 0.3), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def plain_fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall("[^\x20\x09-\x0d]+", low)
@@ -317,6 +343,20 @@ def test_licenses(spark, odd):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
 
 
+def test_licence_labels_against_plain_search(spark):
+    lines = ["Licensed under CC BY 4.0, all rights reserved", "x\nSPDX-License-Identifier: ISC\ny", "The Lesser General Public License; BSD license", "bsd licenses", "no such thing"]
+    docs = table(spark, DATA, "documents").select("doc_id", "text").union(spark.createDataFrame([(-1 - i, x) for i, x in enumerate(lines)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = set()
+    for r in licenses.scan(docs).collect():
+        words = " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id])))
+        want = {label for phrase, label in {**licenses.BASE, **licenses.NOTICES}.items() if f" {phrase} " in f" {words} "}
+        want |= {m[1].lower() for m in re.finditer(r"(?i)spdx-license-identifier:[ ]*([a-z0-9][a-z0-9.+-]*)", texts[r.doc_id])}
+        assert r.labels == ",".join(sorted(want)), texts[r.doc_id]
+        seen |= want
+    assert {"isc", "lgpl", "gpl", "bsd", "cc-by-4.0", "proprietary", "mit"} <= seen
+
+
 def test_pipeline_stages(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     names = docs.columns
