@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has ``most`` rows at most; joined by shuffle else."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def own(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names the operators use inside.
 
