@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratolith.storage import cut, own, unused
+from stratolith.storage import cut, own, small, unused
 from .simhash import row_key
 
 SHINGLE_WORDS = 5
@@ -82,9 +82,8 @@ def contained(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, lea
     wanted = cut(item_shingles(items, words, least), "items")
     texts = own(docs, doc_id="doc_id", text="text").where("doc_id is not null")
     pairs = cut(candidates(texts, wanted, words), "candidates")
-    found = pairs.select("doc_id").distinct()
     # Where candidates are few, the other documents never leave their tasks.
-    found = F.broadcast(found) if pairs.count() <= BROADCAST_ROWS else found
+    found = small(cut(pairs.select("doc_id").distinct(), "found"), BROADCAST_ROWS)
     shingles = F.array_distinct(_shingles(F.col("text"), words, _text))
     hits = texts.join(found, "doc_id", "left_semi").select("doc_id", F.explode(shingles).alias("shingle")).join(wanted.select("item_id", "shingle", "n"), "shingle")
     return (
@@ -105,9 +104,8 @@ def clean(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORDS, least:
     """
     key = unused(docs, "key")
     rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
-    # Written, so that Spark knows its size and leaves the documents where they are if it is small.
     found = cut(contained(rows.select(F.col(key).alias("doc_id"), "text"), items, words, least).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return rows.join(found, key, "left_anti").select(*docs.columns)
+    return rows.join(small(found, BROADCAST_ROWS), key, "left_anti").select(*docs.columns)
 
 
 def sketch_size(n: int, least: float = CONTAINMENT) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.operators.components import connected_components
-from stratolith.storage import cut, own, unused
+from stratolith.storage import cut, own, small, unused
 from .tiles import deal, forest, plan
 
 SHINGLE_WORDS = 3
@@ -22,6 +22,8 @@ SEED = 42
 RADIUS = 2
 #: Rows of a tile that one task compares with one another; larger tiles are cut into blocks.
 BLOCK = 2048
+#: Texts (keys of 16 bytes) up to which what is known of them is broadcast to the documents; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HASHED_AT_ONCE = 1 << 15
 
@@ -175,15 +177,17 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Of repeated rows one stays.
     """
     names = docs.columns
-    texts = groups.groupBy("key").agg(*[F.min(c).alias(c) for c in ("group", "doc_id", "chars")], F.count("*").alias("n"))
+    texts = cut(groups.groupBy("key").agg(*[F.min(c).alias(c) for c in ("group", "doc_id", "chars")], F.count("*").alias("n")), "texts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", (-F.col("chars")).alias("short"), "key", "n"))
     key = unused(docs, "key")
-    best = cut(texts.groupBy("group").agg(first.alias("best")).select(F.col("best.key").alias(key), F.col("best.n").alias("copies")), "kept")
+    best = cut(texts.groupBy("group").agg(first.alias("best")).select(F.col("best.key").alias("key"), F.col("best.n").alias("copies")), "best")
+    # What goes is looked up, not what stays: where that is little, no text leaves its task.
+    gone = cut(texts.join(best.where("copies = 1"), "key", "left_anti").select(F.col("key").alias(key)), "gone")
     rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
-    kept = rows.join(best.where("copies = 1").select(key), key, "left_semi").select(*names)
-    again = best.where("copies > 1").select(key)
+    kept = rows.join(small(gone, BROADCAST_KEYS), key, "left_anti").select(*names)
+    again = cut(best.where("copies > 1").select(F.col("key").alias(key)), "again")
     if again.isEmpty():
         return kept
     # Aggregated, not ranked: every task leaves one of the repeated rows before they meet.
     one = F.max_by(F.struct(*names), F.col("text").isNotNull()).alias("row")
-    return kept.unionByName(rows.join(again, key, "left_semi").groupBy(key).agg(one).select("row.*"))
+    return kept.unionByName(rows.join(small(again, BROADCAST_KEYS), key, "left_semi").groupBy(key).agg(one).select("row.*"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.operators.components import connected_components
-from stratolith.storage import cut, spread
-from .simhash import SEED, keyed, words_of
+from stratolith.storage import cut, small, spread
+from .simhash import BROADCAST_KEYS, SEED, keyed, words_of
 from .tiles import deal, forest, plan
 
 WORDS = 5
@@ -159,8 +159,8 @@ def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     columns = ["tile", "blocks", "parts", "rep", "lo", "hi"]
     need = F.greatest(F.count("*") / SET_ROWS, F.sum("size") / SET_SHINGLES)
-    sized = wanted.join(plan(wanted.groupBy("tile").agg(need.alias("need")), []), "tile")
-    texts = keyed(docs).select("key", "text").join(sized, "key").select(*columns, "text")
+    sized = cut(wanted.join(plan(wanted.groupBy("tile").agg(need.alias("need")), []), "tile"), "sized")
+    texts = keyed(docs).select("key", "text").join(small(sized, BROADCAST_KEYS), "key").select(*columns, "text")
     sets = texts.mapInArrow(each, "tile long, blocks int, parts int, rep long, lo long, hi long, shingles binary").withColumn("visits", F.lit(0))
     return deal(sets, ["rep", "lo", "hi", "shingles"]).mapInArrow(forest(_Sets.load, _Sets.near), "a long, b long")
 
