@@ -58,12 +58,12 @@ def optimal_parameters_at(pixels: DataFrame, x0: int, y0: int, side: int, bands:
     return params.optimal_parameters(raster.crop(raster.select_bands(pixels, bands), x0, y0, side, side), boxy)
 
 
-def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, merge: bool = False, boxy: bool = False) -> DataFrame:
+def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, delete: bool = False, boxy: bool = False) -> DataFrame:
     """Segments with the parameters (min, max or avg) that the image's middle suggests."""
     if which not in ("min", "max", "avg"):
         raise ValueError(f"not a choice: {which}")
     best = params.optimal_parameters(raster.centre_crop(pixels, side), boxy).first()
-    return segment.segment(pixels, best[f"hs_{which}"], float(best[f"hr_{which}"]), best[f"m_{which}"], merge)
+    return segment.segment(pixels, best[f"hs_{which}"], float(best[f"hr_{which}"]), best[f"m_{which}"], delete)
 
 
 def extract_image(pixels: DataFrame, origin: tuple[float, float], step: tuple[float, float], at: tuple[float, float], w: int, h: int) -> DataFrame:

@@ -55,15 +55,45 @@ def envelope(rings: Column) -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
+def mapped(rings: Column, to) -> Column:
+    """The rings with every point moved by ``to``, which gives (x, y) of a point."""
+
+    def moved(p: Column) -> Column:
+        x, y = to(p)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(rings, lambda ring: F.transform(ring, moved))
+
+
 def mercator(rings: Column) -> Column:
     """Longitude and latitude in degrees to spherical web mercator metres."""
-    return F.transform(
-        rings,
-        lambda ring: F.transform(
-            ring,
-            lambda p: F.struct((EARTH_RADIUS * F.radians(p["x"])).alias("x"), (EARTH_RADIUS * F.log(F.tan(F.pi() / 4 + F.radians(p["y"]) / 2))).alias("y")),
-        ),
-    )
+    return mapped(rings, lambda p: (EARTH_RADIUS * F.radians(p["x"]), EARTH_RADIUS * F.log(F.tan(F.pi() / 4 + F.radians(p["y"]) / 2))))
+
+
+def degrees(rings: Column) -> Column:
+    """Spherical web mercator metres to longitude and latitude in degrees."""
+    return mapped(rings, lambda p: (F.degrees(p["x"] / EARTH_RADIUS), F.degrees(2 * F.atan(F.exp(p["y"] / EARTH_RADIUS)) - F.pi() / 2)))
+
+
+def expand(box: Column, by: Column) -> Column:
+    """A box grown by a distance on every side."""
+    return F.struct((box["xmin"] - by).alias("xmin"), (box["ymin"] - by).alias("ymin"), (box["xmax"] + by).alias("xmax"), (box["ymax"] + by).alias("ymax"))
+
+
+def box_area(box: Column) -> Column:
+    return (box["xmax"] - box["xmin"]) * (box["ymax"] - box["ymin"])
+
+
+def box_perimeter(box: Column) -> Column:
+    return 2 * (box["xmax"] - box["xmin"] + box["ymax"] - box["ymin"])
+
+
+def parse_box(text: Column) -> Column:
+    """The box of "BOX(x y,x y)", exponents too; null for anything else."""
+    number = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    pattern = rf"(?i)^\s*BOX\s*\(\s*{number}\s+{number}\s*,\s*{number}\s+{number}\s*\)\s*$"
+    parts = [F.regexp_extract(text, pattern, i + 1).try_cast("double").alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax"))]
+    return F.when(text.rlike(pattern), F.struct(*parts))
 
 
 def parse_wkt(wkt: Column) -> Column:

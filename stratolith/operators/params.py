@@ -13,28 +13,22 @@ LAGS = tuple(range(2, 100, 2))
 def semivariogram(pixels: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
     """band, lag, sv_row, sv_col, sv_avg; lags that a band is too small for are left out.
 
-    Both sums run over the window that is cropped by the lag on both axes, so
-    one row needs its neighbours below and to the right. They come by
-    ``lead`` along the column and the row: two shuffles for all lags together,
-    and no self-join.
+    Half the mean square of the differences from each pixel to the one ``lag``
+    below it and to the one ``lag`` to its right, over the pixels that have both:
+    on an image without holes, all of the window that is cropped by the lag on
+    both axes. A null dn counts as no pixel. Neighbours come by value ranges
+    along the column and the row: two shuffles for all lags together, no
+    self-join, and one aggregate.
     """
-    rows = pixels.select("band", "y", "x", F.col("dn").cast("long").alias("dn"))
-    wide = rows
-    column, line = Window.partitionBy("band", "x").orderBy("y"), Window.partitionBy("band", "y").orderBy("x")
-    wide = wide.withColumns({f"d{h}": F.lead("dn", h).over(column) for h in lags})
-    wide = wide.withColumns({f"r{h}": F.lead("dn", h).over(line) for h in lags})
-    pairs = F.array(*[F.struct(F.lit(h).alias("lag"), F.col(f"d{h}").alias("down"), F.col(f"r{h}").alias("right")) for h in lags])
-    square = lambda c: F.sum((F.col(c) - F.col("dn")) * (F.col(c) - F.col("dn")))
-    sums = (
-        wide.select("band", "dn", F.inline(pairs))
-        .where("down is not null and right is not null")
-        .groupBy("band", "lag")
-        .agg(square("down").alias("s_row"), square("right").alias("s_col"))
-        .join(F.broadcast(size(pixels)), "band")
-        .where((F.col("lag") < F.col("w")) & (F.col("lag") < F.col("h")))
-    )
-    pairs_n = 2 * (F.col("w") - F.col("lag")) * (F.col("h") - F.col("lag"))
-    return sums.select("band", "lag", (F.col("s_row") / pairs_n).alias("sv_row"), (F.col("s_col") / pairs_n).alias("sv_col"), ((F.col("s_row") + F.col("s_col")) / (2 * pairs_n)).alias("sv_avg"))
+    rows = pixels.where("dn is not null").select("band", "y", "x", F.col("dn").cast("long").alias("dn"))
+    at = lambda axis, other, h: F.first("dn").over(Window.partitionBy("band", other).orderBy(axis).rangeBetween(h, h))
+    wide = rows.withColumns({f"d{h}": at("y", "x", h) for h in lags}).withColumns({f"r{h}": at("x", "y", h) for h in lags})
+    both = lambda h: F.col(f"d{h}").isNotNull() & F.col(f"r{h}").isNotNull()
+    square = lambda c, h: F.sum(F.when(both(h), (F.col(f"{c}{h}") - F.col("dn")) * (F.col(f"{c}{h}") - F.col("dn"))))
+    sums = wide.groupBy("band").agg(*[x for h in lags for x in (square("d", h).alias(f"sd{h}"), square("r", h).alias(f"sr{h}"), F.count_if(both(h)).alias(f"n{h}"))])
+    parts = F.array(*[F.struct(F.lit(h).alias("lag"), F.col(f"sd{h}").alias("down"), F.col(f"sr{h}").alias("right"), (2 * F.col(f"n{h}")).alias("n")) for h in lags])
+    long = sums.select("band", F.inline(parts)).where("n > 0")
+    return long.select("band", "lag", (F.col("down") / F.col("n")).alias("sv_row"), (F.col("right") / F.col("n")).alias("sv_col"), ((F.col("down") + F.col("right")) / (2 * F.col("n"))).alias("sv_avg"))
 
 
 def optimal_hs(pixels: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The algorithms are the published ones (Comaniciu and Meer 2002; Michel,
 Youssefi and Grizonnet 2015); no equality with any other implementation's
-pixels is claimed.
+pixels is claimed. Images may have holes: a place without a pixel, or without
+one of the bands, is outside of every region.
 """
 
 from __future__ import annotations
@@ -11,45 +12,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratolith.storage import cut
+from stratolith.functions import geometry as g
+from stratolith.storage import cut, cut_at, remove
 
 from .components import connected_components
+from .metrics import with_metrics
 
 #: Pixels of a tile's side; a task holds one tile and its halo.
 TILE = 256
 
 
-def mean_shift(pixels: DataFrame, spatial: int, spectral: float, iterations: int = 10, threshold: float = 0.1, tile: int = TILE) -> DataFrame:
-    """band, y, x, value: each pixel moved to the mode of its neighbourhood in place and colour.
+def _band() -> Column:
+    """The band's number above the place's, which tells labels of different bands apart."""
+    return F.shiftleft(F.col("band").cast("long"), 56)
 
-    Tiles carry a halo of ``iterations * spatial`` pixels, the farthest that a
-    pixel can see, so the result doesn't depend on the tiles.
+
+def bands_of(pixels: DataFrame) -> list[int]:
+    """The numbers of the bands, ascending: a handful; [0] for an image without pixels."""
+    return sorted(r["band"] for r in pixels.select("band").distinct().collect()) or [0]
+
+
+def colours(pixels: DataFrame, bands: list[int]) -> DataFrame:
+    """y, x, colour: the bands' values of each place as doubles; places that lack one, or where one is null, are left out."""
+    rows = pixels.where(F.col("band").isin(bands) & F.col("dn").isNotNull()).groupBy("y", "x")
+    values = rows.agg(*[F.max(F.when(F.col("band") == b, F.col("dn").cast("double"))).alias(f"c{i}") for i, b in enumerate(bands)])
+    return values.na.drop().select("y", "x", F.array(*[f"c{i}" for i in range(len(bands))]).alias("colour"))
+
+
+def mean_shift(pixels: DataFrame, spatial: int, spectral: float, iterations: int = 10, threshold: float = 0.1, tile: int = TILE, bands: list[int] | None = None) -> DataFrame:
+    """y, x, colour, my, mx: each place moved to the mode of its neighbourhood in place and colour (all bands together).
+
+    colour is the mode's, (my, mx) where it lies. Tiles carry a halo of
+    ``iterations * spatial`` pixels, the farthest that a pixel can see, so the
+    result doesn't depend on the tiles.
     """
     halo = iterations * spatial
     spread = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
-    dealt = pixels.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("band", "dn"))).alias("bands"))
-    dealt = dealt.withColumn("ty", F.explode(spread("y"))).withColumn("tx", F.explode(spread("x"))).where("ty >= 0 and tx >= 0")
+    dealt = colours(pixels, bands or bands_of(pixels)).withColumn("ty", F.explode(spread("y"))).withColumn("tx", F.explode(spread("x")))
 
     def smooth(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ty, tx = map(int, key)
-        names = [b["band"] for b in rows["bands"].iloc[0]]
-        y0, x0 = int(rows["y"].min()), int(rows["x"].min())
-        image = np.full((int(rows["y"].max()) - y0 + 1, int(rows["x"].max()) - x0 + 1, len(names)), np.nan)
-        image[rows["y"] - y0, rows["x"] - x0] = [[b["dn"] for b in bands] for bands in rows["bands"]]
         own = rows[(rows["y"] // tile == ty) & (rows["x"] // tile == tx)]
         if own.empty:
-            return pd.DataFrame({"band": [], "y": [], "x": [], "value": []})
+            return pd.DataFrame({"y": [], "x": [], "colour": pd.Series([], dtype=object), "my": [], "mx": []})
+        given = np.stack(rows["colour"].to_list())
+        y0, x0 = int(rows["y"].min()), int(rows["x"].min())
+        image = np.full((int(rows["y"].max()) - y0 + 1, int(rows["x"].max()) - x0 + 1, given.shape[1]), np.nan)
+        image[rows["y"] - y0, rows["x"] - x0] = given
         py, px = (own["y"] - y0).to_numpy(float), (own["x"] - x0).to_numpy(float)
         value = image[py.astype(int), px.astype(int)].copy()
         steps = [(a, b) for a in range(-spatial, spatial + 1) for b in range(-spatial, spatial + 1) if a * a + b * b <= spatial * spatial]
         moving = np.arange(len(own))
         for _ in range(iterations):
             cy, cx = np.rint(py[moving]).astype(int), np.rint(px[moving]).astype(int)
-            sums, ys, xs, n = np.zeros((len(moving), len(names))), np.zeros(len(moving)), np.zeros(len(moving)), np.zeros(len(moving))
+            sums, ys, xs, n = np.zeros((len(moving), given.shape[1])), np.zeros(len(moving)), np.zeros(len(moving)), np.zeros(len(moving))
             for a, b in steps:
                 qy, qx = cy + a, cx + b
                 inside = (qy >= 0) & (qy < image.shape[0]) & (qx >= 0) & (qx < image.shape[1])
@@ -65,60 +85,98 @@ def mean_shift(pixels: DataFrame, spatial: int, spectral: float, iterations: int
             moving = moving[moved > threshold]
             if not len(moving):
                 break
-        return pd.DataFrame({"band": np.tile(names, len(own)), "y": np.repeat(own["y"].to_numpy(), len(names)), "x": np.repeat(own["x"].to_numpy(), len(names)), "value": value.ravel()})
+        return pd.DataFrame({"y": own["y"], "x": own["x"], "colour": list(value), "my": py + y0, "mx": px + x0})
 
-    return dealt.groupBy("ty", "tx").applyInPandas(smooth, "band int, y int, x int, value double")
+    return dealt.groupBy("ty", "tx").applyInPandas(smooth, "y int, x int, colour array<double>, my double, mx double")
 
 
-def _tile_labels(classes: np.ndarray) -> np.ndarray:
-    """Least flat index of each 4-connected area of equal class, by repeated minima along runs."""
-    h, w = classes.shape
+def _tile_labels(down: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Least flat index of each area that hangs together by links to the pixel below and to the right, by repeated minima along runs."""
+    h, w = down.shape[0] + 1, right.shape[1] + 1
     labels = np.arange(h * w).reshape(h, w)
     while True:
         before = labels.copy()
-        for axis in (0, 1):
-            for flip in (False, True):
-                a, c = (np.flip(labels, axis), np.flip(classes, axis)) if flip else (labels, classes)
-                if axis == 1:
-                    a, c = a.T, c.T
-                for i in range(1, len(a)):
-                    same = c[i] == c[i - 1]
-                    a[i] = np.where(same, np.minimum(a[i], a[i - 1]), a[i])
+        for lines, links in ((labels, down), (labels.T, right.T)):
+            for i in range(1, len(lines)):
+                lines[i] = np.where(links[i - 1], np.minimum(lines[i], lines[i - 1]), lines[i])
+            for i in range(len(lines) - 2, -1, -1):
+                lines[i] = np.where(links[i], np.minimum(lines[i], lines[i + 1]), lines[i])
         if (labels == before).all():
             return labels
 
 
+def _numbered(rows: pd.DataFrame, fields: list[np.ndarray], linked) -> np.ndarray:
+    """The label of each row of one tile: the least pixel number (y * 2**31 + x) of its area. ``linked`` compares fields of neighbours."""
+    y0, x0 = int(rows["y"].min()), int(rows["x"].min())
+    y, x = (rows["y"] - y0).to_numpy(), (rows["x"] - x0).to_numpy()
+    shape = (int(y.max()) + 1, int(x.max()) + 1)
+    there, grids = np.zeros(shape, dtype=bool), []
+    there[y, x] = True
+    for field in fields:
+        grid = np.zeros((*shape, *field.shape[1:]), field.dtype)
+        grid[y, x] = field
+        grids.append(grid)
+    down = there[1:] & there[:-1] & linked([v[1:] for v in grids], [v[:-1] for v in grids])
+    right = there[:, 1:] & there[:, :-1] & linked([v[:, 1:] for v in grids], [v[:, :-1] for v in grids])
+    found = _tile_labels(down, right)[y, x]
+    return (found // shape[1] + y0).astype(np.int64) * 2**31 + found % shape[1] + x0
+
+
+def _across(local: DataFrame, keys: list[str], near: Column, tile: int) -> DataFrame:
+    """(node, component) of the labels ``node`` that go on in other tiles.
+
+    ``near`` compares a pixel's columns with those of its neighbour, named
+    other_*. Only pixels at tiles' edges meet, and the graph is as large as
+    the edges, not as the image.
+    """
+    edge = local.where((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))
+    there = edge.select(*keys, "y", "x", *[F.col(c).alias(f"other_{c}") for c in edge.columns if c not in (*keys, "y", "x")])
+    links = None
+    for dy, dx, c in ((1, 0, "y"), (0, 1, "x")):
+        here = edge.where(F.pmod(c, F.lit(tile)) == tile - 1).withColumns({"y": F.col("y") + dy, "x": F.col("x") + dx})
+        some = here.join(there, [*keys, "y", "x"]).where(near).select("node", "other_node").distinct()
+        links = some if links is None else links.union(some)
+    return connected_components(links, "node", "other_node")
+
+
 def connected_labels(pixels: DataFrame, step: int = 16, tile: int = TILE) -> DataFrame:
-    """band, y, x, class, label: 4-connected regions of equal ``dn div step``.
+    """band, y, x, class, label: 4-connected regions of equal ``dn div step``, each band on its own.
 
     The label is the region's least pixel number (y * 2**31 + x). Tiles are
-    labelled on their own; the labels that touch across tile edges are then
-    joined as a graph, whose size is that of the edges, not of the image.
+    labelled on their own, and then joined where labels touch across an edge.
     """
     rows = pixels.withColumn("class", F.floor(F.col("dn") / step).cast("int")).withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(rows["y"].min()), int(rows["x"].min())
-        grid = np.full((int(rows["y"].max()) - y0 + 1, int(rows["x"].max()) - x0 + 1), np.iinfo(np.int64).min)
-        grid[rows["y"] - y0, rows["x"] - x0] = rows["class"]
-        found = _tile_labels(grid)[rows["y"] - y0, rows["x"] - x0]
-        label = (found // grid.shape[1] + y0).astype(np.int64) * 2**31 + found % grid.shape[1] + x0
+        label = _numbered(rows, [rows["class"].to_numpy()], lambda a, b: a[0] == b[0])
         return pd.DataFrame({"band": rows["band"], "y": rows["y"], "x": rows["x"], "class": rows["class"], "local": label})
 
-    local = cut(rows.groupBy("band", "ty", "tx").applyInPandas(one, "band int, y int, x int, class int, local long"), "labels")
-    # A band's labels are told apart by a number of their own: 64 bits hold the band above the place.
-    node = F.shiftleft(F.col("band").cast("long"), 56) + F.col("local")
-    local = local.withColumn("node", node)
-    edge = local.where((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))
-    there = edge.select("band", "class", F.col("node").alias("other"), F.col("y").alias("y"), F.col("x").alias("x"))
-    links = None
-    for dy, dx, on in ((1, 0, F.col("y") % tile == tile - 1), (0, 1, F.col("x") % tile == tile - 1)):
-        here = edge.where(on).select("band", "class", "node", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
-        some = here.join(there, ["band", "class", "y", "x"]).select("node", "other").distinct()
-        links = some if links is None else links.union(some)
-    found = connected_components(links, "node", "other").withColumnRenamed("node", "n")
-    whole = F.coalesce("component", "node") - F.shiftleft(F.col("band").cast("long"), 56)
-    return local.join(found, local.node == found.n, "left").select("band", "y", "x", "class", whole.alias("label"))
+    local = cut(rows.groupBy("band", "ty", "tx").applyInPandas(one, "band int, y int, x int, class int, local long").withColumn("node", _band() + F.col("local")), "labels")
+    found = _across(local.select("band", "class", "y", "x", "node"), ["band", "class"], F.lit(True), tile).withColumnRenamed("node", "n")
+    return local.join(found, local.node == found.n, "left").select("band", "y", "x", "class", (F.coalesce("component", "node") - _band()).alias("label"))
+
+
+def linked_labels(smooth: DataFrame, spatial: int, spectral: float, tile: int = TILE) -> DataFrame:
+    """y, x, label: 4-neighbours of a smoothed image (as ``mean_shift`` gives it) are in one region if their modes are closer than ``spectral`` in
+    colour, over all bands, and closer than ``spatial`` in place."""
+    rows = smooth.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        fields = [np.stack(rows["colour"].to_list()), rows[["my", "mx"]].to_numpy(float)]
+        apart = lambda a, b: ((a - b) ** 2).sum(axis=-1)
+        label = _numbered(rows, fields, lambda a, b: (apart(a[0], b[0]) < spectral * spectral) & (apart(a[1], b[1]) < spatial * spatial))
+        return rows[["y", "x", "colour", "my", "mx"]].assign(node=label)
+
+    local = cut(rows.groupBy("ty", "tx").applyInPandas(one, "y int, x int, colour array<double>, my double, mx double, node long"), "labels")
+    square = lambda c: (F.col(c) - F.col(f"other_{c}")) * (F.col(c) - F.col(f"other_{c}"))
+    colour = F.aggregate(F.zip_with("colour", "other_colour", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = (colour < spectral * spectral) & (square("my") + square("mx") < spatial * spatial)
+    found = _across(local, [], near, tile).withColumnRenamed("node", "n")
+    return local.join(found, local.node == found.n, "left").select("y", "x", F.coalesce("component", "node").alias("label"))
+
+
+def _keys(labels: DataFrame) -> list[str]:
+    return [c for c in ("band",) if c in labels.columns]
 
 
 def zonal_stats(labels: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -128,37 +186,73 @@ def zonal_stats(labels: DataFrame, pixels: DataFrame) -> DataFrame:
     return both.groupBy("band", "label").agg(n.alias("nbpixels"), (s / n).alias("mean_dn"), ((n * q - s * s) / (n * n)).alias("var_dn"))
 
 
+def wide_stats(labels: DataFrame, image: DataFrame, bands: int) -> DataFrame:
+    """label, nbpixels, meanb0.., varb0..: mean and population variance of each band, as columns, from (y, x, label) and (y, x, colour)."""
+    values = [F.get("colour", F.lit(i)) for i in range(bands)]
+    stats = [f(v).alias(f"{name}b{i}") for name, f in (("mean", F.avg), ("var", F.var_pop)) for i, v in enumerate(values)]
+    return labels.join(image, ["y", "x"], "left").groupBy("label").agg(F.count("*").alias("nbpixels"), *stats)
+
+
+def _beside(labels: DataFrame, axis: str, shift: int) -> Column:
+    """The label of the pixel that lies ``shift`` (1 or -1) further along an axis; null where there is none, also in the middle of an image."""
+    other = "x" if axis == "y" else "y"
+    line = Window.partitionBy(*_keys(labels), other).orderBy(axis)
+    return F.when(F.lead(axis, shift).over(line) == F.col(axis) + shift, F.lead("label", shift).over(line))
+
+
 def neighbours(labels: DataFrame) -> DataFrame:
-    """band, label, other: regions that share a side, in both directions."""
-    down, right = Window.partitionBy("band", "x").orderBy("y"), Window.partitionBy("band", "y").orderBy("x")
-    beside = labels.select("label", "band", F.array(F.lead("label").over(down), F.lead("label").over(right)).alias("others"))
-    pairs = beside.select("label", "band", F.explode("others").alias("other")).where("other <> label").distinct()
-    return pairs.select("band", "label", "other").union(pairs.select("band", F.col("other").alias("label"), F.col("label").alias("other"))).distinct()
+    """label and other (and band, where labels have one): regions that share a side, in both directions."""
+    keys = _keys(labels)
+    beside = labels.select(*keys, "label", F.array(_beside(labels, "y", 1), _beside(labels, "x", 1)).alias("others"))
+    pairs = beside.select(*keys, "label", F.explode("others").alias("other")).where("other <> label").distinct()
+    return pairs.union(pairs.select(*keys, F.col("other").alias("label"), F.col("label").alias("other"))).distinct()
 
 
-def merge_small(labels: DataFrame, pixels: DataFrame, least: int, rounds: int = 50) -> DataFrame:
-    """band, y, x, label with no region under ``least`` pixels that has a neighbour.
+def merge_regions(regions: DataFrame, edges: DataFrame, sums: list[str], least: int) -> DataFrame:
+    """(label, whole): into which region each one goes, so that none under ``least`` pixels with a neighbour is left.
 
-    In each round every small region joins the neighbour of nearest mean (the
-    smaller label on a tie); chains of joins are followed to their end.
+    ``regions`` has label, n (pixels) and the ``sums`` of each band; ``edges``
+    has (label, other) in both directions. By increasing size, all regions of
+    the least size join the neighbour of nearest mean colour (the smaller label
+    on a tie; distances count to six decimals), and the graph shrinks: pixels
+    aren't touched. A region's label is the least of its members'.
     """
-    now = cut(labels.select("band", "y", "x", "label"), "merge")
-    for _ in range(rounds):
-        stats = cut(zonal_stats(now, pixels).select("band", "label", "nbpixels", "mean_dn"), "stats")
-        if stats.where(F.col("nbpixels") < least).isEmpty():
-            break
-        small = stats.where(F.col("nbpixels") < least).select("band", "label", "mean_dn")
-        other = stats.select("band", F.col("label").alias("other"), F.col("mean_dn").alias("mean_other"))
-        near = neighbours(now).join(small, ["band", "label"]).join(other, ["band", "other"])
-        to = near.groupBy("band", "label").agg(F.min_by("other", F.struct(F.abs(F.col("mean_dn") - F.col("mean_other")), "other")).alias("other"))
-        to = cut(to, "joins")
-        if to.isEmpty():
-            break
-        high = F.shiftleft(F.col("band").cast("long"), 56)
-        groups = connected_components(to.select((high + F.col("label")).alias("a"), (high + F.col("other")).alias("b")), "a", "b")
-        moved = now.withColumn("node", high + F.col("label")).join(groups, "node", "left")
-        now = cut(moved.select("band", "y", "x", F.coalesce(F.col("component") - high, "label").alias("label")), "merge")
-    return now
+    spark = regions.sparkSession
+    (now, a), (links, b), (whole, c) = cut_at(regions, "regions"), cut_at(edges, "beside"), cut_at(regions.select("label", F.col("label").alias("whole")), "whole")
+    while True:
+        small = now.where(F.col("n") < least).join(links.select("label").distinct(), "label", "left_semi").agg(F.min("n")).first()[0]
+        if small is None:
+            return whole
+        mine = now.where(F.col("n") == small).select("label", *[(F.col(s) / F.col("n")).alias(f"a_{s}") for s in sums])
+        theirs = now.select(F.col("label").alias("other"), *[(F.col(s) / F.col("n")).alias(f"b_{s}") for s in sums])
+        apart = sum(((F.col(f"a_{s}") - F.col(f"b_{s}")) * (F.col(f"a_{s}") - F.col(f"b_{s}")) for s in sums), F.lit(0.0))
+        picked = links.join(mine, "label").join(theirs, "other").groupBy("label").agg(F.min_by("other", F.struct(F.round(apart, 6), "other")).alias("other"))
+        groups = cut(connected_components(picked, "label", "other").select(F.col("node").alias("label"), "component"), "groups")
+        to = F.coalesce("component", "label")
+        new = now.join(groups, "label", "left").groupBy(to.alias("label")).agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
+        ends = links.join(groups, "label", "left").select(to.alias("label"), "other").join(groups.select(F.col("label").alias("other"), F.col("component").alias("there")), "other", "left")
+        joined = ends.select("label", F.coalesce("there", "other").alias("other")).where("label <> other").distinct()
+        moved = whole.join(groups.select(F.col("label").alias("whole"), "component"), "whole", "left").select("label", F.coalesce("component", "whole").alias("whole"))
+        old = (a, b, c)
+        (now, a), (links, b), (whole, c) = cut_at(new, "regions"), cut_at(joined, "beside"), cut_at(moved, "whole")
+        remove(spark, *old)
+
+
+def merge_small(labels: DataFrame, image: DataFrame, least: int, bands: int | None = None) -> DataFrame:
+    """The labels (y, x, label; or band, y, x, label) with no region under ``least`` pixels that has a neighbour (see ``merge_regions``).
+
+    ``image`` is (y, x, colour) with that number of ``bands``; for labels of each
+    band on its own it is (band, y, x, dn).
+    """
+    if "band" in labels.columns:
+        label = (F.col("label") + _band()).alias("label")
+        stats = labels.join(image, ["band", "y", "x"]).groupBy(label).agg(F.count("*").alias("n"), F.sum("dn").alias("s0"))
+        edges = neighbours(labels).select(label, (F.col("other") + _band()).alias("other"))
+        moved = merge_regions(stats, edges, ["s0"], least)
+        return labels.withColumn("node", label).join(moved.withColumnRenamed("label", "node"), "node").select("band", "y", "x", (F.col("whole") - _band()).alias("label"))
+    sums = [f"s{i}" for i in range(bands)]
+    stats = labels.join(image, ["y", "x"]).groupBy("label").agg(F.count("*").alias("n"), *[F.sum(F.get("colour", F.lit(i))).alias(s) for i, s in enumerate(sums)])
+    return labels.join(merge_regions(stats, neighbours(labels), sums, least), "label").select("y", "x", F.col("whole").alias("label"))
 
 
 def _assemble(edges: Iterator[tuple]) -> list[list[tuple[int, int]]]:
@@ -199,38 +293,68 @@ def _rings(sides: list[tuple]) -> list[list[dict]]:
 
 
 def boundaries(labels: DataFrame) -> DataFrame:
-    """band, label, x0, y0, x1, y1: the pixel sides between a region and what isn't it, inside on the left of the way."""
-    down, right = Window.partitionBy("band", "x").orderBy("y"), Window.partitionBy("band", "y").orderBy("x")
-    differs = lambda c: c.isNull() | (c != F.col("label"))
+    """label, x0, y0, x1, y1 (and band, where labels have one): the pixel sides between a region and what isn't it, inside on the left of the way."""
+    keys = _keys(labels)
+    differs = lambda axis, shift: F.coalesce(_beside(labels, axis, shift) != F.col("label"), F.lit(True))
     x, y = F.col("x"), F.col("y")
-    side = lambda on, a, b, c, d: F.when(on, F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1")))
+    side = lambda on, a, b, c, d: F.when(F.col(on), F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1")))
     sides = F.array(
-        side(F.col("up"), x, y, x + 1, y),
-        side(F.col("after"), x + 1, y, x + 1, y + 1),
-        side(F.col("below"), x + 1, y + 1, x, y + 1),
-        side(F.col("before"), x, y + 1, x, y),
+        side("up", x, y, x + 1, y),
+        side("after", x + 1, y, x + 1, y + 1),
+        side("below", x + 1, y + 1, x, y + 1),
+        side("before", x, y + 1, x, y),
     )
-    marked = labels.withColumns({"up": differs(F.lag("label").over(down)), "below": differs(F.lead("label").over(down)), "before": differs(F.lag("label").over(right)), "after": differs(F.lead("label").over(right))})
-    return marked.select("band", "label", F.explode(sides).alias("s")).where("s is not null").select("band", "label", "s.*")
+    marked = labels.withColumns({"up": differs("y", -1), "below": differs("y", 1), "before": differs("x", -1), "after": differs("x", 1)})
+    return marked.select(*keys, "label", F.explode(sides).alias("s")).where("s is not null").select(*keys, "label", "s.*")
 
 
 def vectorise(labels: DataFrame) -> DataFrame:
-    """band, label, rings: the polygon of every region, shell first. A task assembles one region's sides."""
+    """label, rings (and band, where labels have one): the polygon of every region, shell first.
+
+    A task assembles one region's sides; that row is as large as the polygon
+    that it becomes.
+    """
+    keys = _keys(labels)
 
     @F.pandas_udf(_RINGS)
     def rings(regions: pd.Series) -> pd.Series:
         return pd.Series([_rings([(s["x0"], s["y0"], s["x1"], s["y1"]) for s in sides]) for sides in regions])
 
-    sides = boundaries(labels).groupBy("band", "label").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides"))
-    return sides.select("band", "label", rings("sides").alias("rings"))
-
-
-def segment(pixels: DataFrame, spatial: int, spectral: float, least: int, merge: bool = False, step: int = 16) -> DataFrame:
-    """Smooth, label, then drop small regions or merge them, and return the polygons."""
-    smooth = mean_shift(pixels, spatial, spectral).select("band", "y", "x", F.round("value").cast("int").alias("dn"))
-    smooth = cut(smooth, "smooth")
-    labels = connected_labels(smooth, step)
-    if merge:
-        return vectorise(merge_small(labels, smooth, least))
-    big = labels.groupBy("band", "label").count().where(F.col("count") >= least).select("band", "label")
-    return vectorise(labels.join(big, ["band", "label"], "left_semi"))
+    sides = boundaries(labels).groupBy(*keys, "label").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides"))
+    return sides.select(*keys, "label", rings("sides").alias("rings"))
+
+
+def segment(
+    pixels: DataFrame,
+    spatial: int,
+    spectral: float,
+    least: int,
+    delete: bool = False,
+    iterations: int = 10,
+    threshold: float = 0.1,
+    tile: int = TILE,
+    transform: tuple[float, float, float, float] | None = None,
+) -> DataFrame:
+    """label, nbpixels, meanb*, varb*, rings and the nine shape metrics of every segment of an image (band, y, x, dn).
+
+    The image is smoothed by mean shift over all its bands; neighbours whose
+    modes lie within both radii make one region. Regions under ``least`` pixels
+    are left out (``delete``), or merged by increasing size into the neighbour of
+    nearest mean. Statistics are those of the smoothed image. Rings are in
+    pixels, or in the world's units by ``transform`` (x0, dx, y0, dy).
+    """
+    bands = bands_of(pixels)
+    smooth = cut(mean_shift(pixels, spatial, spectral, iterations, threshold, tile, bands), "smooth")
+    image = smooth.select("y", "x", "colour")
+    labels = linked_labels(smooth, spatial, spectral, tile)
+    if delete:
+        big = labels.groupBy("label").count().where(F.col("count") >= least).select("label")
+        labels = labels.join(big, "label", "left_semi")
+    else:
+        labels = merge_small(cut(labels, "linked"), image, least, len(bands))
+    labels = cut(labels.select("y", "x", "label"), "segments")
+    shapes = vectorise(labels)
+    if transform:
+        x0, dx, y0, dy = transform
+        shapes = shapes.withColumn("rings", g.mapped(F.col("rings"), lambda p: (x0 + p["x"] * dx, y0 + p["y"] * dy)))
+    return with_metrics(wide_stats(labels, image, len(bands)).join(shapes, "label"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolith.functions import geometry as g
-from stratolith.functions.circle import bounding_circle
+from stratolith.functions.circle import convex_hull, group_circles
 from stratolith.operators import catalog, params, raster, segment
+from stratolith.operators.metrics import METRICS, with_metrics
 from stratolith.sources import adapters as ad
 from stratolith.sources import shapefile
+from stratolith.sources.states import FIPS
 from stratolith.storage import cut, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +33,6 @@ _CTE = {
 }
 _METRICS = """area, perim, case when area > 0 then perim / area else 0.0 end para, area / (2 * pi() * r) compact, 4 * pi() * area / (perim * perim) compact2, perim / (pi() * r * r) smooth,
     0.25 * perim / sqrt(area) shape, case when area <= 1 or perim / 4 < 1 then 1.0 else 2 * ln(perim / 4) / ln(area) end frac, 1 - area / (pi() * r * r) circle"""
-METRICS = ("area", "perim", "para", "compact", "compact2", "smooth", "shape", "frac", "circle")
 
 
 def _sql(body: str, *ctes: str, recursive: bool = False) -> str:
@@ -49,14 +50,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def with_metrics(df: DataFrame, rings: str = "rings", radius=None) -> DataFrame:
-    """Add the nine shape metrics of a polygon column; the circle comes from the shell."""
-    if radius is None:
-        df = df.withColumn("__c", bounding_circle(F.get(F.col(rings), F.lit(0))))
-        radius = F.col("__c.r")
-    return df.withColumns(g.metric_columns(g.area(F.col(rings)), g.perimeter(F.col(rings)), radius)).drop("__c")
-
-
 def _rounded(names, places: int = 6):
     return [F.round(n, places).alias(n) for n in names]
 
@@ -97,16 +90,6 @@ def tiles_pending_limit_per_worker(spark, sf_dir):
     return catalog.per_worker(tiles_pending(spark, sf_dir), 4, 5)
 
 
-#: FIPS codes and states as the config lists them (19 and 26 are missing, 03 and 60 are both "as").
-FIPS = dict(
-    pair.split(":")
-    for pair in (
-        "01:al 02:ak 03:as 04:az 05:ar 06:ca 08:co 09:ct 10:de 11:dc 12:fl 13:ga 15:hi 16:id 17:il 18:in 20:ks 21:ky 22:la 23:me 24:md 25:ma 27:mn 28:ms 29:mo 30:mt 31:ne 32:nv 33:nh 34:nj 35:nm 36:ny 37:nc 38:nd 39:oh 40:ok "
-        "41:or 42:pa 44:ri 45:sc 46:sd 47:tn 48:tx 49:ut 50:vt 51:va 53:wa 54:wv 55:wi 56:wy 60:as 64:fm 66:gu 68:mh 69:mp 70:pw 72:pr 78:vi"
-    ).split()
-)
-
-
 @query(_sql("select gid, filename from catalogue where st = 'Brand#13'", "catalogue"))
 def aoi_state(spark, sf_dir):
     return ad.catalogue(spark, sf_dir).where(F.col("st") == "Brand#13").select("gid", "filename")
@@ -183,8 +166,7 @@ def fips_lookup(spark, sf_dir):
 @query(_sql("select geoid, xmin, ymin, xmax, ymax from regions", "regions"))
 def bbox_parse(spark, sf_dir):
     texts = ad.regions(spark, sf_dir).select("geoid", F.format_string("BOX(%s %s,%s %s)", "xmin", "ymin", "xmax", "ymax").alias("box"))
-    number = lambda i: F.regexp_extract("box", r"BOX\((\S+) (\S+),(\S+) (\S+)\)", i).cast("double")
-    return texts.select("geoid", *[number(i + 1).alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax"))])
+    return texts.select("geoid", g.parse_box(F.col("box")).alias("b")).select("geoid", "b.*")
 
 
 @query(_sql("select geoid, printf('POLYGON((%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f))', xmin, ymin, xmin, ymax, xmax, ymax, xmax, ymin, xmin, ymin) wkt from regions", "regions"))
@@ -193,7 +175,10 @@ def bbox_to_wkt(spark, sf_dir):
     return ad.regions(spark, sf_dir).select("geoid", F.format_string("POLYGON((" + ",".join(["%.6f %.6f"] * 5) + "))", *corners).alias("wkt"))
 
 
-@query("select s_suppkey, round(s_suppkey * 0.25 - 500 / 111120.0::double, 6) xmin, round(s_suppkey * 0.125 - 500 / 111120.0::double, 6) ymin, round(s_suppkey * 0.25 + 500 / 111120.0::double, 6) xmax, round(s_suppkey * 0.125 + 500 / 111120.0::double, 6) ymax from (select s_suppkey::double s_suppkey from supplier)".replace("select s_suppkey,", "select s_suppkey::bigint s_suppkey,", 1))
+@query(
+    """select s_suppkey, round(s_suppkey::double * 0.25 - d, 6) xmin, round(s_suppkey::double * 0.125 - d, 6) ymin, round(s_suppkey::double * 0.25 + d, 6) xmax, round(s_suppkey::double * 0.125 + d, 6) ymax
+    from supplier, (select 500 / 111120.0::double d)"""
+)
 def latlon_to_bbox(spark, sf_dir):
     k = F.col("s_suppkey")
     return ad._read(spark, sf_dir, "supplier").select("s_suppkey", raster.box_around(k * 0.125, k * 0.25, 500.0).alias("b")).select("s_suppkey", "b.*")
@@ -238,7 +223,8 @@ def polygon_metrics(spark, sf_dir):
 
 @query(
     _sql(
-        """select segment, line, round((mx(w) * my(h) - hole * (mx(2) - mx(1)) * (my(2) - my(1))) / 1e6, 3) km2 from rects""".replace("mx(w)", "m * w").replace("my(h)", "ln(tan(pi() / 4 + radians(h) / 2)) * 6378137.0").replace("(mx(2) - mx(1))", "m").replace("(my(2) - my(1))", "(ln(tan(pi() / 4 + radians(2.0) / 2)) - ln(tan(pi() / 4 + radians(1.0) / 2))) * 6378137.0").replace("from rects", "from (select *, 6378137.0 * pi() / 180 m from rects)"),
+        """select segment, line, round((metre * w * r * ln(tan(pi() / 4 + radians(h) / 2)) - hole * metre * r * (ln(tan(pi() / 4 + radians(2.0) / 2)) - ln(tan(pi() / 4 + radians(1.0) / 2)))) / 1e6, 3) km2
+        from rects, (select 6378137.0::double r, 6378137.0::double * pi() / 180 metre)""",
         "rects",
     )
 )
@@ -246,10 +232,35 @@ def mercator_area(spark, sf_dir):
     return ad.segments(spark, sf_dir).select("segment", "line", F.round(g.area(g.mercator(F.col("rings"))) / 1e6, 3).alias("km2"))
 
 
-@query()
+#: The least circle of a set is the greatest of its triples' least circles; of an obtuse triple that is its longest side's.
+_CIRCLES = """p as (select distinct user_id grp, round((user_id + event_id % 97)::double, 6) x, round(value, 6) y from events),
+    t as (select a.grp, a.x ax, a.y ay, b.x bx, b.y by_, c.x cx, c.y cy, (b.x - a.x) ^ 2 + (b.y - a.y) ^ 2 ab, (c.x - a.x) ^ 2 + (c.y - a.y) ^ 2 ac, (c.x - b.x) ^ 2 + (c.y - b.y) ^ 2 bc
+        from p a join p b on a.grp = b.grp and (a.x, a.y) <= (b.x, b.y) join p c on a.grp = c.grp and (b.x, b.y) <= (c.x, c.y)),
+    d as (select *, 2 * ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) d, greatest(ab, ac, bc) far from t),
+    o as (select grp, case when 2 * far >= ab + ac + bc then case far when ab then (ax + bx) / 2 when ac then (ax + cx) / 2 else (bx + cx) / 2 end else ax + ((cy - ay) * ab - (by_ - ay) * ac) / d end cx,
+        case when 2 * far >= ab + ac + bc then case far when ab then (ay + by_) / 2 when ac then (ay + cy) / 2 else (by_ + cy) / 2 end else ay + ((bx - ax) * ac - (cx - ax) * ab) / d end cy,
+        case when 2 * far >= ab + ac + bc then sqrt(far) / 2 else sqrt(ab) * sqrt(ac) * sqrt(bc) / abs(d) end r from d)"""
+
+
+@query(_sql("select grp, round(arg_max(cx, r), 6) cx, round(arg_max(cy, r), 6) cy, round(max(r), 6) r from o group by grp", _CIRCLES))
 def min_bounding_circle(spark, sf_dir):
-    groups = ad.points(spark, sf_dir).groupBy("grp").agg(F.collect_set(g.point("x", "y")).alias("points"))
-    return groups.select("grp", bounding_circle("points").alias("c")).select("grp", *[F.round(f"c.{k}", 6).alias(k) for k in ("cx", "cy", "r")])
+    return group_circles(ad.points(spark, sf_dir), "grp").select("grp", *_rounded(["cx", "cy", "r"]))
+
+
+@query(
+    _sql(
+        """select a.grp, a.x, a.y from p a where not exists (
+            select 1 from p b join p c on b.grp = c.grp where b.grp = a.grp and (b.x, b.y) <> (a.x, a.y) and (c.x, c.y) <> (a.x, a.y) and (b.x, b.y) < (c.x, c.y)
+            and (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) and (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) <= 0)
+        and exists (select 1 from p b where b.grp = a.grp and (b.x, b.y) <> (a.x, a.y) and not exists (
+            select 1 from p c where c.grp = a.grp and (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0))""",
+        "p as (select distinct l_orderkey % 500 grp, l_linenumber::double x, l_quantity y from lineitem where l_orderkey < 4000)",
+    )
+)
+def convex_hulls(spark, sf_dir):
+    """The corners of each group's hull; points on its sides aren't corners."""
+    points = ad._read(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select((F.col("l_orderkey") % 500).alias("grp"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
+    return points.groupBy("grp").agg(convex_hull(F.collect_set(g.point("x", "y"))).alias("h")).select("grp", F.inline("h"))
 
 
 @query(_sql("select band, min(dn)::int min_dn, max(dn)::int max_dn, round(avg(dn), 6) avg_dn, round(stddev_pop(dn), 6) std_dn from pixels group by 1", "pixels"))
@@ -324,7 +335,7 @@ def optimal_params(spark, sf_dir):
     return params.optimal_parameters(ad.pixels(spark, sf_dir), lags=_LAGS)
 
 
-@query(_sql("select 0 band, y::int y, (x + 40 * band)::int x, arg_max(dn, band)::int dn from (select band, y, x + 0 x, dn from pixels) group by all".replace("select 0 band, y::int y, (x + 40 * band)::int x, arg_max(dn, band)::int dn from (select band, y, x + 0 x, dn from pixels) group by all", "select 0 band, y, x, arg_max(dn, image)::int dn from (select band image, y, (x + 40 * band)::int x, dn from pixels) group by y, x"), "pixels"))
+@query(_sql("select 0 band, y, x, arg_max(dn, image)::int dn from (select band image, y, (x + 40 * band)::int x, dn from pixels) group by y, x", "pixels"))
 def mosaic_latest_wins(spark, sf_dir):
     """Each band as an image of its own, 40 pixels farther right than the one before; later ones win."""
     images = ad.pixels(spark, sf_dir).select(F.col("band").alias("image"), F.lit(0).alias("band"), "y", "x", "dn")
@@ -333,10 +344,10 @@ def mosaic_latest_wins(spark, sf_dir):
 
 
 #: Labels by recursion that keeps one row for each pixel and hands smaller labels on.
-_LABELS = """cells as (select band, y, x, dn, dn // 16 class, band::bigint * 1000000000000 + y * 1000000 + x id from pixels),
-    edges as (select a.id, b.id other from cells a join cells b on a.band = b.band and a.class = b.class and ((b.y = a.y and b.x in (a.x - 1, a.x + 1)) or (b.x = a.x and b.y in (a.y - 1, a.y + 1)))),
-    cc(id, label) using key (id) as (select id, id from cells union select e.other, min(cc.label) from cc join edges e on e.id = cc.id join recurring.cc old on old.id = e.other where cc.label < old.label group by e.other),
-    labels as (select band, y, x, dn, class, (label % 1000000000000 // 1000000) * 2147483648 + label % 1000000 label from cells join cc using (id))"""
+_LABELS = """places as (select band, y, x, dn, dn // 16 class, band::bigint * 1000000000000 + y * 1000000 + x id from pixels),
+    edges as (select a.id, b.id other from places a join places b on a.band = b.band and a.class = b.class and ((b.y = a.y and b.x in (a.x - 1, a.x + 1)) or (b.x = a.x and b.y in (a.y - 1, a.y + 1)))),
+    cc(id, label) using key (id) as (select id, id from places union select e.other, min(cc.label) from cc join edges e on e.id = cc.id join recurring.cc old on old.id = e.other where cc.label < old.label group by e.other),
+    labels as (select band, y, x, dn, class, (label % 1000000000000 // 1000000) * 2147483648 + label % 1000000 label from places join cc using (id))"""
 
 
 @query(_sql("select band, y, x, class::int class, label::bigint label from labels", "pixels", _LABELS, recursive=True))
@@ -350,17 +361,135 @@ def zonal_stats(spark, sf_dir):
     return found.select("band", "label", "nbpixels", *_rounded(["mean_dn", "var_dn"]))
 
 
-@query()
-def merge_small_regions(spark, sf_dir):
-    pixels = ad.pixels(spark, sf_dir)
-    return segment.merge_small(segment.connected_labels(pixels, 16), pixels, 8)
+@query(_sql("select band, label::bigint label, count(*)::double area from labels group by 1, 2", "pixels", _LABELS, recursive=True))
+def vectorize_area_conservation(spark, sf_dir):
+    return segment.vectorise(connected_components(spark, sf_dir)).select("band", "label", g.area(F.col("rings")).alias("area"))
+
+
+#: Where the images with holes have none: one place in eleven.
+_HOLE = "(y * 7 + x * 3) % 11 = 0"
+_HOLED = f"pixels as (select * from all_pixels where not ({_HOLE}))"
+_ALL = _CTE["pixels"].replace("pixels as", "all_pixels as", 1)
+
+
+def _holed(spark, sf_dir) -> DataFrame:
+    return ad.pixels(spark, sf_dir).where(f"not ({_HOLE})")
+
+
+@query(
+    _sql(
+        """select p.band, lag::int lag, sum((d.dn - p.dn) * (d.dn - p.dn))::double / (2 * count(*)) sv_row, sum((r.dn - p.dn) * (r.dn - p.dn))::double / (2 * count(*)) sv_col,
+        (sum((d.dn - p.dn) * (d.dn - p.dn)) + sum((r.dn - p.dn) * (r.dn - p.dn)))::double / (4 * count(*)) sv_avg
+        from pixels p, (select unnest(range(1, 12)) lag) l join pixels d on d.band = p.band and d.x = p.x and d.y = p.y + lag join pixels r on r.band = p.band and r.y = p.y and r.x = p.x + lag group by 1, 2""",
+        _ALL, _HOLED,
+    )
+)
+def semivariogram_gaps(spark, sf_dir):
+    """The semivariogram of bands with holes, at odd lags too."""
+    return params.semivariogram(_holed(spark, sf_dir), tuple(range(1, 12)))
+
+
+@query(
+    _sql(
+        """select l.band, l.label::bigint label, (count(*) / 4)::double area, count_if(n.label is null or n.label <> l.label)::double perim
+        from labels l cross join (select unnest([1, -1, 0, 0]) dy, unnest([0, 0, 1, -1]) dx) left join labels n on n.band = l.band and n.y = l.y + dy and n.x = l.x + dx group by 1, 2""",
+        _ALL, _HOLED, _LABELS, recursive=True,
+    )
+)
+def vectorise_gaps(spark, sf_dir):
+    """Polygons of an image with holes: each hole is outside, and its sides are theirs."""
+    found = segment.vectorise(segment.connected_labels(_holed(spark, sf_dir), 16, tile=32))
+    return found.select("band", "label", g.area(F.col("rings")).alias("area"), g.perimeter(F.col("rings")).alias("perim"))
+
+
+_BANDS = range(1, 6)
+_SPATIAL, _SPECTRAL, _ROUNDS, _LEAST = 2, 30.0, 4, 4
+_square = lambda a, b: " + ".join(f"({a}[{k}] - {b}[{k}]) * ({a}[{k}] - {b}[{k}])" for k in _BANDS)
+
+
+def _mean_shift_sql() -> str:
+    """smooth (id, y, x, c, my, mx): every pixel's way to its mode, a round at a time."""
+    means = ", ".join(f"sum(o.c[{k}]) / count(o.c)" for k in _BANDS)
+    return f"""colours as (select y, x, list(dn order by band)::double[] c from pixels group by y, x having count(*) = 5),
+    reach as (select a, b from (select unnest(range(-{_SPATIAL}, {_SPATIAL} + 1)) a), (select unnest(range(-{_SPATIAL}, {_SPATIAL} + 1)) b) where a * a + b * b <= {_SPATIAL * _SPATIAL}),
+    way as (select 0 i, y, x, c, y::double my, x::double mx, true moving from colours
+        union all
+        select i + 1, y, x, case when found then nc else c end, case when found then ny else my end, case when found then nx else mx end,
+            found and sqrt({_square("nc", "c")} + (ny - my) * (ny - my) + (nx - mx) * (nx - mx)) > 0.1
+        from (
+            select w.i, w.y, w.x, w.c, w.my, w.mx, w.moving and count(o.c) > 0 found, [{means}] nc, sum(o.y)::double / count(o.c) ny, sum(o.x)::double / count(o.c) nx
+            from way w cross join reach left join colours o on w.moving and o.y = round_even(w.my, 0)::int + a and o.x = round_even(w.mx, 0)::int + b and {_square("o.c", "w.c")} <= {_SPECTRAL * _SPECTRAL}
+            where w.i < {_ROUNDS} group by w.i, w.y, w.x, w.c, w.my, w.mx, w.moving
+        )),
+    smooth as materialized (select y * 1000000 + x id, y, x, c, my, mx from way where i = {_ROUNDS})"""
+
+
+_LINKED = f"""near as (select a.id, b.id other from smooth a join smooth b on b.id = a.id + 1 or b.id = a.id + 1000000
+        where {_square("a.c", "b.c")} < {_SPECTRAL * _SPECTRAL} and (a.my - b.my) * (a.my - b.my) + (a.mx - b.mx) * (a.mx - b.mx) < {_SPATIAL * _SPATIAL}),
+    links as (select * from near union all select other, id from near),
+    cc0(id, label) using key (id) as (select id, id from smooth union select e.other, min(cc0.label) from cc0 join links e on e.id = cc0.id join recurring.cc0 old on old.id = e.other where cc0.label < old.label group by e.other),
+    lab1 as materialized (select id, label from cc0)"""
+
+
+def _merge_sql(least: int, bands: int) -> str:
+    """lab1 to lab<least>: regions of 1, 2, ... pixels join the neighbour of nearest mean; cells has (id, c)."""
+    apart = " + ".join(f"(a.s{k} / a.n - b.s{k} / b.n) * (a.s{k} / a.n - b.s{k} / b.n)" for k in range(1, bands + 1))
+    return ",\n".join(
+        f"""reg{i} as materialized (select label, count(*) n, {", ".join(f"sum(c[{k}]) s{k}" for k in range(1, bands + 1))} from lab{i} join cells using (id) group by label),
+        side{i} as (select distinct a.label, b.label other from lab{i} a join lab{i} b on b.id = a.id + 1 where a.label <> b.label union select a.label, b.label from lab{i} a join lab{i} b on b.id = a.id + 1000000 where a.label <> b.label),
+        pick{i} as (select a.label, b.label other from (select * from side{i} union select other, label from side{i}) s join reg{i} a on a.label = s.label and a.n = {i} join reg{i} b on b.label = s.other
+            qualify row_number() over (partition by a.label order by round({apart}, 6), b.label) = 1),
+        ends{i} as materialized (select label x, other y from pick{i} union select other, label from pick{i}),
+        cc{i}(id, label) using key (id) as (select distinct x, x from ends{i} union select e.y, min(cc{i}.label) from cc{i} join ends{i} e on e.x = cc{i}.id join recurring.cc{i} old on old.id = e.y where cc{i}.label < old.label group by e.y),
+        lab{i + 1} as materialized (select l.id, coalesce(cc{i}.label, l.label) label from lab{i} l left join cc{i} on cc{i}.id = l.label)"""
+        for i in range(1, least)
+    )
+
+
+def _segments_sql(labels: str) -> str:
+    # Sums differ in their last bits by their order; the nudge keeps exact halves from being rounded either way.
+    stats = ", ".join(f"round(avg(c[{k}]) + 1e-9, 6) meanb{k - 1}, round(var_pop(c[{k}]) + 1e-9, 6) varb{k - 1}" for k in _BANDS)
+    return f"""select ((label // 1000000) * 2147483648 + label % 1000000)::bigint label, nbpixels, {", ".join(f"meanb{k - 1}, varb{k - 1}" for k in _BANDS)}, area, perim, round(perim / area, 6) para, round(4 * pi() * area / (perim * perim), 6) compact2,
+        round(0.25 * perim / sqrt(area), 6) shape, round(case when area <= 1 or perim / 4 < 1 then 1.0 else 2 * ln(perim / 4) / ln(area) end, 6) frac
+        from (select label, count(*) nbpixels, count(*)::double area, {stats} from {labels} join smooth using (id) group by label)
+        join (select l.label, count_if(n.label is null or n.label <> l.label)::double perim from {labels} l cross join (select unnest([1, -1, 1000000, -1000000]) d) left join {labels} n on n.id = l.id + d group by 1) using (label)"""
+
+
+_SEGMENT_COLUMNS = ["label", "nbpixels", *[f"{m}b{k}" for k in range(5) for m in ("mean", "var")], "area", "perim", "para", "compact2", "shape", "frac"]
+
 
+def _segments(spark, sf_dir, delete: bool) -> DataFrame:
+    found = segment.segment(_holed(spark, sf_dir), _SPATIAL, _SPECTRAL, _LEAST, delete, _ROUNDS, tile=32)
+    rounded = lambda c: F.round(F.col(c) + 1e-9 if c[:4] in ("mean", "varb") else F.col(c), 6).alias(c)
+    return found.select(*[c if c in ("label", "nbpixels", "area", "perim") else rounded(c) for c in _SEGMENT_COLUMNS])
 
-@query()
+
+@query(_sql("select y, x, k::int band, round(c[k + 1], 6) \"value\", round(my, 6) my, round(mx, 6) mx from smooth, (select unnest(range(5)) k)", _ALL, _HOLED, _mean_shift_sql(), recursive=True))
 def meanshift_smooth(spark, sf_dir):
-    return segment.mean_shift(ad.pixels(spark, sf_dir), 2, 16.0, 4).withColumn("value", F.round("value", 6))
+    found = segment.mean_shift(_holed(spark, sf_dir), _SPATIAL, _SPECTRAL, _ROUNDS, tile=32)
+    return found.select("y", "x", F.posexplode("colour").alias("band", "value"), *_rounded(["my", "mx"])).withColumn("value", F.round("value", 6))
 
 
-@query(_sql("select band, label::bigint label, count(*)::double area from labels group by 1, 2", "pixels", _LABELS, recursive=True))
-def vectorize_area_conservation(spark, sf_dir):
-    return segment.vectorise(connected_components(spark, sf_dir)).select("band", "label", g.area(F.col("rings")).alias("area"))
+@query(_sql(_segments_sql("big"), _ALL, _HOLED, _mean_shift_sql(), _LINKED, f"big as (select id, label from lab1 where label in (select label from lab1 group by label having count(*) >= {_LEAST}))", recursive=True))
+def segment_delete(spark, sf_dir):
+    """Segments of an image with holes: all bands together, small ones left out; statistics and the metrics that SQL can say."""
+    return _segments(spark, sf_dir, True)
+
+
+@query(_sql(_segments_sql(f"lab{_LEAST}"), _ALL, _HOLED, _mean_shift_sql(), _LINKED, "cells as (select id, c from smooth)", _merge_sql(_LEAST, 5), recursive=True))
+def segment_merge(spark, sf_dir):
+    """The same with small segments merged."""
+    return _segments(spark, sf_dir, False)
+
+
+@query(
+    _sql(
+        """select (l.id // 1000000000000)::int band, (l.id // 1000000 % 1000000)::int y, (l.id % 1000000)::int x, ((label % 1000000000000 // 1000000) * 2147483648 + label % 1000000)::bigint label from lab4 l""",
+        "pixels", _LABELS,
+        "cells as (select id, [dn::double] c from places)", "lab1 as materialized (select id, label from cc)", _merge_sql(4, 1), recursive=True,
+    )
+)
+def merge_small_regions(spark, sf_dir):
+    """Each band's regions of fewer than four pixels merged."""
+    pixels = ad.pixels(spark, sf_dir)
+    return segment.merge_small(segment.connected_labels(pixels, 16), pixels, 4)

@@ -3,8 +3,8 @@ import tempfile
 import pytest
 
 from stratolith import commands
-from stratolith.plans.queries import FIPS
 from stratolith.sources import shapefile, tables
+from stratolith.sources.states import FIPS
 from stratolith.streaming import incremental
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratolith.functions import geometry as g
 from stratolith.functions.circle import minimum_circle
 from stratolith.operators import catalog
-from stratolith.plans.queries import METRICS, with_metrics
+from stratolith.operators.metrics import METRICS, with_metrics
 
 SQUARE = "POLYGON ((0 0,1 0,1 1,0 1,0 0))"
 HOLED = "POLYGON ((0 0,3 0,3 3,0 3,0 0), (1 1,2 1,2 2,1 2,1 1))"
