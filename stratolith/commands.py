@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratolith.functions import geometry
 from stratolith.operators import catalog, params, raster, segment
-from stratolith.sources import shapefile
+from stratolith.operators.metrics import METRICS
+from stratolith.sources import shapefile, tables
+from stratolith.sources.states import FIPS
+from stratolith.storage import unused
+
+#: Degrees of a pixel at zoom 1, and the fields that a profile of segments has.
+DEGREES_PER_PIXEL = 0.000005836467370
+PROFILED = ["nbpixels", *[f"{m}b{k}" for m in ("mean", "var") for k in range(6)], *METRICS]
 
 
 def describe_config(spark: SparkSession, config: dict[str, str]) -> DataFrame:
@@ -15,26 +23,81 @@ def describe_config(spark: SparkSession, config: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(shown, "key string, value string")
 
 
-def ingest_regions(spark: SparkSession, folder: str, states: list[str] | None = None) -> DataFrame:
-    """Region shapefiles of the given two-digit states (all without): one table, with a box for every row."""
-    regions = shapefile.read_zipped(spark, folder)
-    if states is not None:
-        code = "statefp" if "statefp" in regions.columns else "geoid"
-        regions = regions.where(F.substring(code, 1, 2).isin(states))
+def _boxed(regions: DataFrame) -> DataFrame:
     points = F.flatten(F.flatten("geom"))
     at = lambda c: F.transform(points, lambda p: p[c])
     return regions.withColumns({"xmin": F.array_min(at("x")), "ymin": F.array_min(at("y")), "xmax": F.array_max(at("x")), "ymax": F.array_max(at("y"))})
 
 
+def ingest_regions(spark: SparkSession, folder: str, states: list[str] | None = None, pattern: str = r"\.zip$") -> DataFrame:
+    """Region shapefiles of the given two-digit states (all without): one table, with a box for every row."""
+    regions = shapefile.read_zipped(spark, folder, pattern)
+    if states is not None and len(regions.columns) > 1:
+        code = "statefp" if "statefp" in regions.columns else "geoid"
+        regions = regions.where(F.substring(code, 1, 2).isin(states))
+    return _boxed(regions)
+
+
+def ingest_census(spark: SparkSession, folder: str, area: str | list, year: str = "2016") -> dict[str, DataFrame]:
+    """The tables county, cousub and roads of the packages under ``folder``: all counties, the subdivisions of the area's states, its counties' roads.
+
+    A box asks the counties which states and counties it overlaps; a state's
+    roads are those of all its counties.
+    """
+    wanted = catalog.parse_area(area)
+    county = ingest_regions(spark, folder, pattern=rf"^tl_{year}_us_county\.zip$")
+    if wanted.kind == "bbox":
+        states, counties = catalog.region_lists(county, wanted.value)
+    else:
+        states, counties = [wanted.value[:2]], [wanted.value[:5] if len(wanted.value) >= 5 else wanted.value + "[0-9]*"]
+    if not states:
+        raise ValueError("the area overlaps no county")
+    named = lambda codes, kind: rf"^tl_{year}_({'|'.join(codes)})_{kind}\.zip$"
+    return {"county": county, "cousub": ingest_regions(spark, folder, pattern=named(states, "cousub")), "roads": ingest_regions(spark, folder, pattern=named(counties, "roads"))}
+
+
+def catalogue_sources(spark: SparkSession, template: str, year: str, states: list[str] | None = None) -> DataFrame:
+    """st and url of the catalogue's packages, for some or for all states; the template has {0} for the year, {1} for the state, {2} for its two digits."""
+    rows = sorted(set(states if states is not None else FIPS.values()))
+    form = template.replace("%", "%%").replace("{0}", "%1$s").replace("{1}", "%2$s").replace("{2}", "%3$s")
+    found = spark.createDataFrame([(s,) for s in rows], "st string")
+    return found.select("st", F.format_string(form, F.lit(year), F.lower("st"), F.right(F.lit(year), F.lit(2))).alias("url"))
+
+
+def load_catalogue(spark: SparkSession, folder: str, year: str) -> DataFrame:
+    """The year's tile catalogue from its packages under ``folder``, with a box for every tile."""
+    return _boxed(shapefile.read_zipped(spark, folder, rf"_naip{year[-2:]}qq\.zip$"))
+
+
 def tiles_of_area(tiles: DataFrame, regions: DataFrame, area: str, states: dict[str, str], default: str = "", cell: float = 1.0) -> DataFrame:
-    """The tiles of a state, county, subdivision or box; ``states`` maps two-digit codes to the tiles' abbreviations."""
+    """The tiles of a state, county, subdivision or box; ``states`` maps two-digit codes to the tiles' abbreviations, in either case.
+
+    A region's tiles are those whose outline shares a point with its polygon.
+    Either side may have its shape as ``geom`` (parts) or ``rings``; without one
+    its box is its shape.
+    """
     wanted = catalog.parse_area(area, default)
     if wanted.kind == "bbox":
         return tiles.where(catalog.in_box(wanted.value))
     if wanted.kind == "state":
-        return tiles.where(F.col("st") == F.lit(states.get(wanted.value, "")))
-    region = regions.where(F.col("geoid") == wanted.value).select("xmin", "ymin", "xmax", "ymax")
-    return catalog.grid_join(tiles, region, cell).dropDuplicates(["gid"])
+        return tiles.where(F.upper("st") == F.lit(states.get(wanted.value, "").upper()))
+
+    def parts(df: DataFrame) -> Column:
+        if "geom" in df.columns:
+            return df["geom"]
+        return F.array(df["rings"] if "rings" in df.columns else F.array(geometry.rectangle(*[df[c] for c in ("xmin", "ymin", "xmax", "ymax")])))
+
+    mine, theirs = unused(tiles, "outline"), unused(tiles, "region")
+    region = regions.where(F.col("geoid") == wanted.value).select("xmin", "ymin", "xmax", "ymax", parts(regions).alias(theirs))
+    both = catalog.grid_join(tiles.withColumn(mine, parts(tiles)), region, cell)
+    shared = F.exists(mine, lambda a: F.exists(theirs, lambda b: F.coalesce(geometry.intersects(a, b), F.lit(False))))
+    return both.where(shared).select(*tiles.columns).dropDuplicates(["gid"])
+
+
+def tiles_around(tiles: DataFrame, lat: float, lon: float, pixels: int, zoom: float = 1.0) -> DataFrame:
+    """The tiles that an image of that many pixels around a place needs, with a margin of 100 pixels."""
+    d = (pixels / 2 + 100) * DEGREES_PER_PIXEL * zoom
+    return tiles.where(catalog.in_box((lon - d, lat - d, lon + d, lat + d)))
 
 
 def plan_fetch(tiles: DataFrame, regions: DataFrame, log: DataFrame, area: str, states: dict[str, str], default: str = "") -> DataFrame:
@@ -48,9 +111,23 @@ def plan_process(tiles: DataFrame, log: DataFrame, workers: int, limit: int = 0,
     return catalog.per_worker(chosen, workers, limit)
 
 
-def status_report(tiles: DataFrame) -> DataFrame:
-    """Tiles by state as aligned text lines."""
-    return catalog.status(tiles).select("st", F.format_string("%-8s %12s", "st", F.format_number("tiles", 0)).alias("line"))
+def status_report(tiles: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Tiles by state as aligned text lines: all, or those that the log has."""
+    found = catalog.status(catalog.here(tiles, log) if log is not None else tiles)
+    return found.select("st", F.format_string("%-8s %12s", "st", F.format_number("tiles", 0)).alias("line"))
+
+
+def profile_report(segments: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Least, greatest, mean and deviation of each field as aligned text lines, in the fields' order; fields that aren't there are left out."""
+    fields = fields or PROFILED
+    order = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
+    return catalog.profile(segments, fields).orderBy(order).select("field", F.format_string(" %-8s | %8f | %8f | %8f | %8f |", "field", "min", "max", "avg", "std").alias("line"))
+
+
+def parameter_report(best: DataFrame) -> DataFrame:
+    """The nine parameters as three aligned text lines."""
+    line = lambda k: F.struct(F.lit(k).alias("which"), F.format_string(f"{k} |  %2d  |  %2d  | %4d", *[f"{p}_{k}" for p in ("hs", "hr", "m")]).alias("line"))
+    return best.select(F.inline(F.array(*map(line, ("min", "max", "avg")))))
 
 
 def optimal_parameters_at(pixels: DataFrame, x0: int, y0: int, side: int, bands: list[int], boxy: bool = False) -> DataFrame:
@@ -58,6 +135,25 @@ def optimal_parameters_at(pixels: DataFrame, x0: int, y0: int, side: int, bands:
     return params.optimal_parameters(raster.crop(raster.select_bands(pixels, bands), x0, y0, side, side), boxy)
 
 
+def optimal_parameters_of(images: DataFrame, rasters: DataFrame, lat: float, lon: float, side: int, bands: list[int], boxy: bool = False) -> DataFrame:
+    """The nine parameters of a window of ``side`` pixels around a place, on the mosaic of the images (with their ``raster.metadata``).
+
+    A window that is larger than the mosaic is all of it.
+    """
+    whole, (x0, dx, y0, dy) = raster.mosaic_of(images, rasters)
+    size = raster.size(whole).agg(F.max("w").alias("w"), F.max("h").alias("h")).first()
+    side = min(side, size["w"], size["h"])
+    left, top = int((lon - x0) / dx - side // 2), int((lat - y0) / dy - side // 2)
+    return optimal_parameters_at(whole, left, top, side, bands, boxy)
+
+
+def segment_area(pixels: DataFrame, path: str, year: int, job: str, spatial: int = 16, spectral: float = 16.0, least: int = 100, delete: bool = False, transform: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Segment an image and load the result as that year's and job's part of the table at ``path``."""
+    if spatial < 1 or spectral <= 0 or least < 0 or not job:
+        raise ValueError("the radii must be positive, the least size not negative, and the job named")
+    return tables.load_segments(segment.segment(pixels, spatial, spectral, least, delete, transform=transform), path, year, job)
+
+
 def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, delete: bool = False, boxy: bool = False) -> DataFrame:
     """Segments with the parameters (min, max or avg) that the image's middle suggests."""
     if which not in ("min", "max", "avg"):
@@ -66,7 +162,25 @@ def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, del
     return segment.segment(pixels, best[f"hs_{which}"], float(best[f"hr_{which}"]), best[f"m_{which}"], delete)
 
 
+def process_tiles(images: DataFrame, path: str, grids: dict[int, tuple]) -> DataFrame:
+    """Normalise delivered images and write them as a table of tiles at ``path``; ``grids`` has the other arguments of ``raster.normalise`` by image."""
+    done = None
+    for number, grid in sorted(grids.items()):
+        one = raster.normalise(images.where(F.col("image") == number).drop("image"), *grid).withColumn("image", F.lit(number))
+        done = one if done is None else done.unionByName(one)
+    if done is None:
+        raise ValueError("no image")
+    return tables.write_images(done, path)
+
+
 def extract_image(pixels: DataFrame, origin: tuple[float, float], step: tuple[float, float], at: tuple[float, float], w: int, h: int) -> DataFrame:
     """A window of w by h pixels around the world's place ``at`` (x, y); only what lies on the image."""
     x0, y0 = (int((p - o) / s - n // 2) for p, o, s, n in zip(at, origin, step, (w, h), strict=True))
     return raster.crop(pixels, x0, y0, w, h)
+
+
+def extract_place(images: DataFrame, rasters: DataFrame, lat: float, lon: float, w: int, h: int, path: str, bands: list[int] | None = None) -> DataFrame:
+    """Cut w by h pixels around a place out of the mosaic of the images, and write them as a table of tiles at ``path``."""
+    whole, (x0, dx, y0, dy) = raster.mosaic_of(images, rasters)
+    chosen = raster.select_bands(whole, bands) if bands else whole
+    return tables.write_images(extract_image(chosen, (x0, y0), (dx, dy), (lon, lat), w, h).withColumn("image", F.lit(0)), path)

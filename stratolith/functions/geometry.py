@@ -105,7 +105,14 @@ def parse_wkt(wkt: Column) -> Column:
 
 def _wkt_point(text: Column) -> Column:
     parts = F.split(F.trim(text), r"\s+")
-    return F.struct(F.get(parts, F.lit(0)).cast("double").alias("x"), F.get(parts, F.lit(1)).cast("double").alias("y"))
+    return F.struct(F.get(parts, F.lit(0)).try_cast("double").alias("x"), F.get(parts, F.lit(1)).try_cast("double").alias("y"))
+
+
+def is_polygon(rings: Column) -> Column:
+    """Whether rings are a polygon: a shell, every ring closed, of four points or more, and all numbers finite; false for null."""
+    finite = lambda p: p.isNotNull() & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf"))
+    closed = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & F.forall(r, finite)
+    return F.coalesce((F.size(rings) > 0) & F.forall(rings, closed), F.lit(False))
 
 
 def promote(rings: Column) -> Column:
@@ -134,11 +141,6 @@ def metric_columns(area_: Column, perim: Column, radius: Column) -> dict[str, Co
     }
 
 
-def boxes_overlap(a: Column, b: Column) -> Column:
-    """Closed overlap of two boxes: touching counts."""
-    return (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])
-
-
 def _edges(ring: Column) -> Column:
     return F.transform(_steps(ring), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
 

@@ -17,7 +17,9 @@ class Area:
     value: str | tuple[float, float, float, float]
 
 
+#: A number of a box as the area's text may have it, and the characters of a tile's key name.
 _NUMBER = r"-?[0-9]+\.?[0-9]*"
+KEY = 26
 _BOX = re.compile(rf"^({_NUMBER}),({_NUMBER}),({_NUMBER}),({_NUMBER})$")
 
 
@@ -38,6 +40,16 @@ def parse_area(text: str | list | tuple, default: str = "") -> Area:
     return Area("bbox", (min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2)))
 
 
+def parse_list(text: str) -> list[int]:
+    """"0,1,2" as numbers; blanks around them don't count."""
+    return [int(x) for x in text.split(",") if x.strip()]
+
+
+def parse_flag(text: str) -> bool:
+    """Any text but "0" is true."""
+    return text != "0"
+
+
 def in_box(box: tuple[float, float, float, float]) -> Column:
     """Closed overlap of the row's box with a constant one; reaches the scan as plain comparisons."""
     x1, y1, x2, y2 = box
@@ -89,6 +101,13 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias(order))
 
 
+def region_lists(regions: DataFrame, box: tuple[float, float, float, float]) -> tuple[list[str], list[str]]:
+    """(states, counties) that a box overlaps, in the order of the counties: as many as the country has at most."""
+    found = regions.where(in_box(box)).select("statefp", "geoid")
+    states = first_seen(found, "statefp", "geoid").orderBy("geoid").collect()
+    return [r["statefp"] for r in states], [r["geoid"] for r in found.distinct().orderBy("geoid").collect()]
+
+
 def key_name(filename: Column) -> Column:
     return F.concat(F.substring(filename, 1, 26), F.lit(".tif"))
 
@@ -107,10 +126,15 @@ def stem(path: Column) -> Column:
 
 
 def find_by_name(tiles: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    """Tiles whose file names begin with a given file's stem: an equi-join on the 26-character key."""
-    wanted = files.select(stem(F.col(path)).alias("wanted")).distinct().withColumn("key", F.substring("wanted", 1, 26))
-    keyed = tiles.withColumn("key", F.substring("filename", 1, 26))
-    return keyed.join(wanted, "key").where(F.col("filename").startswith(F.col("wanted"))).drop("key")
+    """Tiles whose file names begin with a given file's stem: an equi-join on the first 26 characters, or on all of a shorter stem."""
+    wanted = files.select(stem(F.col(path)).alias("wanted")).where("wanted <> ''").distinct().withColumn("key", F.substring("wanted", 1, KEY))
+    # At most KEY numbers.
+    lengths = sorted(r[0] for r in wanted.select(F.length("key")).distinct().collect())
+    if lengths in ([], [KEY]):
+        keyed = tiles.withColumn("key", F.substring("filename", 1, KEY))
+        return keyed.join(wanted, (keyed["key"] == wanted["key"]) & keyed["filename"].startswith(wanted["wanted"]), "left_semi").drop("key")
+    keyed = tiles.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("filename", 1, n) for n in lengths]))))
+    return keyed.join(wanted, "key").where(F.col("filename").startswith(F.col("wanted"))).select(*tiles.columns).dropDuplicates(["gid"])
 
 
 def profile(df: DataFrame, fields: list[str]) -> DataFrame:

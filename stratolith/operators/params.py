@@ -71,6 +71,19 @@ def optimal_hr(pixels: DataFrame, window: int, mode: str = "float") -> DataFrame
     return local_variance(pixels, window, mode).groupBy("band").agg(F.sqrt(F.greatest(F.avg("lv"), F.lit(0.0))).alias("hr"))
 
 
+def variance_fit(pixels: DataFrame, window: int, mode: str = "float") -> DataFrame:
+    """band, mean, sigma: the normal curve that fits the local variances best, as a plot of them shows it."""
+    return local_variance(pixels, window, mode).groupBy("band").agg(F.avg("lv").alias("mean"), F.stddev_pop("lv").alias("sigma"))
+
+
+def variance_series(pixels: DataFrame, window: int, bins: int = 50, mode: str = "float") -> DataFrame:
+    """band, low, pixels: the histogram of the local variances behind that plot, in equal bins up to the band's greatest."""
+    lv = local_variance(pixels, window, mode)
+    top = F.broadcast(lv.groupBy("band").agg(F.greatest(F.max("lv"), F.lit(1e-9)).alias("top")))
+    binned = lv.join(top, "band").withColumn("bin", F.least(F.floor(F.col("lv") / F.col("top") * bins), F.lit(bins - 1)))
+    return binned.groupBy("band", (F.col("bin") * F.col("top") / bins).alias("low")).agg(F.count("*").alias("pixels"))
+
+
 def optimal_parameters(pixels: DataFrame, boxy: bool = False, lags: tuple[int, ...] = LAGS, mode: str = "float") -> DataFrame:
     """One row of nine integers: least, greatest and average hs, hr and m.
 

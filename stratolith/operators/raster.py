@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratolith.functions.geometry import METRES_PER_DEGREE
+from stratolith.functions.geometry import EARTH_RADIUS, METRES_PER_DEGREE
 
 #: 0-based band of each role in a processed tile and in a mosaic.
 TILE_ROLES = {"red": 0, "green": 1, "blue": 2, "alpha": 3, "ir": 4}
@@ -60,25 +60,75 @@ def mosaic(images: DataFrame, places: DataFrame) -> DataFrame:
     return moved.groupBy("band", "y", "x").agg(F.max_by("dn", "priority").alias("dn"))
 
 
-def resample(pixels: DataFrame, out_w: int, out_h: int, transform: tuple[float, ...], inverse: tuple[float, ...]) -> DataFrame:
+def resample(pixels: DataFrame, out_w: int, out_h: int, transform: tuple[float, ...], inverse: tuple[float, ...], project=None) -> DataFrame:
     """Nearest-neighbour warp onto a new grid, with an alpha band behind the last.
 
     Both transforms are (x0, dx, y0, dy): output pixel centres go to the world
-    by ``transform`` and to source pixels by ``inverse``.
+    by ``transform``, from there to the source's world by ``project`` (which gives
+    (x, y) columns of two; none where both are the same), and to source pixels
+    by ``inverse``.
     """
     spark = pixels.sparkSession
     grid = spark.range(out_w * out_h).select((F.col("id") % out_w).cast("int").alias("ox"), F.floor(F.col("id") / out_w).cast("int").alias("oy"))
     x0, dx, y0, dy = transform
     u0, du, v0, dv = inverse
-    sources = grid.select("ox", "oy", F.floor(((x0 + (F.col("ox") + 0.5) * dx) - u0) / du).cast("int").alias("x"), F.floor(((y0 + (F.col("oy") + 0.5) * dy) - v0) / dv).cast("int").alias("y"))
+    east, north = x0 + (F.col("ox") + 0.5) * dx, y0 + (F.col("oy") + 0.5) * dy
+    east, north = project(east, north) if project else (east, north)
+    sources = grid.select("ox", "oy", F.floor((east - u0) / du).cast("int").alias("x"), F.floor((north - v0) / dv).cast("int").alias("y"))
     hit = pixels.join(sources, ["y", "x"]).select("band", F.col("oy").alias("y"), F.col("ox").alias("x"), "dn")
     alpha = hit.groupBy("y", "x").agg((F.max("band") + 1).alias("band")).select("band", "y", "x", F.lit(255).alias("dn"))
     return hit.unionByName(alpha)
 
 
-def normalised(pixels: DataFrame) -> DataFrame:
-    """R, G, B, IR, alpha as delivered to R, G, B, alpha, IR as processed."""
-    return select_bands(pixels, [0, 1, 2, 4, 3])
+def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Degrees to spherical web mercator metres, as ``project`` of ``resample``."""
+    return EARTH_RADIUS * F.radians(lon), EARTH_RADIUS * F.log(F.tan(F.pi() / 4 + F.radians(lat) / 2))
+
+
+def normalise(pixels: DataFrame, out_w: int, out_h: int, transform: tuple[float, ...], inverse: tuple[float, ...], project=None) -> DataFrame:
+    """A delivered tile (R, G, B, IR) as a processed one: warped, with bands R, G, B, alpha, IR, and dn null in the others where alpha is 0.
+
+    Output pixels that no source pixel is under have no rows at all.
+    """
+    warped = select_bands(resample(pixels, out_w, out_h, transform, inverse, project), [0, 1, 2, 4, 3])
+    alpha = TILE_ROLES["alpha"]
+    return masked(warped, alpha).unionByName(warped.where(F.col("band") == alpha))
+
+
+def to_tiles(images: DataFrame, side: int = 256) -> DataFrame:
+    """Pixels (image, band, y, x, dn) as rows (image, band, ty, tx, w, h, data): one for each tile, its values line by line, null where there is none."""
+    at = (F.pmod("y", F.lit(side)) * side + F.pmod("x", F.lit(side))).cast("int")
+    rows = images.groupBy("image", "band", F.floor(F.col("y") / side).cast("int").alias("ty"), F.floor(F.col("x") / side).cast("int").alias("tx"))
+    found = rows.agg(F.map_from_entries(F.collect_list(F.struct(at, "dn"))).alias("m"), (F.max(F.pmod("x", F.lit(side))) + 1).alias("w"), (F.max(F.pmod("y", F.lit(side))) + 1).alias("h"))
+    line = F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)
+    data = F.transform(line, lambda i: F.try_element_at(F.col("m"), (F.floor(i / F.col("w")) * side + i % F.col("w")).cast("int")))
+    return found.select("image", "band", "ty", "tx", "w", "h", data.alias("data"), F.lit(side).alias("side"))
+
+
+def from_tiles(tiles: DataFrame) -> DataFrame:
+    """The pixels of a tile table; places without a value have none."""
+    each = tiles.select("image", "band", "ty", "tx", "w", "side", F.posexplode("data").alias("i", "dn")).where("dn is not null")
+    return each.select("image", "band", (F.col("ty") * F.col("side") + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"), (F.col("tx") * F.col("side") + F.col("i") % F.col("w")).cast("int").alias("x"), "dn")
+
+
+def metadata(images: DataFrame, transforms: DataFrame) -> DataFrame:
+    """One row for each image: its size, its bands and their kind, with (x0, dx, y0, dy, srs) of ``transforms`` (null where it has none)."""
+    kind = F.when((F.min("dn") >= 0) & (F.max("dn") <= 255), "byte").when((F.min("dn") >= 0) & (F.max("dn") <= 65535), "uint16").otherwise("int32")
+    sizes = images.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.array_sort(F.collect_set("band")).alias("bands"), kind.alias("kind"))
+    return sizes.join(transforms.select("image", "x0", "dx", "y0", "dy", "srs"), "image", "left")
+
+
+def mosaic_of(images: DataFrame, rasters: DataFrame) -> tuple[DataFrame, tuple[float, float, float, float]]:
+    """(one image of all, its transform): images laid by their ``metadata`` onto the grid of the westernmost and northernmost; higher numbers win.
+
+    All must have one pixel size; only that and the corner come to the driver.
+    """
+    grid = rasters.agg(F.min("x0").alias("x0"), F.first("dx").alias("dx"), F.max("y0").alias("y0"), F.first("dy").alias("dy"), F.count_distinct("dx", "dy").alias("n")).first()
+    if grid["n"] != 1:
+        raise ValueError(f"{grid['n']} pixel sizes among the images")
+    shift = lambda c, d: F.round((F.col(c) - grid[c]) / grid[d]).cast("int")
+    places = rasters.select("image", shift("x0", "dx").alias("dx"), shift("y0", "dy").alias("dy"), F.col("image").alias("priority"))
+    return mosaic(images, places), (grid["x0"], grid["dx"], grid["y0"], grid["dy"])
 
 
 def box_around(lat: Column, lon: Column, metres: float) -> Column:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratolith import commands
 from stratolith.functions import geometry as g
 from stratolith.functions.circle import convex_hull, group_circles
 from stratolith.operators import catalog, params, raster, segment
 from stratolith.operators.metrics import METRICS, with_metrics
 from stratolith.sources import adapters as ad
-from stratolith.sources import shapefile
+from stratolith.sources import shapefile, tables
 from stratolith.sources.states import FIPS
 from stratolith.storage import cut, new_path
 
@@ -123,6 +124,20 @@ def shapefile_round_trip(spark, sf_dir):
     return back.select("gid", "st", "filename", g.envelope(F.get("geom", F.lit(0))).alias("box"), g.area(F.get("geom", F.lit(0))).alias("area")).select("gid", "st", "filename", "box.*", "area")
 
 
+@query(
+    _sql(
+        """select gid, filename from catalogue c join regions r on c.xmin <= r.xmax and c.xmax >= r.xmin and c.ymin <= r.ymax and c.ymax >= r.ymin
+        where r.geoid = '00002' and (greatest(c.xmin, r.xmin) - r.xmin) / (r.xmax - r.xmin) + (greatest(c.ymin, r.ymin) - r.ymin) / (r.ymax - r.ymin) <= 1""",
+        "catalogue", "regions",
+    )
+)
+def aoi_polygon(spark, sf_dir):
+    """The tiles of a county that is the lower left half of its box: some that touch the box don't touch the county."""
+    at = lambda x, y: g.point(F.col(x), F.col(y))
+    counties = ad.regions(spark, sf_dir).withColumn("rings", F.array(F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmin", "ymax"), at("xmin", "ymin"))))
+    return commands.tiles_of_area(ad.catalogue(spark, sf_dir), counties, "00002", {}, cell=4.0).select("gid", "filename")
+
+
 @query(_sql("select min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax from regions where statefp = '00'", "regions"))
 def region_extent(spark, sf_dir):
     return catalog.extent(ad.regions(spark, sf_dir).where("statefp = '00'"))
@@ -324,6 +339,18 @@ def optimal_hr(spark, sf_dir):
     return params.optimal_hr(ad.pixels(spark, sf_dir), 8).withColumn("hr", F.round("hr", 6))
 
 
+@query(
+    _sql(
+        "select band, round(sqrt(greatest(avg(lv), 0)), 6) hr from ints group by 1", "pixels", _SIZE, _lv("select 7 n"),
+        "lines as (select wide.band, y - o y, x, sum(dn) // 7 s1, sum(dn * dn) // 7 s2 from wide, k group by all)",
+        "ints as (select p.band, p.y, p.x, sum(c.s2) // 7 - (sum(c.s1) // 7) * (sum(c.s1) // 7) lv from pixels p, k join lines c on c.band = p.band and c.y = p.y and c.x = p.x + o group by p.band, p.y, p.x)",
+    )
+)
+def optimal_hr_int(spark, sf_dir):
+    """The range radius with both passes of the moving mean truncated to integers."""
+    return params.optimal_hr(ad.pixels(spark, sf_dir), 7, "int").withColumn("hr", F.round("hr", 6))
+
+
 @query(
     _sql(
         """select hs_min, hs_max, hs_avg, round(min(hr))::int hr_min, round(max(hr))::int hr_max, round(avg(hr))::int hr_avg, (hs_min * hs_min // 4)::int m_min, (hs_max * hs_max // 4)::int m_max, (hs_avg * hs_avg // 4)::int m_avg
@@ -343,6 +370,35 @@ def mosaic_latest_wins(spark, sf_dir):
     return raster.mosaic(images, F.broadcast(places))
 
 
+@query(_sql("select 0 image, band, y, x, dn::int dn from pixels where (y * 7 + x * 3) % 11 <> 0", "pixels"))
+def tile_table_round_trip(spark, sf_dir):
+    """An image with holes written as a table of tiles and read back."""
+    images = ad.pixels(spark, sf_dir).where("(y * 7 + x * 3) % 11 <> 0").withColumn("image", F.lit(0))
+    return raster.from_tiles(tables.write_images(images, new_path(spark, "tiles"), 48))
+
+
+@query(
+    _sql(
+        """select case band when 3 then 4 else band end::int band, oy::int y, ox::int x, dn::int dn from hit union all select 3, oy::int, ox::int, 255 from hit group by ox, oy""",
+        "pixels",
+        """hit as (select ox, oy, band, dn from (select unnest(range(90)) ox), (select unnest(range(70)) oy) join pixels on band < 4
+        and x = floor((10.0::double + (ox + 0.5) * 0.75 - 10.5) / 1.0) and y = floor((50.0::double + (oy + 0.5) * -0.75 - 49.5) / -1.0))""",
+    )
+)
+def normalise_tile(spark, sf_dir):
+    """A delivered tile warped onto a finer grid that reaches over its edges, with bands and mask as processed."""
+    delivered = ad.pixels(spark, sf_dir).where("band < 4")
+    return raster.normalise(delivered, 90, 70, (10.0, 0.75, 50.0, -0.75), (10.5, 1.0, 49.5, -1.0))
+
+
+@query(_sql("select band image, (max(x) + 1)::int width, (max(y) + 1)::int height, '0' bands, 'byte' kind, (100.0 + 10 * band)::double x0, 'EPSG:4326' srs from pixels group by band", "pixels"))
+def raster_metadata(spark, sf_dir):
+    images = ad.pixels(spark, sf_dir).withColumn("image", F.col("band")).withColumn("band", F.lit(0))
+    grids = spark.range(5).select(F.col("id").cast("int").alias("image"), (100.0 + 10 * F.col("id")).alias("x0"), F.lit(1.0).alias("dx"), F.lit(9.0).alias("y0"), F.lit(-1.0).alias("dy"), F.lit("EPSG:4326").alias("srs"))
+    found = raster.metadata(images, grids)
+    return found.select("image", "width", "height", F.array_join(F.col("bands").cast("array<string>"), ",").alias("bands"), "kind", "x0", "srs")
+
+
 #: Labels by recursion that keeps one row for each pixel and hands smaller labels on.
 _LABELS = """places as (select band, y, x, dn, dn // 16 class, band::bigint * 1000000000000 + y * 1000000 + x id from pixels),
     edges as (select a.id, b.id other from places a join places b on a.band = b.band and a.class = b.class and ((b.y = a.y and b.x in (a.x - 1, a.x + 1)) or (b.x = a.x and b.y in (a.y - 1, a.y + 1)))),

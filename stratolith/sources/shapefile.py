@@ -3,24 +3,34 @@
 from __future__ import annotations
 
 import io
+import math
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratolith.functions.geometry import EARTH_RADIUS
+
 #: Geometry as read: parts of rings of points. A line's parts have one ring each.
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 #: Fixed values of the format: shape kinds with rings or lines, plain and with Z or M; the main file's code; the end of a field list.
 _LINES, _POLYGONS = (3, 13, 23), (5, 15, 25)
 _CODE, _LIST_END = 9994, 0x0D
 _HEADER = 100
-#: Bytes of a text attribute that is written.
-_TEXT = 254
+#: Bytes of a text attribute that is written, and rows of a package that are read together.
+_TEXT, _TOGETHER = 254, 4096
+#: Coordinate systems that a .prj names, as packages are written, and words that tell spherical mercator in others.
+SYSTEMS = {
+    4326: 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]',
+    3857: 'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Mercator_Auxiliary_Sphere"],UNIT["Meter",1.0]]',
+}
+_MERCATOR = ("mercator_auxiliary_sphere", "pseudo-mercator")
 
 
 def _signed_area(ring: list[tuple[float, float]]) -> float:
@@ -92,14 +102,25 @@ def _value(raw: bytes, kind: str, decimals: int):
     return text
 
 
+def _degrees(parts: list | None) -> list | None:
+    """Spherical web mercator metres as longitude and latitude."""
+    to = lambda x, y: (math.degrees(x / EARTH_RADIUS), math.degrees(2 * math.atan(math.exp(y / EARTH_RADIUS)) - math.pi / 2))
+    return parts and [[[to(x, y) for x, y in ring] for ring in part] for part in parts]
+
+
 def _rows(data: bytes) -> Iterator[tuple[dict, list | None]]:
-    """(attributes, parts) of each row of each shapefile in a package; deleted rows are left out."""
+    """(attributes, parts) of each row of each shapefile in a package; deleted rows are left out.
+
+    Shapes in web mercator (by the package's .prj) come in degrees, all others as they are.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as package:
         names = {n.lower(): n for n in package.namelist()}
         for low, name in sorted(names.items()):
             if not low.endswith(".shp"):
                 continue
             table = package.read(names[low[:-4] + ".dbf"])
+            system = package.read(names[low[:-4] + ".prj"]).decode("latin-1").lower() if low[:-4] + ".prj" in names else ""
+            metres = any(word in system for word in _MERCATOR)
             fields, (n, begin, width) = _fields(table), struct.unpack_from("<IHH", table, 4)
             for i, shape in zip(range(n), _shapes(package.read(name)), strict=False):
                 row, at, out = table[begin + i * width : begin + (i + 1) * width], 1, {}
@@ -107,7 +128,7 @@ def _rows(data: bytes) -> Iterator[tuple[dict, list | None]]:
                     out[field] = _value(row[at : at + size], kind, decimals)
                     at += size
                 if row[:1] != b"*":
-                    yield out, shape
+                    yield out, _degrees(shape) if metres else shape
 
 
 def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$") -> DataFrame:
@@ -116,7 +137,8 @@ def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$") -> D
     The first package by path fixes the columns, as a table that it creates
     would; packages that lack one give null, and more than those are left
     out. Geometry comes as ``geom``, always in parts (lines too), in the
-    packages' own coordinates; shapes of other kinds are null. An attribute
+    packages' own coordinates but for web mercator, which becomes degrees;
+    shapes of other kinds are null. An attribute
     of that name is called ``geom_`` instead. One task reads a package at a
     time. Without a package there are no rows, and ``geom`` is the one column.
     """
@@ -141,10 +163,11 @@ def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$") -> D
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = list(_rows(data.as_py()))
-                values = [pa.array([cast(r.get(n), t) for r, _ in rows], arrow[t]) for n, t in columns]
-                shapes = [None if p is None else [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in p] for _, p in rows]
-                yield pa.RecordBatch.from_arrays([*values, pa.array(shapes, geometry)], [*[shown[n] for n, _ in columns], "geom"])
+                left = _rows(data.as_py())
+                while rows := list(islice(left, _TOGETHER)):
+                    values = [pa.array([cast(r.get(n), t) for r, _ in rows], arrow[t]) for n, t in columns]
+                    shapes = [None if p is None else [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in p] for _, p in rows]
+                    yield pa.RecordBatch.from_arrays([*values, pa.array(shapes, geometry)], [*[shown[n] for n, _ in columns], "geom"])
 
     return files.select("content").mapInArrow(each, schema)
 
@@ -160,22 +183,27 @@ def _shape(parts: list | None) -> bytes:
             rings.append(points[::-1] if (_signed_area(points) > 0) == (i == 0) else points)
     flat = [p for r in rings for p in r]
     xs, ys = [p[0] for p in flat], [p[1] for p in flat]
-    begins = [sum(map(len, rings[:i])) for i in range(len(rings))]
+    begins = list(accumulate((len(r) for r in rings[:-1]), initial=0))
     head = struct.pack("<i4d2i", 5, min(xs), min(ys), max(xs), max(ys), len(rings), len(flat))
     return head + struct.pack(f"<{len(rings)}i", *begins) + struct.pack(f"<{2 * len(flat)}d", *[v for p in flat for v in p])
 
 
-def _package(names: list[str], columns: list[pa.Array], shapes: list) -> bytes:
+def _package(names: list[str], columns: list[pa.Array], shapes: list, system: int) -> bytes:
     """One shapefile as a package. Integers are numbers without decimals, floats with ten; all else is text."""
     kinds = [("N", 20, 0) if pa.types.is_integer(t) else ("N", 32, 10) if pa.types.is_floating(t) else ("C", _TEXT, 0) for t in (c.type for c in columns)]
     bodies = [_shape(s) for s in shapes]
     boxes = [struct.unpack_from("<4d", b, 4) for b in bodies if len(b) > 4]
     box = [f(b[i] for b in boxes) if boxes else 0.0 for i, f in enumerate((min, min, max, max))]
     size = (_HEADER + sum(8 + len(b) for b in bodies)) // 2
-    shp = struct.pack(">i20xi", _CODE, size) + struct.pack("<2i8d", 1000, 5, *box, 0, 0, 0, 0)
+    kind_and_box = struct.pack("<2i8d", 1000, 5, *box, 0, 0, 0, 0)
+    shx = struct.pack(">i20xi", _CODE, (_HEADER + 8 * len(bodies)) // 2) + kind_and_box
+    places = accumulate((8 + len(b) for b in bodies), initial=_HEADER)
+    shx += b"".join(struct.pack(">2i", at // 2, len(b) // 2) for at, b in zip(places, bodies, strict=False))
+    shp = struct.pack(">i20xi", _CODE, size) + kind_and_box
     shp += b"".join(struct.pack(">2i", i, len(b) // 2) + b for i, b in enumerate(bodies, 1))
     width = 1 + sum(k[1] for k in kinds)
     dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(shapes), 33 + 32 * len(kinds), width)
+    dbf = bytearray(dbf)
     dbf += b"".join(struct.pack("<11sc4xBB14x", n.encode()[:10], k.encode(), s, d) for n, (k, s, d) in zip(names, kinds, strict=True)) + bytes([_LIST_END])
     for row in zip(*[c.to_pylist() for c in columns], strict=True) if columns else ([] for _ in shapes):
         dbf += b" "
@@ -188,12 +216,14 @@ def _package(names: list[str], columns: list[pa.Array], shapes: list) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
         package.writestr("shapes.shp", shp)
-        package.writestr("shapes.dbf", dbf)
+        package.writestr("shapes.shx", shx)
+        package.writestr("shapes.dbf", bytes(dbf))
+        package.writestr("shapes.prj", SYSTEMS[system])
     return out.getvalue()
 
 
-def write_zipped(df: DataFrame, folder: str, geometry: str = "geom") -> DataFrame:
-    """Write the rows as zipped shapefiles, one for each batch; (path, rows) of each.
+def write_zipped(df: DataFrame, folder: str, geometry: str = "geom", system: int = 4326) -> DataFrame:
+    """Write the rows as zipped shapefiles, one for each batch; (path, rows) of each. ``system`` (4326 or 3857) is that of the coordinates.
 
     ``geometry`` is an array of polygons, as read_zipped gives it; null or
     empty ones are null shapes. Names of attributes are cut to ten bytes by
@@ -210,7 +240,7 @@ def write_zipped(df: DataFrame, folder: str, geometry: str = "geom") -> DataFram
             if not batch.num_rows:
                 continue
             path = f"{base}/{uuid.uuid4().hex}.zip"
-            data = _package(names, [batch.column(i) for i in range(len(names))], batch.column(len(names)).to_pylist())
+            data = _package(names, [batch.column(i) for i in range(len(names))], batch.column(len(names)).to_pylist(), system)
             with store.open_output_stream(path) as out:
                 out.write(data)
             yield pa.RecordBatch.from_pydict({"path": [path], "rows": pa.array([batch.num_rows], pa.int64())})

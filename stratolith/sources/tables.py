@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolith.operators import catalog
+from stratolith.operators import catalog, raster
 from stratolith.storage import cut
 
 #: The namespaces of the model.
@@ -44,3 +44,9 @@ def load_segments(segments: DataFrame, path: str, year: int, job: str) -> DataFr
     rows = segments.drop("year", "job").withColumns({"year": F.lit(year), "job": F.lit(job)})
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "job").parquet(path)
     return segments.sparkSession.read.parquet(path).where((F.col("year") == year) & (F.col("job") == job))
+
+
+def write_images(images: DataFrame, path: str, side: int = 256) -> DataFrame:
+    """Write pixels (image, band, y, x, dn) as a table of tiles at ``path``, and read it back: an image's window reads the tiles that it needs."""
+    raster.to_tiles(images, side).repartition("image").sortWithinPartitions("image", "ty", "tx", "band").write.mode("overwrite").parquet(path)
+    return images.sparkSession.read.parquet(path)

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratolith.functions import geometry as g
+from stratolith.functions import circle
 from stratolith.functions.circle import minimum_circle
 from stratolith.operators import catalog
 from stratolith.operators.metrics import METRICS, with_metrics
@@ -81,3 +82,37 @@ def test_areas():
     for bad in ("123", "1,2,3", "a", "1, 2,3,4"):
         with pytest.raises(ValueError):
             catalog.parse_area(bad)
+
+
+def test_other_column_functions(spark):
+    texts = ["BOX(1 -2.5,3e1 4)", "box(0 0,1 1)", "POINT(1 1)", None]
+    got = [r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select(g.parse_box(F.col("t")).alias("b")).collect()]
+    assert tuple(got[0]) == (1.0, -2.5, 30.0, 4.0) and tuple(got[1]) == (0, 0, 1, 1) and got[2:] == [None, None]
+    df = spark.createDataFrame([(SQUARE,), (HOLED,), ("POLYGON ((0 0,1 1,0 0))",), ("POLYGON ((0 0,1 0,1 1,0 1))",), ("POLYGON ((0 0,1 x,1 1,0 0))",), ("LINESTRING (0 0,1 1)",)], "w string").withColumn("r", g.parse_wkt(F.col("w")))
+    assert [r[0] for r in df.select(g.is_polygon(F.col("r"))).collect()] == [True, True, False, False, False, False]
+    box = g.expand(g.envelope(F.col("r")), F.lit(0.5))
+    row = df.where("w like '%1 0,1 1,0 1,0 0))'").select(box.alias("b"), g.box_area(box).alias("a"), g.box_perimeter(box).alias("p")).first()
+    assert tuple(row.b) == (-0.5, -0.5, 1.5, 1.5) and (row.a, row.p) == (4, 8)
+    there = df.where("w like '%3 3%'").select(g.degrees(g.mercator(F.col("r"))).alias("r")).first().r
+    assert there[1][2].x == pytest.approx(2) and there[1][2].y == pytest.approx(2)
+
+
+def test_hulls_and_groups(spark):
+    assert circle.hull([(0, 0), (2, 0), (1, 0), (2, 2), (0, 2), (1, 1), (0, 0)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    assert circle.hull([(1, 1)]) == [(1, 1)] and circle.hull([(0, 0), (1, 1), (2, 2)]) == [(0, 0), (2, 2)]
+    rng = random.Random(4)
+    rows = [(i % 3, rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(300)] + [(7, 1.0, 1.0), (8, 0.0, 0.0), (8, 4.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    for together in (10_000, 9):
+        for r in circle.group_circles(df, "k", together).collect():
+            want = minimum_circle([{"x": x, "y": y} for k, x, y in rows if k == r.k])
+            assert (r.cx, r.cy, r.r) == pytest.approx(want, abs=1e-6)
+    assert circle.group_circles(df.limit(0), "k").count() == 0
+    lists = [[(0, 0), (4, 0)], [(0, 0), (4, 0), (2, 5)], [(1, 1)] * 5, [], None, [(0, 0), None, (2, 0)], [(float(i), i % 7.0) for i in range(20)]]
+    shape = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(i, None if v is None else [None if p is None else {"x": float(p[0]), "y": float(p[1])} for p in v]) for i, v in enumerate(lists)], f"i int, p {shape}")
+    for r in df.select("i", circle.bounding_circle("p").alias("c"), circle.convex_hull("p").alias("h")).collect():
+        points = [{"x": p[0], "y": p[1]} for p in lists[r.i] or [] if p is not None]
+        want = minimum_circle(points)
+        assert (r.c.r is None) if want is None else tuple(r.c) == pytest.approx(want)
+        assert r.h is None if lists[r.i] is None else [tuple(p) for p in r.h] == circle.hull([(p["x"], p["y"]) for p in points])

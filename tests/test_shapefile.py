@@ -1,8 +1,12 @@
 import io
+import math
+import os
 import struct
 import tempfile
 import zipfile
 
+import pytest
+
 from stratolith.sources import shapefile as s
 
 
@@ -55,3 +59,32 @@ def test_appends_missing_columns_and_deleted_rows(spark):
     got = s.read_zipped(spark, "file://" + folder, r"^tl_.*\.zip$").collect()
     assert sorted((r.geoid or "") for r in got) == ["", "", "0601"]
     assert [len(part[0]) for part in got[0].geom] == [2, 1]
+
+
+def test_index_and_coordinate_system(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = [(i, "x", 0.0, [[ring(i * 1000, 20037508 / 4, 1000)]]) for i in range(5)]
+    s.write_zipped(spark.createDataFrame(rows, DDL).coalesce(1), "file://" + folder, system=3857).collect()
+    back = s.read_zipped(spark, "file://" + folder).orderBy("gid").collect()
+    x, y = math.degrees(1000 / s.EARTH_RADIUS), math.degrees(2 * math.atan(math.exp(20037508 / 4 / s.EARTH_RADIUS)) - math.pi / 2)
+    assert min(p.x for p in back[1].geom[0][0]) == pytest.approx(x) and min(p.y for p in back[1].geom[0][0]) == pytest.approx(y)
+    with zipfile.ZipFile(f"{folder}/{[f for f in os.listdir(folder) if f.endswith('.zip')][0]}") as z:
+        shp, shx = z.read("shapes.shp"), z.read("shapes.shx")
+        assert "Mercator" in z.read("shapes.prj").decode()
+    assert len(shx) == 100 + 8 * 5 and struct.unpack_from(">i", shx, 24)[0] * 2 == len(shx)
+    for i in range(5):
+        at, words = struct.unpack_from(">2i", shx, 100 + 8 * i)
+        assert struct.unpack_from(">2i", shp, 2 * at) == (i + 1, words)
+
+
+def test_many_rows_take_linear_time(spark):
+    import time
+
+    import pyarrow as pa
+
+    n = 20_000
+    begun = time.time()
+    data = s._package(["gid", "st"], [pa.array(range(n)), pa.array(["x"] * n)], [[[ring(i, i, 1)]] for i in range(n)], 4326)
+    assert sum(1 for _ in s._rows(data)) == n and time.time() - begun < 20
+    many = [[ring(i, 0, 1) for i in range(5000)]]
+    assert len(s._shape(many)) > 5000 * 80 and time.time() - begun < 25
