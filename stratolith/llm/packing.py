@@ -18,8 +18,8 @@ from .tokens import Encoder, ended, slices
 
 SEQUENCE = 2048
 END = 1
-#: Pieces of one length that a task ranks at once, about; a length with more is dealt to several.
-RANKED = 1 << 16
+#: Parts into which the pieces of each length are dealt to be ranked: so many, and more where a part would have more than RANKED pieces.
+SALTS, RANKED = 64, 1 << 16
 
 
 class Lot(NamedTuple):
@@ -134,7 +134,7 @@ def _ranked(rests: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Add the rank of each row (row, length) among those of its length, from 0; a common length's rows are dealt to many tasks."""
     spark = rests.sparkSession
     # Fewer than SEQUENCE rows.
-    salts = F.broadcast(spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length int, salts long"))
+    salts = F.broadcast(spark.createDataFrame([(k, max(SALTS, -(-n // RANKED))) for k, n in histogram.items()], "length int, salts long"))
     salted = rests.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

@@ -261,6 +261,7 @@ def test_packing_plans_are_small():
 
 
 def test_packed_pieces_hold_the_documents_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTS", 1)
     monkeypatch.setattr(packing, "RANKED", 3)
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = np.random.default_rng(7)
