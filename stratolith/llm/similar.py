@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ def wide_fingerprint(found: np.ndarray) -> tuple[int, int]:
     return halves[0], halves[1]
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, chars, digest, lo, hi, size) of every row; texts with equal shingle sets share the digest."""
 
@@ -54,7 +59,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(3).to_pylist():
                 found = shingle_set(text)
-                rows.append((xxhash.xxh3_128_digest(found.tobytes()), *wide_fingerprint(found), len(found)))
+                rows.append((_digest(found), *wide_fingerprint(found), len(found)))
             digest, lo, hi, size = zip(*rows, strict=True) if rows else ((), (), (), ())
             columns = [*batch.columns[:3], pa.array(digest, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "chars", "digest", "lo", "hi", "size"])
@@ -77,6 +82,13 @@ class _Prints:
         order = np.argsort(size, kind="stable")
         return cls(rep[order], lo[order].view(np.uint64), hi[order].view(np.uint64), size[order].astype(np.int64))
 
+    def sized(self, home: _Prints) -> Iterator[tuple[int, np.ndarray]]:
+        """All members of home whose sizes allow the similarity, whatever their bits."""
+        low = np.searchsorted(home.size, np.ceil(self.size * SIMILARITY - 1e-9))
+        high = np.searchsorted(home.size, np.floor(self.size / SIMILARITY + 1e-9), "right")
+        for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            yield i, np.arange(a, b)
+
     def near(self, home: _Prints) -> Iterator[tuple[int, np.ndarray]]:
         step = min(128, max(1, (1 << 21) // max(len(home.rep), 1)))
         for i in range(0, len(self.rep), step):
@@ -119,9 +131,9 @@ class _Sets:
         shingle, start = np.unique(flat[order], return_index=True)
         return shingle, np.append(start, len(flat)), row[order]
 
-    def near(self, home: _Sets) -> Iterator[tuple[int, np.ndarray]]:
+    def near(self, home: _Sets, exact: bool) -> Iterator[tuple[int, np.ndarray]]:
         shingle, start, row = home.postings()
-        for i, candidates in self.prints.near(home.prints):
+        for i, candidates in self.prints.sized(home.prints) if exact else self.prints.near(home.prints):
             mine = self.sets[i]
             at = np.minimum(np.searchsorted(shingle, mine), len(shingle) - 1)
             at = at[shingle[at] == mine]
@@ -145,7 +157,29 @@ def _proposed(reps: DataFrame, block: int) -> DataFrame:
     return deal(sent.join(sizes, "tile"), ["rep", "lo", "hi", "size"]).mapInArrow(forest(_Prints.load, _Prints.near), "a long, b long")
 
 
-def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sharing(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links that span all pairs whose sizes allow the similarity and that share one of their least shingles, as all similar pairs do.
+
+    Of sets at a similarity of 0.8 each holds 0.8 of the other's shingles, so
+    the least n - ceil(0.8 n) + 1 of both have one in common.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            least = [s[: len(s) - math.ceil(len(s) * SIMILARITY - 1e-9) + 1].view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["digest", "least"])
+
+    kept = keyed(docs).select("text").mapInArrow(each, "digest binary, least array<long>").dropDuplicates(["digest"])
+    # Similar sets are in the same size class or the next, so one of two numbers is the same.
+    size_class = F.floor(F.log("size") / math.log(1 / SIMILARITY)).cast("int")
+    rows = kept.join(reps.where("size > 0").select("digest", "rep", size_class.alias("class")), "digest").select("rep", "class", F.explode("least").alias("shingle"))
+    held = cut(rows.select("rep", "shingle", F.explode(F.array("class", F.col("class") + 1)).alias("class")), "held")
+    first = held.groupBy("shingle", "class").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return held.join(first, ["shingle", "class"]).where("rep <> a").select("a", F.col("rep").alias("b"))
+
+
+def _verified(docs: DataFrame, wanted: DataFrame, exact: bool) -> DataFrame:
     """Links that span all pairs of a proposed group which are similar enough. ``wanted``: tile, rep, key, size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +196,19 @@ def _verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sized = cut(wanted.join(plan(wanted.groupBy("tile").agg(need.alias("need")), []), "tile"), "sized")
     texts = keyed(docs).select("key", "text").join(small(sized, BROADCAST_KEYS), "key").select(*columns, "text")
     sets = texts.mapInArrow(each, "tile long, blocks int, parts int, rep long, lo long, hi long, shingles binary").withColumn("visits", F.lit(0))
-    return deal(sets, ["rep", "lo", "hi", "shingles"]).mapInArrow(forest(_Sets.load, _Sets.near), "a long, b long")
+    return deal(sets, ["rep", "lo", "hi", "shingles"]).mapInArrow(forest(_Sets.load, partial(_Sets.near, exact=exact)), "a long, b long")
 
 
-def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, block: int | None = None, exact: bool = False) -> DataFrame:
     """(doc_id, component_id, key, chars, group) for every row of ``docs``, grouped by near copies.
 
     Texts link when the sets of their five-word shingles (words and case as in
     ``simhash.fingerprint``) have a Jaccard similarity of 0.8 or more, and
     their 128-bit fingerprints lie within the stated radius, which holds for
-    nearly all such pairs. group is a number of the group; component_id is its
+    nearly all such pairs. With ``exact`` every such pair links, whatever its
+    fingerprints: sets meet where they share one of their least shingles.
+    Texts that hang together by passages many of them hold are then one
+    proposed group, whose work grows with its square. group is a number of the group; component_id is its
     smallest doc_id, null without one. key and chars are those of
     ``simhash.keyed``.
 
@@ -185,12 +222,12 @@ def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
     rows = cut(_sketches(docs), "sketches")
     same = rows.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("doc_id", "key", "lo", "hi", "size")])
     reps = cut(same.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    if block is None:
+    if block is None and not exact:
         # About 40 blocks' meetings for each task: a row's copies grow with the root of the tasks, not with the rows.
         block = min(max(BLOCK, math.ceil(reps.count() / math.sqrt(40 * spread(reps)))), 1 << 20)
-    groups = connected_components(_proposed(reps, block), "a", "b")
+    groups = connected_components(_sharing(docs, reps) if exact else _proposed(reps, block), "a", "b")
     wanted = cut(groups.join(reps, groups.node == reps.rep).select(F.col("component").alias("tile"), "rep", "key", "lo", "hi", "size"), "proposed")
-    found = connected_components(_verified(docs, wanted), "a", "b")
+    found = connected_components(_verified(docs, wanted, exact), "a", "b")
     named = reps.join(found, reps.rep == found.node, "left").select("digest", "doc_id", "component", F.coalesce("component", "rep").alias("group"))
     # Only groups of several representatives have to look up their smallest id.
     ids = named.where("component is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.lit(True).alias("several"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from stratolith.llm import decontaminate, similar, simhash
@@ -56,6 +57,23 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, block, rows):
     assert got == want
 
 
+def test_near_copies_without_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SET_ROWS", 5)
+    shared = " ".join(f"every{i}" for i in range(20))
+    texts = edited(40, 11) + [(1000 + i, f"{shared} {t} {shared}" if i % 3 else t) for i, t in edited(15, 12)] + [(2000, None), (2001, ""), (2002, "a"), (2003, "a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.near_copies(docs, exact=True).collect()} == by_hand(texts)
+    assert similar.near_copies(docs.limit(0), exact=True).count() == 0
+
+
+def test_sizes_alone_decide_who_is_compared_exactly():
+    size = np.array([1, 3, 4, 5, 5, 6, 20, 25, 26], np.int64)
+    bits = np.where(np.arange(9) % 2, 0, 2**64 - 1).astype(np.uint64)
+    some = similar._Prints(np.arange(9), bits, bits, size)
+    got = {(i, int(j)) for i, found in some.sized(some) for j in found}
+    assert got == {(i, j) for i in range(9) for j in range(9) if 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+
+
 def test_near_copies_of_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     want = by_hand([(r.doc_id, r.text) for r in docs.collect()])
