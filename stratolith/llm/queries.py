@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, licenses, packing, quality, secrets, simhash, urls, vectors, wavelet
+from . import archives, bpe, decontaminate, importance, licenses, packing, quality, runs, secrets, simhash, urls, vectors, wavelet
 from stratolith.storage import table
 
 
@@ -81,6 +81,36 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the decoded bytes of every document."""
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark's words."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the run of the greatest exponent, digests of all runs and of the collapsed text of every document."""
+    found = runs.find(runs.with_planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best, every = F.col("best"), runs.lines(F.col("runs"))
+    return found.withColumn("best", runs.longest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -92,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_ids": op10_token_ids,
+    "op11_bpe": op11_bpe,
+    "op12_importance": op12_importance,
+    "op13_runs": op13_runs,
 }
 
 #: What SQL can say: exact links, payloads and containment. The rest rests on models, XXH64 or tokenizers.
