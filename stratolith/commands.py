@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolith.functions import geometry
-from stratolith.operators import catalog, params, raster, segment
+from stratolith.operators import catalog, params, raster, segment, warp
 from stratolith.operators.metrics import METRICS
 from stratolith.sources import shapefile, tables
 from stratolith.sources.states import FIPS
@@ -173,6 +173,21 @@ def process_tiles(images: DataFrame, path: str, grids: dict[int, tuple]) -> Data
     return tables.write_images(done, path)
 
 
+def normalise_images(images: DataFrame, grids: DataFrame, path: str, side: int = raster.SIDE, factors: tuple[int, ...] = raster.OVERVIEWS, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tiles, overviews): all delivered images (image, band, y, x, dn) normalised in one plan, and written at ``path`` and beside it.
+
+    ``grids`` are as ``warp.degrees_grids`` makes them of the images' metadata.
+    With a ``log`` table, the images, whose numbers are then the catalogue's
+    gids, are marked as processed once both are written.
+    """
+    tiles = tables.write_tiles(warp.normalised(raster.to_tiles(images, side), grids, side), path)
+    beside = f"{path.rstrip('/')}_overviews"
+    tables.write_tiles(warp.pyramid(tiles, factors), beside)
+    if log:
+        tables.record_processed(images.sparkSession, log, tiles.select(F.col("image").cast("long").alias("gid")).distinct())
+    return tiles, images.sparkSession.read.parquet(beside)
+
+
 def extract_image(pixels: DataFrame, origin: tuple[float, float], step: tuple[float, float], at: tuple[float, float], w: int, h: int) -> DataFrame:
     """A window of w by h pixels around the world's place ``at`` (x, y); only what lies on the image."""
     x0, y0 = (int((p - o) / s - n // 2) for p, o, s, n in zip(at, origin, step, (w, h), strict=True))

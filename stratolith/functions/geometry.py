@@ -31,8 +31,9 @@ def _over_edges(ring: Column, term) -> Column:
 
 
 def ring_area(ring: Column) -> Column:
-    """Shoelace area without a sign."""
-    return F.abs(_over_edges(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])) / 2
+    """Shoelace area without a sign, from the ring's first point, so that rings far from the origin keep their digits."""
+    o = F.get(ring, F.lit(0))
+    return F.abs(_over_edges(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))) / 2
 
 
 def ring_length(ring: Column) -> Column:
@@ -41,7 +42,8 @@ def ring_length(ring: Column) -> Column:
 
 def area(rings: Column) -> Column:
     """Shell minus holes."""
-    return F.aggregate(rings, F.lit(0.0), lambda acc, r: acc - ring_area(r)) + 2 * ring_area(F.get(rings, F.lit(0)))
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    return F.aggregate(holes, ring_area(F.get(rings, F.lit(0))), lambda acc, r: acc - ring_area(r))
 
 
 def perimeter(rings: Column) -> Column:

@@ -2,33 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import size
+from .raster import SIDE, size
 
 LAGS = tuple(range(2, 100, 2))
+#: Pixels of a tile's side; a task holds one tile and what its windows or lags see beyond it.
+TILE = SIDE
 
 
-def semivariogram(pixels: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
+def grids(y: np.ndarray, x: np.ndarray, values: list[np.ndarray], side: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(each value as a square of ``side``, zero where no pixel is; where one is)."""
+    there = np.zeros((side, side), bool)
+    there[y, x] = True
+    out = []
+    for value in values:
+        square = np.zeros((side, side), value.dtype)
+        square[y, x] = value
+        out.append(square)
+    return out, there
+
+
+def semivariogram(pixels: DataFrame, lags: tuple[int, ...] = LAGS, tile: int = TILE) -> DataFrame:
     """band, lag, sv_row, sv_col, sv_avg; lags that a band is too small for are left out.
 
     Half the mean square of the differences from each pixel to the one ``lag``
     below it and to the one ``lag`` to its right, over the pixels that have both:
     on an image without holes, all of the window that is cropped by the lag on
-    both axes. A null dn counts as no pixel. Neighbours come by value ranges
-    along the column and the row: two shuffles for all lags together, no
-    self-join, and one aggregate.
+    both axes. A null dn counts as no pixel. One shuffle deals pixels to tiles
+    that reach the greatest lag farther down and to the right; each gives three
+    whole numbers a lag.
     """
-    rows = pixels.where("dn is not null").select("band", "y", "x", F.col("dn").cast("long").alias("dn"))
-    at = lambda axis, other, h: F.first("dn").over(Window.partitionBy("band", other).orderBy(axis).rangeBetween(h, h))
-    wide = rows.withColumns({f"d{h}": at("y", "x", h) for h in lags}).withColumns({f"r{h}": at("x", "y", h) for h in lags})
-    both = lambda h: F.col(f"d{h}").isNotNull() & F.col(f"r{h}").isNotNull()
-    square = lambda c, h: F.sum(F.when(both(h), (F.col(f"{c}{h}") - F.col("dn")) * (F.col(f"{c}{h}") - F.col("dn"))))
-    sums = wide.groupBy("band").agg(*[x for h in lags for x in (square("d", h).alias(f"sd{h}"), square("r", h).alias(f"sr{h}"), F.count_if(both(h)).alias(f"n{h}"))])
-    parts = F.array(*[F.struct(F.lit(h).alias("lag"), F.col(f"sd{h}").alias("down"), F.col(f"sr{h}").alias("right"), (2 * F.col(f"n{h}")).alias("n")) for h in lags])
-    long = sums.select("band", F.inline(parts)).where("n > 0")
-    return long.select("band", "lag", (F.col("down") / F.col("n")).alias("sv_row"), (F.col("right") / F.col("n")).alias("sv_col"), ((F.col("down") + F.col("right")) / (2 * F.col("n"))).alias("sv_avg"))
+    far = max(lags)
+    own = {c: F.floor(F.col(c) / tile) for c in ("y", "x")}
+    before = lambda c: F.sequence(F.floor((F.col(c) - far) / tile), own[c])
+    # Below and to the right, but not both at once.
+    down = F.transform(before("y"), lambda t: F.struct(t.alias("ty"), own["x"].alias("tx")))
+    right = F.transform(before("x"), lambda t: F.struct(own["y"].alias("ty"), t.alias("tx")))
+    rows = pixels.where("dn is not null").select("band", "y", "x", F.col("dn").cast("long").alias("dn"), F.explode(F.array_union(down, right)).alias("t"))
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        band, ty, tx = map(int, key)
+        (image,), there = grids(rows["y"].to_numpy() - ty * tile, rows["x"].to_numpy() - tx * tile, [rows["dn"].to_numpy()], tile + far)
+        here, own_there = image[:tile, :tile], there[:tile, :tile]
+        out = []
+        for h in lags:
+            both = own_there & there[h : h + tile, :tile] & there[:tile, h : h + tile]
+            d, r = ((v - here)[both] for v in (image[h : h + tile, :tile], image[:tile, h : h + tile]))
+            out.append((band, h, int(d @ d), int(r @ r), len(d)))
+        return pd.DataFrame(out, columns=["band", "lag", "down", "right", "n"])
+
+    parts = rows.select("band", "y", "x", "dn", "t.*").groupBy("band", "ty", "tx").applyInPandas(sums, "band int, lag int, down long, right long, n long")
+    total = parts.groupBy("band", "lag").agg(*[F.sum(c).alias(c) for c in ("down", "right", "n")]).where("n > 0").withColumn("n", 2 * F.col("n"))
+    return total.select("band", "lag", (F.col("down") / F.col("n")).alias("sv_row"), (F.col("right") / F.col("n")).alias("sv_col"), ((F.col("down") + F.col("right")) / (2 * F.col("n"))).alias("sv_avg"))
 
 
 def optimal_hs(pixels: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
@@ -38,32 +67,64 @@ def optimal_hs(pixels: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
     return steps.groupBy("band").agg(F.coalesce(F.min(F.when(F.col("d") <= 0, F.col("lag"))), F.min_by("lag", F.struct("d", "lag"))).alias("hs"))
 
 
-def local_variance(pixels: DataFrame, window: int, mode: str = "float") -> DataFrame:
+def _window_sums(values: np.ndarray, window: int, axis: int) -> np.ndarray:
+    """Sums of ``window`` values in a row along an axis, from its running total."""
+    total = np.cumsum(values, axis=axis)
+    n = values.shape[axis] - window + 1
+    first = np.take(total, np.arange(window - 1, window - 1 + n), axis=axis)
+    earlier = np.take(total, np.arange(n - 1), axis=axis)
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (1, 0)
+    return first - np.pad(earlier, pad)
+
+
+def local_variance(pixels: DataFrame, window: int, mode: str = "float", tile: int = TILE) -> DataFrame:
     """band, y, x, lv: mean of squares less squared mean in a moving window with reflected edges.
 
-    Even windows reach one pixel farther back. ``int`` truncates each of the
-    two passes to integers, as filters on integer images do.
+    Windows count the pixels that are there: a null dn is no pixel, places
+    without one add nothing, and only pixels have a result. Even windows reach
+    one pixel farther back. ``int`` truncates the means of each of the two
+    passes (along y, then x) to integers, as filters on integer images do.
+
+    One shuffle deals pixels, and their images beyond the edges, to the tiles
+    that see them; each tile sums its windows from summed areas of counts,
+    values and squares.
     """
     before, after = window // 2, window - window // 2 - 1
-    rows = pixels.select("band", "y", "x", F.col("dn").cast("long").alias("dn")).join(F.broadcast(size(pixels)), "band")
-
-    def reflected(df: DataFrame, c: str, n: str) -> DataFrame:
-        low = df.where(F.col(c) < before).withColumn(c, -F.col(c) - 1)
-        high = df.where(F.col(c) >= F.col(n) - after).withColumn(c, 2 * F.col(n) - 1 - F.col(c))
-        return df.unionByName(low).unionByName(high)
-
-    def passed(df: DataFrame, c: str, other: str, n: str) -> DataFrame:
-        w = Window.partitionBy("band", other).orderBy(c).rowsBetween(-before, after)
-        total = lambda v: F.sum(v).over(w)
-        keep = (lambda v: (v / window).cast("long")) if mode == "int" else (lambda v: v)
-        sums = reflected(df, c, n).withColumns({"s1": keep(total("s1")), "s2": keep(total("s2"))})
-        return sums.where((F.col(c) >= 0) & (F.col(c) < F.col(n)))
-
-    start = rows.withColumns({"s1": F.col("dn"), "s2": F.col("dn") * F.col("dn")})
-    both = passed(passed(start, "y", "x", "h"), "x", "y", "w")
-    n2 = window * window
-    lv = (F.col("s2") - F.col("s1") * F.col("s1")).cast("double") if mode == "int" else (n2 * F.col("s2") - F.col("s1") * F.col("s1")) / F.lit(float(n2 * n2))
-    return both.select("band", "y", "x", lv.alias("lv"))
+    sized = pixels.where("dn is not null").select("band", "y", "x", F.col("dn").cast("long").alias("dn")).join(F.broadcast(size(pixels)), "band")
+
+    def seen(c: str, n: str) -> Column:
+        """(t, p): each tile that sees the pixel or an image of it, and where."""
+        turns = F.sequence(-F.ceil((before + 1) / F.col(n)).cast("int"), F.ceil((after + 1) / F.col(n)).cast("int"))
+        images = F.flatten(F.transform(turns, lambda k: F.array(F.col(c) + 2 * k * F.col(n), 2 * k * F.col(n) - 1 - F.col(c))))
+        near = F.filter(images, lambda p: (p >= -before) & (p < F.col(n) + after))
+        tiles = lambda p: F.sequence(F.greatest(F.floor((p - after) / tile), F.lit(0)).cast("int"), F.least(F.floor((p + before) / tile), F.floor((F.col(n) - 1) / tile)).cast("int"))
+        return F.flatten(F.transform(near, lambda p: F.transform(tiles(p), lambda t: F.struct(t.alias("t"), p.alias("p")))))
+
+    dealt = sized.select("band", "dn", F.explode(seen("y", "h")).alias("v"), "x", "w").select("band", "dn", "v", F.explode(seen("x", "w")).alias("u"))
+    rows = dealt.select("band", "dn", F.col("v.t").alias("ty"), F.col("v.p").alias("y"), F.col("u.t").alias("tx"), F.col("u.p").alias("x"))
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        band, ty, tx = map(int, key)
+        dn = rows["dn"].to_numpy()
+        (s, q), there = grids(rows["y"].to_numpy() - ty * tile + before, rows["x"].to_numpy() - tx * tile + before, [dn, dn * dn], tile + window - 1)
+        n = there.astype(np.int64)
+        if mode == "int":
+            for axis in (0, 1):
+                counts = _window_sums(n, window, axis)
+                s, q = (_window_sums(v, window, axis) // np.maximum(counts, 1) for v in (s, q))
+                n = (counts > 0).astype(np.int64)
+            lv = (q - s * s).astype(float)
+        else:
+            n, s, q = (_window_sums(_window_sums(v, window, 0), window, 1) for v in (n, s, q))
+            lv = (n * q - s * s) / np.maximum(n * n, 1).astype(float)
+        y, x = np.nonzero(there[before : before + tile, before : before + tile])
+        # A pixel's place is inside the image; images of pixels aren't.
+        mine = pd.DataFrame({"band": band, "y": y + ty * tile, "x": x + tx * tile, "lv": lv[y, x]})
+        return mine
+
+    found = rows.groupBy("band", "ty", "tx").applyInPandas(one, "band int, y int, x int, lv double")
+    return found.join(F.broadcast(size(pixels)), "band").where("y < h and x < w").select("band", "y", "x", "lv")
 
 
 def optimal_hr(pixels: DataFrame, window: int, mode: str = "float") -> DataFrame:

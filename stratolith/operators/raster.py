@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from stratolith.functions.geometry import EARTH_RADIUS, METRES_PER_DEGREE
 TILE_ROLES = {"red": 0, "green": 1, "blue": 2, "alpha": 3, "ir": 4}
 MOSAIC_ROLES = {"red": 0, "green": 1, "blue": 2, "ir": 3}
 OVERVIEWS = (2, 4, 8, 16, 32, 64, 128)
+#: Pixels of a tile's side that one task holds, about and at most.
+SIDE, MOST_SIDE = 256, 4096
 
 
 def band_stats(pixels: DataFrame) -> DataFrame:
@@ -48,15 +54,46 @@ def centre_crop(pixels: DataFrame, side: int) -> DataFrame:
 
 
 def overviews(pixels: DataFrame, factors: tuple[int, ...] = OVERVIEWS) -> DataFrame:
-    """Block averages at each factor; every level from sums of the one before would round, so all come from the pixels."""
-    each = pixels.withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
-    block = lambda c: F.floor(F.col(c) / F.col("factor")).cast("int").alias(c)
-    return each.groupBy("band", "factor", block("y"), block("x")).agg((F.sum("dn") / F.count("dn")).alias("avg_dn"))
+    """(band, factor, y, x, avg_dn): block averages at each factor; blocks without a value are left out.
+
+    Pixels go once to tiles whose side all factors divide, so no block lies in
+    two. There, sums and counts of a level come from those of the greatest
+    level before whose factor divides its own, which rounds nothing.
+    """
+    side = math.lcm(*factors)
+    if side > MOST_SIDE:
+        raise ValueError(f"the factors' common multiple {side} is beyond {MOST_SIDE}")
+    side *= max(1, SIDE // side)
+    tile = lambda c: F.floor(F.col(c) / side).cast("int").alias(f"t{c}")
+
+    def levels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        band, ty, tx = map(int, key)
+        there = rows["dn"].notna().to_numpy()
+        y, x, dn = (rows[c].to_numpy()[there] for c in ("y", "x", "dn"))
+        flat = (y - ty * side) * side + (x - tx * side)
+        of = {1: tuple(np.bincount(flat.astype(np.int64), w, side * side).reshape(side, side) for w in (dn.astype(float), None))}
+        out = []
+        for f in sorted(factors):
+            under = max(g for g in of if f % g == 0)
+            step = f // under
+            if f not in of:
+                of[f] = tuple(v.reshape(v.shape[0] // step, step, v.shape[1] // step, step).sum(axis=(1, 3)) for v in of[under])
+            total, n = of[f]
+            at = np.nonzero(n)
+            out.append(pd.DataFrame({"band": band, "factor": f, "y": at[0] + ty * (side // f), "x": at[1] + tx * (side // f), "avg_dn": total[at] / n[at]}))
+        return pd.concat(out)
+
+    tiled = pixels.select("band", "y", "x", "dn", tile("y"), tile("x"))
+    return tiled.groupBy("band", "ty", "tx").applyInPandas(levels, "band int, factor int, y int, x int, avg_dn double")
 
 
 def mosaic(images: DataFrame, places: DataFrame) -> DataFrame:
-    """One image of many: (image, band, y, x, dn) shifted by (image, dx, dy, priority); the highest priority wins."""
-    moved = images.join(places, "image").select("band", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dn", "priority")
+    """One image of many: (image, band, y, x, dn) shifted by (image, dx, dy, priority); the highest priority wins.
+
+    A masked pixel (null dn) hides nothing: the next image's value shows. Where
+    all are masked there is no pixel.
+    """
+    moved = images.where("dn is not null").join(places, "image").select("band", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dn", "priority")
     return moved.groupBy("band", "y", "x").agg(F.max_by("dn", "priority").alias("dn"))
 
 
@@ -95,14 +132,21 @@ def normalise(pixels: DataFrame, out_w: int, out_h: int, transform: tuple[float,
     return masked(warped, alpha).unionByName(warped.where(F.col("band") == alpha))
 
 
-def to_tiles(images: DataFrame, side: int = 256) -> DataFrame:
-    """Pixels (image, band, y, x, dn) as rows (image, band, ty, tx, w, h, data): one for each tile, its values line by line, null where there is none."""
-    at = (F.pmod("y", F.lit(side)) * side + F.pmod("x", F.lit(side))).cast("int")
-    rows = images.groupBy("image", "band", F.floor(F.col("y") / side).cast("int").alias("ty"), F.floor(F.col("x") / side).cast("int").alias("tx"))
-    found = rows.agg(F.map_from_entries(F.collect_list(F.struct(at, "dn"))).alias("m"), (F.max(F.pmod("x", F.lit(side))) + 1).alias("w"), (F.max(F.pmod("y", F.lit(side))) + 1).alias("h"))
-    line = F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)
-    data = F.transform(line, lambda i: F.try_element_at(F.col("m"), (F.floor(i / F.col("w")) * side + i % F.col("w")).cast("int")))
-    return found.select("image", "band", "ty", "tx", "w", "h", data.alias("data"), F.lit(side).alias("side"))
+def to_tiles(images: DataFrame, side: int = SIDE) -> DataFrame:
+    """Pixels (image, band, y, x, dn) as rows (image, band, ty, tx, w, h, data, side): one for each tile, its values line by line, null where there is none."""
+    kind = images.schema["image"].dataType.simpleString()
+    keys = ["image", "band", "ty", "tx"]
+
+    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = (rows[c].to_numpy() for c in ("y", "x"))
+        w, h = int(x.max()) + 1, int(y.max()) + 1
+        data = np.full(w * h, None, object)
+        data[y * w + x] = [None if v != v or v is None else int(v) for v in rows["dn"].tolist()]
+        return pd.DataFrame([(*key, w, h, data.tolist(), side)], columns=[*keys, "w", "h", "data", "side"])
+
+    part = lambda c: (F.floor(F.col(c) / side).cast("int").alias(f"t{c}"), F.pmod(F.col(c), F.lit(side)).cast("int").alias(c))
+    rows = images.select("image", F.col("band").cast("int").alias("band"), *part("y"), *part("x"), F.col("dn").cast("double").alias("dn"))
+    return rows.groupBy(*keys).applyInPandas(tile, f"image {kind}, band int, ty int, tx int, w int, h int, data array<int>, side int")
 
 
 def from_tiles(tiles: DataFrame) -> DataFrame:

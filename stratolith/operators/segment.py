@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratolith.functions import geometry as g
-from stratolith.storage import cut, cut_at, remove
+from stratolith.storage import cut, cut_at, remove, spread
 
 from .components import connected_components
 from .metrics import with_metrics
@@ -43,51 +43,133 @@ def colours(pixels: DataFrame, bands: list[int]) -> DataFrame:
     return values.na.drop().select("y", "x", F.array(*[f"c{i}" for i in range(len(bands))]).alias("colour"))
 
 
-def mean_shift(pixels: DataFrame, spatial: int, spectral: float, iterations: int = 10, threshold: float = 0.1, tile: int = TILE, bands: list[int] | None = None) -> DataFrame:
-    """y, x, colour, my, mx: each place moved to the mode of its neighbourhood in place and colour (all bands together).
-
-    colour is the mode's, (my, mx) where it lies. Tiles carry a halo of
-    ``iterations * spatial`` pixels, the farthest that a pixel can see, so the
-    result doesn't depend on the tiles.
-    """
-    halo = iterations * spatial
-    spread = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
-    dealt = colours(pixels, bands or bands_of(pixels)).withColumn("ty", F.explode(spread("y"))).withColumn("tx", F.explode(spread("x")))
+def _packed(colour: DataFrame, reach: int, tile: int, bands: int) -> DataFrame:
+    """ty, tx, y0, x0, h, w, data: each tile with ``reach`` pixels around it as one array (float64, not a number where no pixel is)."""
+    around = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
+    dealt = colour.withColumn("ty", F.explode(around("y"))).withColumn("tx", F.explode(around("x")))
 
-    def smooth(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ty, tx = map(int, key)
-        own = rows[(rows["y"] // tile == ty) & (rows["x"] // tile == tx)]
-        if own.empty:
-            return pd.DataFrame({"y": [], "x": [], "colour": pd.Series([], dtype=object), "my": [], "mx": []})
-        given = np.stack(rows["colour"].to_list())
+        if not ((rows["y"] // tile == ty) & (rows["x"] // tile == tx)).any():
+            return pd.DataFrame(columns=["ty", "tx", "y0", "x0", "h", "w", "data"])
         y0, x0 = int(rows["y"].min()), int(rows["x"].min())
-        image = np.full((int(rows["y"].max()) - y0 + 1, int(rows["x"].max()) - x0 + 1, given.shape[1]), np.nan)
-        image[rows["y"] - y0, rows["x"] - x0] = given
-        py, px = (own["y"] - y0).to_numpy(float), (own["x"] - x0).to_numpy(float)
-        value = image[py.astype(int), px.astype(int)].copy()
-        steps = [(a, b) for a in range(-spatial, spatial + 1) for b in range(-spatial, spatial + 1) if a * a + b * b <= spatial * spatial]
-        moving = np.arange(len(own))
-        for _ in range(iterations):
-            cy, cx = np.rint(py[moving]).astype(int), np.rint(px[moving]).astype(int)
-            sums, ys, xs, n = np.zeros((len(moving), given.shape[1])), np.zeros(len(moving)), np.zeros(len(moving)), np.zeros(len(moving))
-            for a, b in steps:
+        h, w = int(rows["y"].max()) - y0 + 1, int(rows["x"].max()) - x0 + 1
+        image = np.full((h, w, bands), np.nan)
+        image[rows["y"] - y0, rows["x"] - x0] = np.stack(rows["colour"].to_list())
+        return pd.DataFrame([(ty, tx, y0, x0, h, w, image.tobytes())], columns=["ty", "tx", "y0", "x0", "h", "w", "data"])
+
+    return dealt.groupBy("ty", "tx").applyInPandas(pack, "ty long, tx long, y0 int, x0 int, h int, w int, data binary")
+
+
+class _Shift:
+    """The steps of mean shift on one tile, for pixels that are inside of it."""
+
+    def __init__(self, row: dict, tile: int, spatial: int, spectral: float, ramp: float, iterations: int, threshold: float) -> None:
+        self.image = np.frombuffer(row["data"]).reshape(row["h"], row["w"], -1)
+        self.y0, self.x0, self.ty, self.tx, self.tile = int(row["y0"]), int(row["x0"]), int(row["ty"]), int(row["tx"]), tile
+        self.spectral, self.ramp, self.iterations, self.threshold = spectral, ramp, iterations, threshold
+        reach = range(-spatial, spatial + 1)
+        self.steps = [(a, b) for a in reach for b in reach if a * a + b * b <= spatial * spatial]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """(y, x) of the tile's own pixels."""
+        y, x = np.nonzero(~np.isnan(self.image[:, :, 0]))
+        y, x = y + self.y0, x + self.x0
+        mine = self.inside(y, x)
+        return y[mine], x[mine]
+
+    def inside(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (np.floor_divide(np.rint(y).astype(np.int64), self.tile) == self.ty) & (np.floor_divide(np.rint(x).astype(np.int64), self.tile) == self.tx)
+
+    def run(self, value: np.ndarray, py: np.ndarray, px: np.ndarray, done: np.ndarray) -> np.ndarray:
+        """Move pixels in place until each has come to rest, has made all its steps or has left the tile; True where it goes on elsewhere."""
+        image, (h, w) = self.image, self.image.shape[:2]
+        goes = np.zeros(len(py), bool)
+        moving = np.flatnonzero(done < self.iterations)
+        while len(moving):
+            cy, cx = np.rint(py[moving]).astype(int) - self.y0, np.rint(px[moving]).astype(int) - self.x0
+            here = value[moving]
+            width = self.spectral + self.ramp * np.abs(here)
+            sums, ys, xs, n = np.zeros_like(here), np.zeros(len(moving)), np.zeros(len(moving)), np.zeros(len(moving))
+            for a, b in self.steps:
                 qy, qx = cy + a, cx + b
-                inside = (qy >= 0) & (qy < image.shape[0]) & (qx >= 0) & (qx < image.shape[1])
-                colour = image[np.clip(qy, 0, image.shape[0] - 1), np.clip(qx, 0, image.shape[1] - 1)]
-                near = inside & (((colour - value[moving]) ** 2).sum(axis=1) <= spectral * spectral)
+                there = (qy >= 0) & (qy < h) & (qx >= 0) & (qx < w)
+                colour = image[np.clip(qy, 0, h - 1), np.clip(qx, 0, w - 1)]
+                apart = (colour - here) ** 2
+                near = there & ((apart / (width * width)).sum(axis=1) <= 1 if self.ramp else apart.sum(axis=1) <= self.spectral * self.spectral)
                 sums[near] += colour[near]
-                ys, xs, n = ys + near * qy, xs + near * qx, n + near
+                ys, xs, n = ys + near * (qy + self.y0), xs + near * (qx + self.x0), n + near
             has = n > 0
             n = np.maximum(n, 1)
-            new, ny, nx = np.where(has[:, None], sums / n[:, None], value[moving]), np.where(has, ys / n, py[moving]), np.where(has, xs / n, px[moving])
-            moved = np.sqrt(((new - value[moving]) ** 2).sum(axis=1) + (ny - py[moving]) ** 2 + (nx - px[moving]) ** 2)
+            new, ny, nx = np.where(has[:, None], sums / n[:, None], here), np.where(has, ys / n, py[moving]), np.where(has, xs / n, px[moving])
+            moved = np.sqrt(((new - here) ** 2).sum(axis=1) + (ny - py[moving]) ** 2 + (nx - px[moving]) ** 2)
             value[moving], py[moving], px[moving] = new, ny, nx
-            moving = moving[moved > threshold]
-            if not len(moving):
-                break
-        return pd.DataFrame({"y": own["y"], "x": own["x"], "colour": list(value), "my": py + y0, "mx": px + x0})
+            done[moving] += 1
+            more = (moved > self.threshold) & (done[moving] < self.iterations)
+            stays = self.inside(ny, nx)
+            goes[moving[more & ~stays]] = True
+            moving = moving[more & stays]
+        return goes
+
 
-    return dealt.groupBy("ty", "tx").applyInPandas(smooth, "y int, x int, colour array<double>, my double, mx double")
+def mean_shift(
+    pixels: DataFrame, spatial: int, spectral: float, iterations: int = 100, threshold: float = 0.1, tile: int = TILE, bands: list[int] | None = None, ramp: float = 0.0
+) -> DataFrame:
+    """y, x, colour, my, mx: each place moved to the mode of its neighbourhood in place and colour (all bands together).
+
+    colour is the mode's, (my, mx) where it lies. The range radius of a band is
+    ``spectral`` plus ``ramp`` times the pixel's value there. Tiles carry a halo
+    of one radius. A task moves the pixels of its tile while they stay in it;
+    those that leave go, as rows of their own, to the tile that they have come
+    to, in as many rounds as pixels cross edges. So what is exchanged is what
+    moves far, whatever the iterations, and the result doesn't depend on the
+    tiles.
+    """
+    spark = pixels.sparkSession
+    bands = bands or bands_of(pixels)
+    tiles = cut(_packed(colours(pixels, bands), spatial + 1, tile, len(bands)), "tiles")
+    names = ["y", "x", "colour", "my", "mx", "done", "goes"]
+    schema = "y int, x int, colour array<double>, my double, mx double, done int, goes boolean"
+    step = lambda row: _Shift(row, tile, spatial, spectral, ramp, iterations, threshold)
+
+    def frame(y, x, value, py, px, done, goes) -> pd.DataFrame:
+        return pd.DataFrame({"y": y, "x": x, "colour": list(value), "my": py, "mx": px, "done": done, "goes": goes})[names]
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                one = step(row)
+                y, x = one.own()
+                value, py, px, done = one.image[y - one.y0, x - one.x0].copy(), y.astype(float), x.astype(float), np.zeros(len(y), np.int64)
+                yield frame(y, x, value, py, px, done, one.run(value, py, px, done))
+
+    def go_on(rows: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return frame(*[[]] * 7)
+        value, py, px = np.stack(rows["colour"].to_list()), rows["my"].to_numpy(float).copy(), rows["mx"].to_numpy(float).copy()
+        done = rows["done"].to_numpy(np.int64).copy()
+        # Where a pixel has come to there is no tile without pixels: at least those that pulled it lie around.
+        goes = np.zeros(len(rows), bool) if there.empty else step(there.iloc[0].to_dict()).run(value, py, px, done)
+        return frame(rows["y"], rows["x"], value, py, px, done, goes)
+
+    found, finished = cut(tiles.repartition(spread(tiles), "ty", "tx").mapInPandas(begin, schema), "shift"), []
+    while True:
+        finished.append(found.where("not goes"))
+        moving = found.where("goes")
+        if moving.isEmpty():
+            break
+        at = lambda c: F.floor(F.rint(f"m{c}") / tile).alias(f"t{c}")
+        moving = moving.withColumns({"ty": at("y"), "tx": at("x")})
+        # Many may have come to one tile; they are dealt to several tasks, each with the tile.
+        parts = cut(moving.groupBy("ty", "tx").agg(F.ceil(F.count("*") / (tile * tile)).cast("int").alias("parts")), "parts")
+        some = moving.join(parts, ["ty", "tx"]).withColumn("part", F.pmod(F.xxhash64("y", "x"), F.col("parts"))).drop("parts")
+        dealt = parts.select("ty", "tx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+        theirs = tiles.join(dealt, ["ty", "tx"])
+        found = cut(some.groupBy("ty", "tx", "part").cogroup(theirs.groupBy("ty", "tx", "part")).applyInPandas(go_on, schema), "shift")
+    done = finished[0]
+    for more in finished[1:]:
+        done = done.unionByName(more)
+    return done.select("y", "x", "colour", "my", "mx")
 
 
 def _tile_labels(down: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -215,27 +297,37 @@ def merge_regions(regions: DataFrame, edges: DataFrame, sums: list[str], least:
     has (label, other) in both directions. By increasing size, all regions of
     the least size join the neighbour of nearest mean colour (the smaller label
     on a tie; distances count to six decimals), and the graph shrinks: pixels
-    aren't touched. A region's label is the least of its members'.
+    aren't touched. A region's label is the least of its members'. What joined
+    what is only logged, and resolved once at the end: a region's label is the
+    least that its log leads to.
     """
     spark = regions.sparkSession
-    (now, a), (links, b), (whole, c) = cut_at(regions, "regions"), cut_at(edges, "beside"), cut_at(regions.select("label", F.col("label").alias("whole")), "whole")
+    (now, a), (links, b), log = cut_at(regions, "regions"), cut_at(edges, "beside"), []
+    labels, first = now.select("label"), a
     while True:
         small = now.where(F.col("n") < least).join(links.select("label").distinct(), "label", "left_semi").agg(F.min("n")).first()[0]
         if small is None:
-            return whole
+            break
         mine = now.where(F.col("n") == small).select("label", *[(F.col(s) / F.col("n")).alias(f"a_{s}") for s in sums])
         theirs = now.select(F.col("label").alias("other"), *[(F.col(s) / F.col("n")).alias(f"b_{s}") for s in sums])
         apart = sum(((F.col(f"a_{s}") - F.col(f"b_{s}")) * (F.col(f"a_{s}") - F.col(f"b_{s}")) for s in sums), F.lit(0.0))
         picked = links.join(mine, "label").join(theirs, "other").groupBy("label").agg(F.min_by("other", F.struct(F.round(apart, 6), "other")).alias("other"))
         groups = cut(connected_components(picked, "label", "other").select(F.col("node").alias("label"), "component"), "groups")
+        log.append(groups.where("label <> component"))
         to = F.coalesce("component", "label")
         new = now.join(groups, "label", "left").groupBy(to.alias("label")).agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
         ends = links.join(groups, "label", "left").select(to.alias("label"), "other").join(groups.select(F.col("label").alias("other"), F.col("component").alias("there")), "other", "left")
         joined = ends.select("label", F.coalesce("there", "other").alias("other")).where("label <> other").distinct()
-        moved = whole.join(groups.select(F.col("label").alias("whole"), "component"), "whole", "left").select("label", F.coalesce("component", "whole").alias("whole"))
-        old = (a, b, c)
-        (now, a), (links, b), (whole, c) = cut_at(new, "regions"), cut_at(joined, "beside"), cut_at(moved, "whole")
+        old = [p for p in (a, b) if p != first]
+        (now, a), (links, b) = cut_at(new, "regions"), cut_at(joined, "beside")
         remove(spark, *old)
+    if not log:
+        return labels.select("label", F.col("label").alias("whole"))
+    every = log[0]
+    for more in log[1:]:
+        every = every.unionByName(more)
+    found = connected_components(every, "label", "component")
+    return labels.join(found, labels.label == found.node, "left").select("label", F.coalesce("component", "label").alias("whole"))
 
 
 def merge_small(labels: DataFrame, image: DataFrame, least: int, bands: int | None = None) -> DataFrame:
@@ -330,10 +422,12 @@ def segment(
     spectral: float,
     least: int,
     delete: bool = False,
-    iterations: int = 10,
+    iterations: int = 100,
     threshold: float = 0.1,
     tile: int = TILE,
     transform: tuple[float, float, float, float] | None = None,
+    srs: str | None = None,
+    ramp: float = 0.0,
 ) -> DataFrame:
     """label, nbpixels, meanb*, varb*, rings and the nine shape metrics of every segment of an image (band, y, x, dn).
 
@@ -341,10 +435,11 @@ def segment(
     modes lie within both radii make one region. Regions under ``least`` pixels
     are left out (``delete``), or merged by increasing size into the neighbour of
     nearest mean. Statistics are those of the smoothed image. Rings are in
-    pixels, or in the world's units by ``transform`` (x0, dx, y0, dy).
+    pixels, or in the world's units by ``transform`` (x0, dx, y0, dy); where the
+    world's system ``srs`` is given, metrics are taken in web mercator.
     """
     bands = bands_of(pixels)
-    smooth = cut(mean_shift(pixels, spatial, spectral, iterations, threshold, tile, bands), "smooth")
+    smooth = cut(mean_shift(pixels, spatial, spectral, iterations, threshold, tile, bands, ramp), "smooth")
     image = smooth.select("y", "x", "colour")
     labels = linked_labels(smooth, spatial, spectral, tile)
     if delete:
@@ -357,4 +452,4 @@ def segment(
     if transform:
         x0, dx, y0, dy = transform
         shapes = shapes.withColumn("rings", g.mapped(F.col("rings"), lambda p: (x0 + p["x"] * dx, y0 + p["y"] * dy)))
-    return with_metrics(wide_stats(labels, image, len(bands)).join(shapes, "label"))
+    return with_metrics(wide_stats(labels, image, len(bands)).join(shapes, "label"), srs=srs if transform else None)

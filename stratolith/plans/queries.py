@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stratolith import commands
 from stratolith.functions import geometry as g
 from stratolith.functions.circle import convex_hull, group_circles
-from stratolith.operators import catalog, params, raster, segment
+from stratolith.functions.projections import forward, inverse, utm
+from stratolith.operators import catalog, params, raster, segment, warp
 from stratolith.operators.metrics import METRICS, with_metrics
 from stratolith.sources import adapters as ad
 from stratolith.sources import shapefile, tables
@@ -324,8 +325,8 @@ def _lv(window: str) -> str:
         wide as (select band, y, x, dn from tall union all select band, y, -x - 1, dn from tall, win where x < n // 2
         union all select t.band, y, 2 * w - 1 - x, dn from tall t join size using (band), win where x >= w - (n - n // 2 - 1)),
         k as (select unnest(range(0, n)) - n // 2 o, n from win),
-        cols as (select wide.band, y - o y, x, sum(dn) s1, sum(dn * dn) s2 from wide, k group by all),
-        lv as (select p.band, p.y, p.x, ((n * n * sum(c.s2) - sum(c.s1) * sum(c.s1))::double / (n * n * n * n)) lv from pixels p, k join cols c on c.band = p.band and c.y = p.y and c.x = p.x + o group by p.band, p.y, p.x, n),
+        cols as (select wide.band, y - o y, x, sum(dn) s1, sum(dn * dn) s2, count(*) c1 from wide, k group by all),
+        lv as (select p.band, p.y, p.x, ((sum(c.c1) * sum(c.s2) - sum(c.s1) * sum(c.s1))::double / (sum(c.c1) * sum(c.c1))) lv from pixels p, k join cols c on c.band = p.band and c.y = p.y and c.x = p.x + o group by p.band, p.y, p.x, n),
         hr as (select band, sqrt(avg(lv)) hr from lv group by 1)"""
 
 
@@ -399,6 +400,81 @@ def raster_metadata(spark, sf_dir):
     return found.select("image", "width", "height", F.array_join(F.col("bands").cast("array<string>"), ",").alias("bands"), "kind", "x0", "srs")
 
 
+#: Krueger's series for the metres east of the central meridian and north of the equator, from lon and lat and the zone; in SQL of its own.
+_ELLIPSOID = """ell as (select n, 2 * sqrt(n) / (1 + n) e, 0.9996 * 6378137.0::double / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) r,
+    n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 a3, 49561 * n ** 4 / 161280 a4
+    from (select 1 / (2 * 298.257222101::double - 1) n))"""
+_UTM = """select g.*, 500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) east,
+    r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)) north
+    from (select g.*, atan2(t, cos(l)) xi, atanh(sin(l) / sqrt(1 + t * t)) eta, r, a1, a2, a3, a4
+        from (select g.*, radians(lon - (zone * 6 - 183)) l, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) t, r, a1, a2, a3, a4 from {source} g, ell) g) g"""
+
+
+@query(_sql("select gid, zone::int zone, round(east, 3) east, round(north, 3) north, round(lon, 8) lon, round(lat, 8) lat from utm", "catalogue", _ELLIPSOID, "places as (select gid, 10 + gid % 10 zone, (10 + gid % 10) * 6 - 183 + (gid % 61 - 30) * 0.1::double lon, (gid % 797) * 0.1::double lat from catalogue)", f"utm as ({_UTM.format(source='places')})"))
+def utm_round_trip(spark, sf_dir):
+    """Degrees to each row's UTM zone, to a millimetre, and back, to one too."""
+    zone = 10 + F.col("gid") % 10
+    places = ad.catalogue(spark, sf_dir).select("gid", zone.cast("int").alias("zone"), (zone * 6 - 183 + (F.col("gid") % 61 - 30) * 0.1).alias("lon"), (F.col("gid") % 797 * 0.1).alias("lat"))
+    to = utm(F.col("zone"))
+    east, north = forward(F.col("lon"), F.col("lat"), to)
+    lon, lat = inverse(F.col("e"), F.col("n"), to)
+    back = places.select("gid", "zone", east.alias("e"), north.alias("n")).select("gid", "zone", F.round("e", 3).alias("east"), F.round("n", 3).alias("north"), F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+    return back
+
+
+@query(
+    _sql(
+        """select case band when 3 then 4 else band end::int band, oy::int y, ox::int x, dn::int dn from hit union all select 3, oy::int, ox::int, 255 from hit group by ox, oy""",
+        "pixels", _ELLIPSOID,
+        "grid as (select ox, oy, 11 zone, -117.0005::double + (ox + 0.5) * 0.0001 lon, 33.4405::double - (oy + 0.5) * 0.0001 lat from (select unnest(range(90)) ox), (select unnest(range(60)) oy))",
+        f"utm as ({_UTM.format(source='grid')})",
+        "hit as (select ox, oy, band, dn from utm join pixels on band < 4 and x = floor((east - 500000) / 10) and y = floor((north - 3700000) / -10))",
+    )
+)
+def utm_warp(spark, sf_dir):
+    """A delivered tile in UTM zone 11 warped to degrees."""
+    delivered = ad.pixels(spark, sf_dir).where("band < 4")
+    return raster.normalise(delivered, 90, 60, (-117.0005, 0.0001, 33.4405, -0.0001), (500000.0, 10.0, 3700000.0, -10.0), lambda lon, lat: forward(lon, lat, utm(11)))
+
+
+def _strips(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The first four bands cut into images of twenty rows, in three UTM zones, and the grids that they go onto."""
+    images = ad.pixels(spark, sf_dir).where("band < 4").select(F.floor(F.col("y") / 20).cast("int").alias("image"), "band", (F.col("y") % 20).alias("y"), "x", "dn")
+    zone = 10 + F.col("image") % 3
+    grids = images.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).select(
+        "image", "width", "height", (500000.0 + 1000 * F.col("image")).alias("x0"), F.lit(10.0).alias("dx"), F.lit(3700000.0).alias("y0"), F.lit(-10.0).alias("dy"),
+        F.format_string("EPSG:269%d", zone).alias("srs"), (zone * 6 - 183 + F.col("image") * 0.0107 - 0.0005).alias("ox0"), F.lit(0.0001).alias("odx"), F.lit(33.4405).alias("oy0"), F.lit(-0.0001).alias("ody"), F.lit(90).alias("ow"), F.lit(40).alias("oh"),
+    )
+    return images, grids
+
+
+_STRIPS = (
+    "pixels", _ELLIPSOID,
+    "strips as (select (y // 20)::int image, band, (y % 20)::int y, x, dn from pixels where band < 4)",
+    "grid as (select image, ox, oy, 10 + image % 3 zone, (10 + image % 3) * 6 - 183 + image * 0.0107::double - 0.0005::double + (ox + 0.5) * 0.0001::double lon, 33.4405::double + (oy + 0.5) * -0.0001::double lat from (select distinct image from strips), (select unnest(range(90)) ox), (select unnest(range(40)) oy))",
+    f"utm as ({_UTM.format(source='grid')})",
+    "hit as (select u.image, ox, oy, band, dn from utm u join strips s on s.image = u.image and s.x = floor((east - (500000 + 1000 * u.image)) / 10) and s.y = floor((north - 3700000) / -10))",
+    "processed as (select image, case band when 3 then 4 else band end band, oy y, ox x, dn from hit union all select image, 3, oy, ox, 255 from hit group by image, ox, oy)",
+)
+
+
+@query(_sql("select image, band::int band, y::int y, x::int x, dn::int dn from processed", *_STRIPS))
+def normalise_all(spark, sf_dir):
+    """All images normalised in one plan, written as a table of tiles and read back."""
+    images, grids = _strips(spark, sf_dir)
+    return raster.from_tiles(commands.normalise_images(images, grids, new_path(spark, "tiles"), 32, (2, 4, 8, 16, 32))[0])
+
+
+@query(_sql("select image, band::int band, factor::int factor, (y // factor)::int y, (x // factor)::int x, round(avg(dn), 6) avg_dn from processed, (select unnest([2, 4, 8, 16, 32]) factor) group by all", *_STRIPS))
+def normalise_pyramid(spark, sf_dir):
+    """The overviews that are written beside those tiles."""
+    images, grids = _strips(spark, sf_dir)
+    levels = commands.normalise_images(images, grids, new_path(spark, "tiles"), 32, (2, 4, 8, 16, 32))[1]
+    each = levels.select("image", "band", "factor", "ty", "tx", "w", F.posexplode("data").alias("i", "v")).where("v is not null")
+    at = lambda t, i: (F.col(t) * F.floor(F.lit(32) / F.col("factor")) + i).cast("int")
+    return each.select("image", "band", "factor", at("ty", F.floor(F.col("i") / F.col("w"))).alias("y"), at("tx", F.col("i") % F.col("w")).alias("x"), F.round("v", 6).alias("avg_dn"))
+
+
 #: Labels by recursion that keeps one row for each pixel and hands smaller labels on.
 _LABELS = """places as (select band, y, x, dn, dn // 16 class, band::bigint * 1000000000000 + y * 1000000 + x id from pixels),
     edges as (select a.id, b.id other from places a join places b on a.band = b.band and a.class = b.class and ((b.y = a.y and b.x in (a.x - 1, a.x + 1)) or (b.x = a.x and b.y in (a.y - 1, a.y + 1)))),
@@ -458,6 +534,40 @@ def vectorise_gaps(spark, sf_dir):
     return found.select("band", "label", g.area(F.col("rings")).alias("area"), g.perimeter(F.col("rings")).alias("perim"))
 
 
+@query(_sql("select band, y, x, round(lv, 6) lv from lv", _ALL, _HOLED, _SIZE, _lv("select 9 n")))
+def local_variance_gaps(spark, sf_dir):
+    """Windows over bands with holes count the pixels that are there."""
+    return params.local_variance(_holed(spark, sf_dir), 9, tile=32).withColumn("lv", F.round("lv", 6))
+
+
+_SV_GAPS = (
+    """sums as (select p.band, lag::int lag, sum((d.dn - p.dn) * (d.dn - p.dn)) sd, sum((r.dn - p.dn) * (r.dn - p.dn)) sr, count(*) n
+    from pixels p, (select unnest(range(2, 64, 2)) lag) l join pixels d on d.band = p.band and d.x = p.x and d.y = p.y + lag join pixels r on r.band = p.band and r.y = p.y and r.x = p.x + lag group by 1, 2),
+    sv as (select band, lag, (sd + sr)::double / (4 * n) sv_avg from sums)""",
+)
+
+
+@query(
+    _sql(
+        """select hs_min, hs_max, hs_avg, round(min(hr))::int hr_min, round(max(hr))::int hr_max, round(avg(hr))::int hr_avg, (hs_min * hs_min // 2)::int m_min, (hs_max * hs_max // 2)::int m_max, (hs_avg * hs_avg // 2)::int m_avg
+        from hr, (select min(hs)::int hs_min, max(hs)::int hs_max, (sum(hs) // count(*))::int hs_avg from hs) group by all""",
+        _ALL, _HOLED, _SIZE, *_SV_GAPS, _HS, _lv("select (sum(hs) // count(*))::bigint n from hs"),
+    )
+)
+def optimal_params_gaps(spark, sf_dir):
+    """The nine parameters of bands with holes, for square windows."""
+    return params.optimal_parameters(_holed(spark, sf_dir), True, _LAGS)
+
+
+@query(_sql(f"select 0 band, y, x, arg_max(dn, image)::int dn from (select band image, y, (x + 40 * band)::int x, dn from all_pixels where not ({_HOLE}) and dn % 3 <> 0) group by y, x", _ALL))
+def mosaic_masked(spark, sf_dir):
+    """Images that overlap, with holes and masked pixels: there the next image shows through."""
+    dn = F.when(F.col("dn") % 3 != 0, F.col("dn"))
+    images = _holed(spark, sf_dir).select(F.col("band").alias("image"), F.lit(0).alias("band"), "y", "x", dn.alias("dn"))
+    places = spark.range(5).select(F.col("id").cast("int").alias("image"), (F.col("id") * 40).cast("int").alias("dx"), F.lit(0).alias("dy"), F.col("id").alias("priority"))
+    return raster.mosaic(images, F.broadcast(places))
+
+
 _BANDS = range(1, 6)
 _SPATIAL, _SPECTRAL, _ROUNDS, _LEAST = 2, 30.0, 4, 4
 _square = lambda a, b: " + ".join(f"({a}[{k}] - {b}[{k}]) * ({a}[{k}] - {b}[{k}])" for k in _BANDS)
@@ -532,6 +642,22 @@ def segment_delete(spark, sf_dir):
     return _segments(spark, sf_dir, True)
 
 
+@query(
+    _sql(
+        """select ((label // 1000000) * 2147483648 + label % 1000000)::bigint label, round(area, 3) area, round(perim, 4) perim, round(perim / area, 5) para, round(4 * pi() * area / (perim * perim), 5) compact2,
+        round(0.25 * perim / sqrt(area), 5) shape, round(case when area <= 1 or perim / 4 < 1 then 1.0 else 2 * ln(perim / 4) / ln(area) end, 5) frac from whole""",
+        _ALL, _HOLED, _mean_shift_sql(), _LINKED, f"big as (select id, label from lab1 where label in (select label from lab1 group by label having count(*) >= {_LEAST}))",
+        "high as (select id, label, 6378137.0::double * radians(0.0001::double) wide, 6378137.0::double * (ln(tan(pi() / 4 + radians(33.5 - 0.0001::double * (id // 1000000)) / 2)) - ln(tan(pi() / 4 + radians(33.5 - 0.0001::double * (id // 1000000 + 1)) / 2))) high from big)",
+        "sides as (select l.label, sum(case when n.label is null or n.label <> l.label then case when abs(d) = 1 then high else wide end else 0 end) perim from high l cross join (select unnest([1, -1, 1000000, -1000000]) d) left join big n on n.id = l.id + d group by 1)",
+        "whole as (select label, area, perim from (select label, sum(wide * high) area from high group by label) join sides using (label))", recursive=True,
+    )
+)
+def segment_metrics_mercator(spark, sf_dir):
+    """Segments of an image in degrees: their metrics are taken in web mercator."""
+    found = segment.segment(_holed(spark, sf_dir), _SPATIAL, _SPECTRAL, _LEAST, True, _ROUNDS, tile=32, transform=(-117.0, 0.0001, 33.5, -0.0001), srs="EPSG:4326")
+    return found.select("label", F.round("area", 3).alias("area"), F.round("perim", 4).alias("perim"), *_rounded(["para", "compact2", "shape", "frac"], 5))
+
+
 @query(_sql(_segments_sql(f"lab{_LEAST}"), _ALL, _HOLED, _mean_shift_sql(), _LINKED, "cells as (select id, c from smooth)", _merge_sql(_LEAST, 5), recursive=True))
 def segment_merge(spark, sf_dir):
     """The same with small segments merged."""

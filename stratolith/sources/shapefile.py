@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import io
-import math
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
 from itertools import accumulate, islice
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratolith.functions.geometry import EARTH_RADIUS
+from stratolith.functions.geometry import EARTH_RADIUS  # noqa: F401 (also known from here)
+from stratolith.functions.projections import ARRAYS, MERCATOR, Srs, inverse, parse
 
 #: Geometry as read: parts of rings of points. A line's parts have one ring each.
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
@@ -102,16 +103,32 @@ def _value(raw: bytes, kind: str, decimals: int):
     return text
 
 
-def _degrees(parts: list | None) -> list | None:
-    """Spherical web mercator metres as longitude and latitude."""
-    to = lambda x, y: (math.degrees(x / EARTH_RADIUS), math.degrees(2 * math.atan(math.exp(y / EARTH_RADIUS)) - math.pi / 2))
-    return parts and [[[to(x, y) for x, y in ring] for ring in part] for part in parts]
+def _system(text: str) -> Srs | None:
+    """The system that a package's .prj names; None for one that isn't known, whose shapes stay as they are."""
+    if not text:
+        return None
+    if any(word in text.lower() for word in _MERCATOR):
+        return MERCATOR
+    try:
+        return parse(text)
+    except ValueError:
+        return None
+
+
+def _degrees(parts: list | None, system: Srs) -> list | None:
+    """Shapes of a system as longitude and latitude."""
+
+    def turned(ring: list) -> list:
+        lon, lat = inverse(*np.array(ring, float).reshape(-1, 2).T, system, ARRAYS)
+        return list(zip(lon.tolist(), lat.tolist(), strict=True))
+
+    return parts and [[turned(ring) for ring in part] for part in parts]
 
 
 def _rows(data: bytes) -> Iterator[tuple[dict, list | None]]:
     """(attributes, parts) of each row of each shapefile in a package; deleted rows are left out.
 
-    Shapes in web mercator (by the package's .prj) come in degrees, all others as they are.
+    Shapes in web or transverse mercator (by the package's .prj) come in degrees, all others as they are.
     """
     with zipfile.ZipFile(io.BytesIO(data)) as package:
         names = {n.lower(): n for n in package.namelist()}
@@ -119,8 +136,7 @@ def _rows(data: bytes) -> Iterator[tuple[dict, list | None]]:
             if not low.endswith(".shp"):
                 continue
             table = package.read(names[low[:-4] + ".dbf"])
-            system = package.read(names[low[:-4] + ".prj"]).decode("latin-1").lower() if low[:-4] + ".prj" in names else ""
-            metres = any(word in system for word in _MERCATOR)
+            system = _system(package.read(names[low[:-4] + ".prj"]).decode("latin-1") if low[:-4] + ".prj" in names else "")
             fields, (n, begin, width) = _fields(table), struct.unpack_from("<IHH", table, 4)
             for i, shape in zip(range(n), _shapes(package.read(name)), strict=False):
                 row, at, out = table[begin + i * width : begin + (i + 1) * width], 1, {}
@@ -128,7 +144,7 @@ def _rows(data: bytes) -> Iterator[tuple[dict, list | None]]:
                     out[field] = _value(row[at : at + size], kind, decimals)
                     at += size
                 if row[:1] != b"*":
-                    yield out, _degrees(shape) if metres else shape
+                    yield out, _degrees(shape, system) if system and system.kind != "degrees" else shape
 
 
 def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$") -> DataFrame:
@@ -137,7 +153,7 @@ def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$") -> D
     The first package by path fixes the columns, as a table that it creates
     would; packages that lack one give null, and more than those are left
     out. Geometry comes as ``geom``, always in parts (lines too), in the
-    packages' own coordinates but for web mercator, which becomes degrees;
+    packages' own coordinates but for web and transverse mercator (UTM), which become degrees;
     shapes of other kinds are null. An attribute
     of that name is called ``geom_`` instead. One task reads a package at a
     time. Without a package there are no rows, and ``geom`` is the one column.

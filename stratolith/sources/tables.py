@@ -48,5 +48,11 @@ def load_segments(segments: DataFrame, path: str, year: int, job: str) -> DataFr
 
 def write_images(images: DataFrame, path: str, side: int = 256) -> DataFrame:
     """Write pixels (image, band, y, x, dn) as a table of tiles at ``path``, and read it back: an image's window reads the tiles that it needs."""
-    raster.to_tiles(images, side).repartition("image").sortWithinPartitions("image", "ty", "tx", "band").write.mode("overwrite").parquet(path)
-    return images.sparkSession.read.parquet(path)
+    return write_tiles(raster.to_tiles(images, side), path)
+
+
+def write_tiles(tiles: DataFrame, path: str) -> DataFrame:
+    """Write a table of tiles at ``path`` in ranges of (image, ty, tx), so that a large image is written by many tasks, and read it back."""
+    order = ["image", "ty", "tx", "band"]
+    tiles.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return tiles.sparkSession.read.parquet(path)
