@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratolith.storage import own
@@ -89,7 +89,7 @@ def _dictionary(texts: list[str]) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
-    """Fit on at most ``sample`` labelled rows of each label that aren't held out.
+    """Fit on at most ``sample`` rows of each label that aren't held out, whatever rows share a labelled id.
 
     Two thirds of each label's sample make its dictionary, the rest (weighted
     back to the labels' true shares) calibrates. Without any labelled row every
@@ -102,8 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compression
     for quality in (0, 1):
         part = known.where(F.col("quality") == quality).orderBy(*order).limit(sample)
         picked = part if picked is None else picked.union(part)
-    # At most 2 x sample ids: a proven bound for the broadcast.
-    rows = own(docs, doc_id="doc_id", text="text").join(F.broadcast(picked.dropDuplicates(["doc_id", "quality"])), "doc_id").collect()
+    # At most 2 x sample ids: a proven bound for the broadcast. An id may stand on many rows, so the joined rows are counted too.
+    joined = own(docs, doc_id="doc_id", text="text").join(F.broadcast(picked.dropDuplicates(["doc_id", "quality"])), "doc_id")
+    place = Window.partitionBy("quality").orderBy(*order, F.xxhash64("text"))
+    rows = joined.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample).select("doc_id", "quality", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
     texts = {q: [r["text"] or "" for r in rows if r["quality"] == q] for q in (0, 1)}
     if not rows:
