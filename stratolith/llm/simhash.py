@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -14,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratolith.operators.components import connected_components
-from stratolith.storage import cut, own, small, unused
-from .tiles import deal, forest, plan
+from stratolith.storage import cut, own, small, spread, unused
+from .tiles import VISITORS, deal, forest, plan
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
-#: Rows of a tile that one task compares with one another; larger tiles are cut into blocks.
-BLOCK = 2048
+#: Least rows of a block, and meetings of blocks that a task has where there are more of them than tiles.
+BLOCK, MEETINGS = 2048, 40
 #: Texts (keys of 16 bytes) up to which what is known of them is broadcast to the documents; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -101,28 +102,50 @@ class _Prints:
         return cls(fp.view(np.uint64), rep)
 
     def near(self, home: _Prints, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        for i in range(0, len(self.fp), 256):
-            close = np.bitwise_count(self.fp[i : i + 256, None] ^ home.fp[None, :]) <= radius
+        step = min(256, max(1, (1 << 20) // max(len(home.fp), 1)))
+        for i in range(0, len(self.fp), step):
+            close = np.bitwise_count(self.fp[i : i + step, None] ^ home.fp[None, :]) <= radius
             # Every member is close to itself.
             for row in np.flatnonzero(close.sum(axis=1) > (self is home)).tolist():
                 yield i + row, np.flatnonzero(close[row])
 
 
+def block_size(counts: DataFrame, steps: list[int], least: int = BLOCK) -> int:
+    """Rows of a block for tiles of these sizes (tile, n): ``least``, or as many as leave about ``MEETINGS`` of them for each task.
+
+    A row goes to each part that its tile's visitors are dealt into. Blocks
+    that grow with the tiles keep those parts, and so what is shuffled for a
+    row, to the root of the number of tasks, however many rows there are.
+    """
+    moved = counts.withColumn("step", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("to", F.col("tile") + F.col("step"))
+    met = moved.groupBy("to").agg(F.max(F.when(F.col("step") == 0, F.col("n"))).alias("own"), F.sum("n").alias("all"))
+    pairs = met.agg(F.sum(F.col("own").cast("double") * F.col("all"))).first()[0] or 0.0
+    return max(least, math.ceil(math.sqrt(pairs / (VISITORS * MEETINGS * spread(counts)))))
+
+
 def near_links(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all representatives within ``radius`` bits, directly or by others.
 
     ``reps`` has one row (fp, rep) for each distinct fingerprint. The search is
     exact: every two fingerprints within the radius meet in one task, where
-    exclusive-or and bit counts compare whole blocks; tiles whose population
-    counts differ beyond the radius are never sent to each other. A task
-    returns a spanning forest of what it found, not all pairs.
+    exclusive-or and bit counts compare whole blocks (of ``block`` rows or
+    more, see ``block_size``); tiles whose population counts differ beyond the
+    radius are never sent to each other. A task returns a spanning forest of
+    what it found, not all pairs.
     """
+    return dealt(reps, radius, block).mapInArrow(forest(_Prints.load, partial(_Prints.near, radius=radius)), "a long, b long")
+
+
+def dealt(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """The rows of ``near_links`` as they are dealt to tasks."""
     steps = _steps(radius)
     tiled = reps.withColumn("tile", _tile(F.col("fp")).cast("long"))
     # At most 17**4 = 83,521 rows, however many documents there are.
-    sizes = F.broadcast(plan(tiled.groupBy("tile").agg((F.count("*") / block).alias("need")), steps))
+    counts = cut(tiled.groupBy("tile").agg(F.count("*").alias("n")), "tiles")
+    size = block_size(counts, steps, block)
+    sizes = F.broadcast(plan(counts.select("tile", (F.col("n") / size).alias("need")), steps))
     sent = tiled.withColumn("visits", F.explode(F.array(*[F.lit(x).cast("long") for x in [0, *steps]]))).withColumn("tile", F.col("tile") + F.col("visits"))
-    return deal(sent.join(sizes, "tile"), ["fp", "rep"]).mapInArrow(forest(_Prints.load, partial(_Prints.near, radius=radius)), "a long, b long")
+    return deal(sent.join(sizes, "tile"), ["fp", "rep"])
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
