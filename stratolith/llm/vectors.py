@@ -267,7 +267,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
 
     n_links counts the other rows linked directly: those of the same vector,
     and all copies of vectors of the same length with a cosine of ``cosine`` or
-    more, in double precision. Equal vectors are one representative. Each
+    more, in double precision. Equal vectors are one representative, and rows
+    link by their vectors alone: an id on several vectors doesn't join them. Each
     length is searched by lists and codes of its own. Vectors that are null,
     zero or not finite link with nothing at all. Rows with a
     null vec_id are returned with their links, and stand for nothing; the
@@ -281,8 +282,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     usable = F.coalesce(F.col("v").isNotNull() & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda e: e + F.lit(0.0))))
-    classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.where("rep is not null").select("rep", "copies", "v")
+    # A class's node is a number of its own: one id may stand on several vectors.
+    equal = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = cut(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.where("least is not null").select("rep", "copies", "v")
     # A row for each length; one with a single representative has nothing to search.
     sizes = {r["d"]: r["count"] for r in reps.groupBy(F.size("v").alias("d")).count().where("count > 1").collect()}
     if not sizes:
@@ -299,10 +302,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         linked = cut(found, "links")
     groups = connected_components(linked, "rep", "on")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = (
-        classes.join(counts, "rep", "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = cut(classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("v", "least", "component", "links", "copies"), "joined")
+    smallest = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
+    named = joined.join(smallest, "component", "left").select(
+        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id")
     )
     # Written, so that the join deals both sides itself and Spark can split a very common vector.
     named = cut(named, "vectors")
