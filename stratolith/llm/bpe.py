@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .tokens import slices
 
-#: Distinct words, and distinct stretches between blanks, that a task remembers.
-REMEMBERED = 1_000_000
+#: Distinct words that a task remembers.
+REMEMBERED = 250_000
+#: Texts whose words are encoded together.
+TOGETHER = 1000
 #: A rank beyond all others: the pair doesn't merge.
 _NEVER = np.int64(1) << 40
 _LOW = (np.int64(1) << 32) - 1
@@ -179,7 +181,6 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         self.vocabulary, self.find = vocabulary(path), regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def learn(self, found: list[list[str]]) -> None:
         """Encode the words that aren't known yet, all in one replay."""
@@ -202,13 +203,6 @@ class Encoder:
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in found]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        new = [p for p in parts if p not in self.parts]
-        self.parts.update(zip(new, self._ids(new), strict=True))
-        return [self.parts[p] for p in parts]
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, where each text's begin and the last's end); null texts are empty."""
         texts = pc.fill_null(texts, "")
@@ -222,7 +216,7 @@ class Encoder:
         blank = pa.array(["", " "]).take(pa.array(np.where(first, 0, 1)))
         coded = pc.binary_join_element_wise(blank, flat, "").dictionary_encode()
         parts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        runs = self._parts(parts)
+        runs = self._ids(parts)
         open_ = np.fromiter((p[-1:].isspace() for p in parts), bool, len(parts))[codes]
         open_[at[1:] - 1] = False  # nothing follows a text's last part
         whole = np.flatnonzero(np.add.reduceat(open_, at[:-1]))
@@ -248,29 +242,47 @@ def others(df: DataFrame, name: str, *dropped: str) -> tuple[DataFrame, str]:
     return df.select(F.col(quoted[name]).alias("_0"), *[F.col(quoted[c]).alias(f"_{i}") for i, c in enumerate(kept, 1)]), ddl
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``TOGETHER`` texts, or fewer longer ones."""
+    for batch in batches:
+        for part in slices(batch, 0):
+            for i in range(0, part.num_rows, TOGETHER):
+                yield part.slice(i, TOGETHER)
+
+
+def _packed(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The ids of each text as binary."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+
+
+def _decoded(packed: pa.Array, path: str) -> pa.Array:
+    token = vocabulary(path).bytes_of.__getitem__
+    return pa.array([b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in packed], pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns of ``docs`` but its text, and the ids of each whole text as the tiktoken library gives them.
 
-    ``ids`` is binary: little-endian unsigned 32-bit integers in a row. Every
-    match of ``pattern`` is encoded separately; strings of special tokens are
-    ordinary text. A task's distinct words are encoded together, a slice of
-    its texts at a time (``tokens.TOGETHER_BYTES``, or one longer text).
+    ``ids`` is binary: little-endian unsigned 32-bit integers in a row. With a
+    name for it, ``decoded`` has the bytes that those ids stand for once more
+    (see ``decode``). Every match of ``pattern`` is encoded separately; strings
+    of special tokens are ordinary text. The distinct words of a part of a
+    task's texts (``TOGETHER``, or one long text) are encoded together.
     Null and empty texts have no ids. Repeated rows stay repeated, an empty
-    table gives an empty result, and a column called like ``ids`` gives way.
+    table gives an empty result, and columns called like results give way.
     The pattern's classes are those of the ``regex`` library.
     """
-    rows, ddl = others(docs, text, ids)
-    names = [c for c in docs.columns if c not in (text, ids)]
+    results = [ids] if decoded is None else [ids, decoded]
+    rows, ddl = others(docs, text, *results)
+    names = [c for c in docs.columns if c not in (text, *results)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
-        for batch in batches:
-            for part in slices(batch, 0):
-                out, bounds = encoder.encode(part.column(0))
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], data], [*names, ids])
+        for part in _parts(batches):
+            packed = _packed(*encoder.encode(part.column(0)))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], packed, *([] if decoded is None else [_decoded(packed, path)])], [*names, *results])
 
-    return rows.mapInArrow(each, f"{ddl}`{ids}` binary")
+    return rows.mapInArrow(each, ddl + ", ".join(f"`{r}` binary" for r in results))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -283,10 +295,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     names = [c for c in rows.columns if c not in (ids, decoded)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).bytes_of.__getitem__
-        for batch in batches:
-            for part in slices(batch, 0):
-                data = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in pc.fill_null(part.column(0), b"").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], part.column(0), pa.array(data, pa.binary())], [*names, ids, decoded])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], part.column(0), _decoded(part.column(0), path)], [*names, ids, decoded])
 
     return inner.mapInArrow(each, f"{ddl}`{ids}` binary, `{decoded}` binary")
