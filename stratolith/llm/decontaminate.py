@@ -82,10 +82,10 @@ def looked_up(wanted: DataFrame, words: int, least: float):
     for r in marks.toLocalIterator():
         table[r["at"]] = r["bits"]
     known = F.lit(table)
-    hashes = F.array_distinct(_shingles(F.col("text"), words, F.xxhash64))
+    hashes = _shingles(F.col("text"), words, F.xxhash64)
 
     def asked(found):
-        # Items of class c have 2**c shingles at least.
+        # Items of class c have 2**c shingles at least; repeated ones only make the document look longer.
         enough = F.floor(F.log2((F.size(found) / least).cast("double")) + 1e-9)
         classes = (F.pow(F.lit(2), F.least(enough, F.lit(CLASSES - 1)) + 1) - 1).cast("int")
         mark = lambda h: F.ascii(F.substring(known, (F.pmod(h, F.lit(places)) + 1).cast("int"), F.lit(1)).cast("string"))
