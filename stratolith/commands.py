@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolith.functions import geometry
-from stratolith.operators import catalog, params, raster, segment, warp
+from stratolith.operators import catalog, overlay, params, raster, segment, virtual, warp
 from stratolith.operators.metrics import METRICS
 from stratolith.sources import shapefile, tables
 from stratolith.sources.states import FIPS
@@ -82,22 +82,28 @@ def tiles_of_area(tiles: DataFrame, regions: DataFrame, area: str, states: dict[
     if wanted.kind == "state":
         return tiles.where(F.upper("st") == F.lit(states.get(wanted.value, "").upper()))
 
-    def parts(df: DataFrame) -> Column:
-        if "geom" in df.columns:
-            return df["geom"]
-        return F.array(df["rings"] if "rings" in df.columns else F.array(geometry.rectangle(*[df[c] for c in ("xmin", "ymin", "xmax", "ymax")])))
-
-    mine, theirs = unused(tiles, "outline"), unused(tiles, "region")
-    region = regions.where(F.col("geoid") == wanted.value).select("xmin", "ymin", "xmax", "ymax", parts(regions).alias(theirs))
-    both = catalog.grid_join(tiles.withColumn(mine, parts(tiles)), region, cell)
-    shared = F.exists(mine, lambda a: F.exists(theirs, lambda b: F.coalesce(geometry.intersects(a, b), F.lit(False))))
-    return both.where(shared).select(*tiles.columns).dropDuplicates(["gid"])
+    region = regions.where(F.col("geoid") == wanted.value)
+    outline, key = unused(tiles, "rings"), unused(tiles, "region")
+    boxes = region.select("xmin", "ymin", "xmax", "ymax", F.monotonically_increasing_id().alias(key))
+    # Boxes first: only tiles near the region send their edges.
+    near = catalog.grid_join(tiles.select("gid", "xmin", "ymin", "xmax", "ymax", overlay.outline_of(tiles).alias(outline)), boxes, cell).dropDuplicates(["gid"]).select("gid", F.col(outline).alias("rings"))
+    theirs = region.select(F.lit(0).alias("region"), overlay.outline_of(region).alias("rings"))
+    return tiles.join(overlay.shared(near, theirs, "gid", "region", cell).select("gid").distinct(), "gid", "left_semi").select(*tiles.columns)
 
 
 def tiles_around(tiles: DataFrame, lat: float, lon: float, pixels: int, zoom: float = 1.0) -> DataFrame:
-    """The tiles that an image of that many pixels around a place needs, with a margin of 100 pixels."""
+    """The tiles that an image of that many pixels around a place needs, with a margin of 100 pixels.
+
+    Tiles with an outline (``geom`` or ``rings``) are judged by it, as a tilted
+    one's box reaches farther than the tile; others by their boxes.
+    """
     d = (pixels / 2 + 100) * DEGREES_PER_PIXEL * zoom
-    return tiles.where(catalog.in_box((lon - d, lat - d, lon + d, lat + d)))
+    near = tiles.where(catalog.in_box((lon - d, lat - d, lon + d, lat + d)))
+    if "geom" not in tiles.columns and "rings" not in tiles.columns:
+        return near
+    box = F.array(geometry.rectangle(*[F.lit(v) for v in (lon - d, lat - d, lon + d, lat + d)]))
+    shapes = near["geom"] if "geom" in tiles.columns else F.array(near["rings"])
+    return near.where(F.exists(shapes, lambda rings: F.coalesce(geometry.intersects(rings, box), F.lit(False))))
 
 
 def plan_fetch(tiles: DataFrame, regions: DataFrame, log: DataFrame, area: str, states: dict[str, str], default: str = "") -> DataFrame:
@@ -147,11 +153,85 @@ def optimal_parameters_of(images: DataFrame, rasters: DataFrame, lat: float, lon
     return optimal_parameters_at(whole, left, top, side, bands, boxy)
 
 
-def segment_area(pixels: DataFrame, path: str, year: int, job: str, spatial: int = 16, spectral: float = 16.0, least: int = 100, delete: bool = False, transform: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Segment an image and load the result as that year's and job's part of the table at ``path``."""
-    if spatial < 1 or spectral <= 0 or least < 0 or not job:
-        raise ValueError("the radii must be positive, the least size not negative, and the job named")
-    return tables.load_segments(segment.segment(pixels, spatial, spectral, least, delete, transform=transform), path, year, job)
+def segment_area(
+    pixels: DataFrame, path: str, year: int, job: str, spatial: int = 16, spectral: float = 16.0, least: int = 100, delete: bool = False, transform: tuple[float, float, float, float] | None = None,
+    srs: str | None = "EPSG:4326", iterations: int = 100, threshold: float = 0.1, ramp: float = 0.0, tile: int = segment.TILE,
+) -> DataFrame:
+    """Segment an image and load the result as that year's and job's part of the table at ``path``.
+
+    With a ``transform`` rings are in the world's units, and metrics in web
+    mercator; with ``srs`` None they are in the rings' units.
+    """
+    if spatial < 1 or spectral <= 0 or least < 0 or iterations < 1 or threshold < 0 or ramp < 0 or tile < 1 or not job:
+        raise ValueError("radii, sizes and iterations must be positive, the least size, threshold and ramp not negative, and the job named")
+    return tables.load_segments(segment.segment(pixels, spatial, spectral, least, delete, iterations, threshold, tile, transform, srs, ramp), path, year, job)
+
+
+def index_of_area(images: DataFrame, rasters: DataFrame, tiles: DataFrame, path: str, side: int = raster.SIDE) -> tuple[DataFrame, tuple[float, float, float, float], tuple[int, int], str]:
+    """(index of the mosaic of the chosen tiles' images, its transform, its width and height, its coordinate system).
+
+    ``images`` and their ``rasters`` are numbered by the catalogue's gid; all
+    must have one pixel size and one system. The index is written at ``path``
+    (see ``virtual.write_index``); later gids lie on top. Only the grid's few
+    numbers come to the driver.
+    """
+    gids = tiles.select(F.col("gid").alias("image"))
+    some = rasters.join(gids, "image", "left_semi")
+    grid = some.agg(F.min("x0").alias("x0"), F.first("dx").alias("dx"), F.max("y0").alias("y0"), F.first("dy").alias("dy"), F.count_distinct("dx", "dy", "srs").alias("n"), F.first("srs").alias("srs")).first()
+    if grid["n"] != 1:
+        raise ValueError("the area has no image" if not grid["n"] else f"{grid['n']} pixel sizes or systems among the images")
+    shift = lambda c, d: F.round((F.col(c) - grid[c]) / grid[d]).cast("int")
+    places = some.select("image", shift("x0", "dx").alias("dx"), shift("y0", "dy").alias("dy"), F.col("image").alias("priority"), "width", "height")
+    size = places.agg(F.max(F.col("dx") + F.col("width")).alias("w"), F.max(F.col("dy") + F.col("height")).alias("h")).first()
+    index = virtual.write_index(raster.to_tiles(images.join(gids, "image", "left_semi"), side), places, path)
+    return index, (grid["x0"], grid["dx"], grid["y0"], grid["dy"]), (int(size["w"]), int(size["h"])), grid["srs"]
+
+
+def segment_of_area(
+    images: DataFrame, rasters: DataFrame, tiles: DataFrame, regions: DataFrame, log: DataFrame, area: str, states: dict[str, str], path: str, year: int, job: str, index: str,
+    spatial: int = 16, spectral: float = 16.0, least: int = 100, delete: bool = False, bands: list[int] | None = None, optimal: str | None = None, side: int = 1024,
+    iterations: int = 100, threshold: float = 0.1, ramp: float = 0.0, tile: int = segment.TILE, boxy: bool = True, default: str = "", cell: float = 1.0,
+) -> DataFrame:
+    """An area's segments, loaded as that year's and job's part of the table at ``path``.
+
+    The area's tiles that are here are laid into one mosaic (its index goes to
+    ``index``), which is segmented; metrics are taken in web mercator. With
+    ``optimal`` (min, max or avg) radii and least size come from the mosaic's
+    middle, ``side`` pixels square at most. Arguments are checked before
+    anything is read.
+    """
+    if optimal not in (None, "min", "max", "avg"):
+        raise ValueError(f"not a choice: {optimal}")
+    if spatial < 1 or spectral <= 0 or least < 0 or iterations < 1 or threshold < 0 or ramp < 0 or side < 1 or tile < 1 or not job:
+        raise ValueError("radii, sizes and iterations must be positive, the least size, threshold and ramp not negative, and the job named")
+    if bands is not None and (not bands or min(bands) < 0):
+        raise ValueError("bands are numbers from 0 on")
+    chosen = catalog.here(tiles_of_area(tiles, regions, area, states, default, cell), log)
+    found, transform, (w, h), srs = index_of_area(images, rasters, chosen, index)
+    whole = lambda x0, y0, a, b: raster.select_bands(virtual.window(found, x0, y0, a, b, bands), bands) if bands else virtual.window(found, x0, y0, a, b)
+    if optimal:
+        side = min(side, w, h)
+        best = params.optimal_parameters(whole(w // 2 - side // 2, h // 2 - side // 2, side, side), boxy).first()
+        spatial, spectral, least = best[f"hs_{optimal}"], float(best[f"hr_{optimal}"]), best[f"m_{optimal}"]
+    made = segment.segment(whole(0, 0, w, h), spatial, spectral, least, delete, iterations, threshold, tile, transform, srs, ramp)
+    return tables.load_segments(made, path, year, job)
+
+
+def optimal_parameters_of_area(
+    images: DataFrame, rasters: DataFrame, tiles: DataFrame, regions: DataFrame, log: DataFrame, area: str, states: dict[str, str], index: str, lat: float | None = None, lon: float | None = None,
+    side: int = 512, bands: list[int] | None = None, boxy: bool = True, default: str = "", cell: float = 1.0,
+) -> DataFrame:
+    """The nine parameters of ``side`` pixels square around a place (without one the middle) of the mosaic of an area's tiles that are here."""
+    if side < 1 or (lat is None) != (lon is None):
+        raise ValueError("the side must be positive, and a place has both lat and lon")
+    chosen = catalog.here(tiles_of_area(tiles, regions, area, states, default, cell), log)
+    found, (x0, dx, y0, dy), (w, h), _ = index_of_area(images, rasters, chosen, index)
+    side = min(side, w, h)
+    left, top = (w // 2 - side // 2, h // 2 - side // 2) if lat is None else (int((lon - x0) / dx - side // 2), int((lat - y0) / dy - side // 2))
+    if left >= w or top >= h or left + side <= 0 or top + side <= 0:
+        raise ValueError("the place lies outside of the mosaic")
+    pixels = virtual.window(found, left, top, side, side, bands)
+    return params.optimal_parameters(raster.select_bands(pixels, bands) if bands else pixels, boxy)
 
 
 def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, delete: bool = False, boxy: bool = False) -> DataFrame:
@@ -163,14 +243,20 @@ def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, del
 
 
 def process_tiles(images: DataFrame, path: str, grids: dict[int, tuple]) -> DataFrame:
-    """Normalise delivered images and write them as a table of tiles at ``path``; ``grids`` has the other arguments of ``raster.normalise`` by image."""
-    done = None
-    for number, grid in sorted(grids.items()):
-        one = raster.normalise(images.where(F.col("image") == number).drop("image"), *grid).withColumn("image", F.lit(number))
-        done = one if done is None else done.unionByName(one)
-    if done is None:
+    """Normalise delivered images and write them as a table of tiles at ``path``; ``grids`` has the other arguments of ``raster.normalise`` by image.
+
+    Grids become a table, and the plan is the same for any number of them. A
+    projection is none or ``raster.to_mercator``; ``normalise_images`` takes
+    images of any known system.
+    """
+    if not grids:
         raise ValueError("no image")
-    return tables.write_images(done, path)
+    if any(len(g) > 4 and g[4] not in (None, raster.to_mercator) for g in grids.values()):
+        raise ValueError("not a known projection")
+    rows = [(n, *map(float, g[3]), "EPSG:3857" if len(g) > 4 and g[4] else "EPSG:4326", *map(float, g[2]), g[0], g[1]) for n, g in sorted(grids.items())]
+    schema = "image int, x0 double, dx double, y0 double, dy double, srs string, ox0 double, odx double, oy0 double, ody double, ow int, oh int"
+    table = images.sparkSession.createDataFrame(rows, schema)
+    return tables.write_tiles(warp.normalised(raster.to_tiles(images), table), path)
 
 
 def normalise_images(images: DataFrame, grids: DataFrame, path: str, side: int = raster.SIDE, factors: tuple[int, ...] = raster.OVERVIEWS, log: str | None = None) -> tuple[DataFrame, DataFrame]:

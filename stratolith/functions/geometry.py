@@ -155,7 +155,8 @@ def _between(a: Column, b: Column, p: Column) -> Column:
     return (p["x"] >= F.least(a["x"], b["x"])) & (p["x"] <= F.greatest(a["x"], b["x"])) & (p["y"] >= F.least(a["y"], b["y"])) & (p["y"] <= F.greatest(a["y"], b["y"]))
 
 
-def _cross(e: Column, f: Column) -> Column:
+def edges_cross(e: Column, f: Column) -> Column:
+    """Whether two edges (struct<a, b> of points) share a point, their ends included."""
     a, b, c, d = e["a"], e["b"], f["a"], f["b"]
     s1, s2, s3, s4 = _side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b)
     touch = ((s1 == 0) & _between(a, b, c)) | ((s2 == 0) & _between(a, b, d)) | ((s3 == 0) & _between(c, d, a)) | ((s4 == 0) & _between(c, d, b))
@@ -183,6 +184,6 @@ def intersects(a: Column, b: Column) -> Column:
     """Whether two polygons share a point, their edges included; null where one of them is."""
     edges = lambda rings: F.flatten(F.transform(rings, _edges))
     first = lambda rings: F.get(F.get(rings, F.lit(0)), F.lit(0))
-    crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: _cross(e, f)))
+    crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: edges_cross(e, f)))
     # An empty polygon has no first point, and shares none.
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(crossing | holds(a, first(b)) | holds(b, first(a)), F.lit(False)))

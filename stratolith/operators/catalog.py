@@ -145,6 +145,11 @@ def profile(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.agg(*parts).select(F.inline(F.array(*rows)))
 
 
+def cells_between(low: Column, high: Column, cell: float) -> Column:
+    """The numbers of the grid's cells from one place to another."""
+    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+
+
 def grid_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """All pairs of rows whose boxes overlap, by an equi-join on grid cells.
 

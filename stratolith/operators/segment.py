@@ -14,11 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratolith.functions import geometry as g
 from stratolith.storage import cut, cut_at, remove, spread
 
+from . import outlines
 from .components import connected_components
 from .metrics import with_metrics
 
@@ -297,13 +297,22 @@ def merge_regions(regions: DataFrame, edges: DataFrame, sums: list[str], least:
     has (label, other) in both directions. By increasing size, all regions of
     the least size join the neighbour of nearest mean colour (the smaller label
     on a tie; distances count to six decimals), and the graph shrinks: pixels
-    aren't touched. A region's label is the least of its members'. What joined
+    aren't touched. A region's label is the least of its members'. A round
+    writes only what small regions border on, so less and less. What joined
     what is only logged, and resolved once at the end: a region's label is the
     least that its log leads to.
     """
     spark = regions.sparkSession
-    (now, a), (links, b), log = cut_at(regions, "regions"), cut_at(edges, "beside"), []
-    labels, first = now.select("label"), a
+    labels = cut(regions, "regions")
+
+    def written(regions: DataFrame, edges: DataFrame) -> tuple[tuple[DataFrame, str], tuple[DataFrame, str]]:
+        """The borders with a small region on either side, and the regions beside them: all that later rounds may need."""
+        tiny = regions.where(F.col("n") < least).select("label")
+        sides = edges.join(tiny.withColumn("here", F.lit(True)), "label", "left").join(tiny.select(F.col("label").alias("other"), F.lit(True).alias("there")), "other", "left")
+        kept = cut_at(sides.where("here or there").select("label", "other"), "beside")
+        return cut_at(regions.join(kept[0].select("label").distinct(), "label", "left_semi"), "regions"), kept
+
+    ((now, a), (links, b)), log = written(labels, edges), []
     while True:
         small = now.where(F.col("n") < least).join(links.select("label").distinct(), "label", "left_semi").agg(F.min("n")).first()[0]
         if small is None:
@@ -318,11 +327,12 @@ def merge_regions(regions: DataFrame, edges: DataFrame, sums: list[str], least:
         new = now.join(groups, "label", "left").groupBy(to.alias("label")).agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
         ends = links.join(groups, "label", "left").select(to.alias("label"), "other").join(groups.select(F.col("label").alias("other"), F.col("component").alias("there")), "other", "left")
         joined = ends.select("label", F.coalesce("there", "other").alias("other")).where("label <> other").distinct()
-        old = [p for p in (a, b) if p != first]
-        (now, a), (links, b) = cut_at(new, "regions"), cut_at(joined, "beside")
+        old = (a, b)
+        (now, a), (links, b) = written(new, joined)
         remove(spark, *old)
+    labels = labels.select("label")
     if not log:
-        return labels.select("label", F.col("label").alias("whole"))
+        return labels.withColumn("whole", F.col("label"))
     every = log[0]
     for more in log[1:]:
         every = every.unionByName(more)
@@ -347,43 +357,6 @@ def merge_small(labels: DataFrame, image: DataFrame, least: int, bands: int | No
     return labels.join(merge_regions(stats, neighbours(labels), sums, least), "label").select("y", "x", F.col("whole").alias("label"))
 
 
-def _assemble(edges: Iterator[tuple]) -> list[list[tuple[int, int]]]:
-    """Closed rings of directed pixel sides; where two meet in a corner, the sharper right turn is taken."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in edges:
-        out.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    while out:
-        start = min(out)
-        ring, at, came = [start], start, None
-        while True:
-            options = out[at]
-            if came is None or len(options) == 1:
-                to = options.pop()
-            else:
-                dx, dy = at[0] - came[0], at[1] - came[1]
-                to = max(options, key=lambda p: dx * (p[1] - at[1]) - dy * (p[0] - at[0]))
-                options.remove(to)
-            if not options:
-                del out[at]
-            came, at = at, to
-            if at == start:
-                break
-            ring.append(at)
-        turns = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
-        rings.append([*turns, turns[0]])
-    return rings
-
-
-_RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
-
-
-def _rings(sides: list[tuple]) -> list[list[dict]]:
-    """The rings of one region, that of the largest area first."""
-    size = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r[:-1], r[1:], strict=True)))
-    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in sorted(_assemble(sides), key=size, reverse=True)]
-
-
 def boundaries(labels: DataFrame) -> DataFrame:
     """label, x0, y0, x1, y1 (and band, where labels have one): the pixel sides between a region and what isn't it, inside on the left of the way."""
     keys = _keys(labels)
@@ -400,20 +373,19 @@ def boundaries(labels: DataFrame) -> DataFrame:
     return marked.select(*keys, "label", F.explode(sides).alias("s")).where("s is not null").select(*keys, "label", "s.*")
 
 
-def vectorise(labels: DataFrame) -> DataFrame:
+def vectorise(labels: DataFrame, tile: int = TILE) -> DataFrame:
     """label, rings (and band, where labels have one): the polygon of every region, shell first.
 
-    A task assembles one region's sides; that row is as large as the polygon
-    that it becomes.
+    Tasks assemble ways within tiles, which are then put in order across tiles
+    (see ``outlines``); a region's row is no larger than its polygon.
     """
-    keys = _keys(labels)
-
-    @F.pandas_udf(_RINGS)
-    def rings(regions: pd.Series) -> pd.Series:
-        return pd.Series([_rings([(s["x0"], s["y0"], s["x1"], s["y1"]) for s in sides]) for sides in regions])
-
-    sides = boundaries(labels).groupBy(*keys, "label").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides"))
-    return sides.select(*keys, "label", rings("sides").alias("rings"))
+    keys = [*_keys(labels), "label"]
+    # A side is its pixel's: the one on whose left the inside lies.
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    px, py = F.least("x0", "x1") - F.when(dy > 0, 1).otherwise(0), F.least("y0", "y1") - F.when(dx < 0, 1).otherwise(0)
+    sides = boundaries(labels).withColumns({"tx": F.floor(px / tile).cast("int"), "ty": F.floor(py / tile).cast("int")})
+    whole = [F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    return outlines.assembled(sides.select(*keys, *whole, "ty", "tx"), keys, tile)
 
 
 def segment(
@@ -448,7 +420,7 @@ def segment(
     else:
         labels = merge_small(cut(labels, "linked"), image, least, len(bands))
     labels = cut(labels.select("y", "x", "label"), "segments")
-    shapes = vectorise(labels)
+    shapes = vectorise(labels, tile)
     if transform:
         x0, dx, y0, dy = transform
         shapes = shapes.withColumn("rings", g.mapped(F.col("rings"), lambda p: (x0 + p["x"] * dx, y0 + p["y"] * dy)))

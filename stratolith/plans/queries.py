@@ -11,7 +11,7 @@ from stratolith import commands
 from stratolith.functions import geometry as g
 from stratolith.functions.circle import convex_hull, group_circles
 from stratolith.functions.projections import forward, inverse, utm
-from stratolith.operators import catalog, params, raster, segment, warp
+from stratolith.operators import catalog, overlay, params, raster, segment, virtual, warp
 from stratolith.operators.metrics import METRICS, with_metrics
 from stratolith.sources import adapters as ad
 from stratolith.sources import shapefile, tables
@@ -227,6 +227,31 @@ def point_expand_tiles(spark, sf_dir):
     return ad.catalogue(spark, sf_dir).where(catalog.in_box((20.4 - 1.5, 11.2 - 1.5, 20.4 + 1.5, 11.2 + 1.5))).select("gid", "filename")
 
 
+@query(_sql("select gid, filename from catalogue where xmin <= 21.9 and xmax >= 18.9 and ymin <= 12.7 and ymax >= 9.7 and greatest(18.9 - xmin, 0) + greatest(9.7 - ymin, 0) <= 1", "catalogue"))
+def point_expand_polygon(spark, sf_dir):
+    """Tiles whose outline is the lower left half of their box, around a place: some boxes reach it where the tile doesn't."""
+    at = lambda x, y: g.point(F.col(x), F.col(y))
+    tiles = ad.catalogue(spark, sf_dir).withColumn("rings", F.array(F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmin", "ymax"), at("xmin", "ymin"))))
+    # 1.5 degrees on every side of (20.4, 11.2).
+    pixels = 2 * (1.5 / commands.DEGREES_PER_PIXEL - 100)
+    return commands.tiles_around(tiles, 11.2, 20.4, pixels).select("gid", "filename")
+
+
+@query(
+    _sql(
+        """select gid, geoid from catalogue c join regions r on c.xmin <= r.xmax and c.xmax >= r.xmin and c.ymin <= r.ymax and c.ymax >= r.ymin
+        where (greatest(c.xmin, r.xmin) - r.xmin) / (r.xmax - r.xmin) + (greatest(c.ymin, r.ymin) - r.ymin) / (r.ymax - r.ymin) <= 1""",
+        "catalogue", "regions",
+    )
+)
+def spatial_join_edges(spark, sf_dir):
+    """All tiles with all counties, triangles here, by the edges in shared cells."""
+    at = lambda x, y: g.point(F.col(x), F.col(y))
+    counties = ad.regions(spark, sf_dir).withColumn("rings", F.array(F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmin", "ymax"), at("xmin", "ymin"))))
+    tiles = ad.catalogue(spark, sf_dir)
+    return overlay.shared(tiles.select("gid", overlay.outline_of(tiles).alias("rings")), counties.select("geoid", "rings"), "gid", "geoid", 0.75)
+
+
 @query(_sql("select segment, line, area, perim from shapes", "rects"))
 def polygon_area_perim(spark, sf_dir):
     return ad.segments(spark, sf_dir).select("segment", "line", g.area(F.col("rings")).alias("area"), g.perimeter(F.col("rings")).alias("perim"))
@@ -400,6 +425,22 @@ def raster_metadata(spark, sf_dir):
     return found.select("image", "width", "height", F.array_join(F.col("bands").cast("array<string>"), ",").alias("bands"), "kind", "x0", "srs")
 
 
+@query(
+    _sql(
+        """select band, (y - 3)::int y, (x - 25)::int x, arg_max(dn, image)::int dn from (select (band // 2)::int image, (band % 2)::int band, y + 2 * (band // 2) y, x + 30 * (band // 2) x, dn from pixels where band < 4 and (y * 7 + x * 3) % 11 <> 0 and dn % 3 <> 0)
+        where y between 3 and 11 and x between 25 and 84 group by band, y, x""",
+        "pixels",
+    )
+)
+def mosaic_window(spark, sf_dir):
+    """A window over two images of two bands that overlap, with holes and masked pixels, read from the mosaic's index."""
+    image, dn = F.floor(F.col("band") / 2).cast("int"), F.when(F.col("dn") % 3 != 0, F.col("dn"))
+    images = _holed(spark, sf_dir).where("band < 4").select(image.alias("image"), (F.col("band") % 2).alias("band"), "y", "x", dn.alias("dn"))
+    places = spark.range(2).select(F.col("id").cast("int").alias("image"), (F.col("id") * 30).cast("int").alias("dx"), (F.col("id") * 2).cast("int").alias("dy"), F.col("id").alias("priority"))
+    index = virtual.write_index(raster.to_tiles(images, 16), F.broadcast(places), new_path(spark, "mosaic"))
+    return virtual.window(index, 25, 3, 60, 9)
+
+
 #: Krueger's series for the metres east of the central meridian and north of the equator, from lon and lat and the zone; in SQL of its own.
 _ELLIPSOID = """ell as (select n, 2 * sqrt(n) / (1 + n) e, 0.9996 * 6378137.0::double / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) r,
     n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 a3, 49561 * n ** 4 / 161280 a4
@@ -675,3 +716,49 @@ def merge_small_regions(spark, sf_dir):
     """Each band's regions of fewer than four pixels merged."""
     pixels = ad.pixels(spark, sf_dir)
     return segment.merge_small(segment.connected_labels(pixels, 16), pixels, 4)
+
+
+#: Strips of twenty rows as images of tiles 1, 2, ..., of which the log has some; the first of those is the mosaic's top.
+_FETCHED = (
+    _ALL, _CTE["catalogue"], _CTE["log"],
+    f"strips as (select (y // 20 + 1)::int gid, band, y, x, dn from all_pixels where not ({_HOLE})), chosen as (select gid from catalogue semi join log using (gid) where gid <= 39 and gid in (select gid from strips))",
+    "pixels as (select band, (y - 20 * ((select min(gid) from chosen) - 1))::int y, x, dn from strips semi join chosen using (gid))",
+)
+
+
+@query(
+    _sql(
+        f"""select ((label // 1000000) * 2147483648 + label % 1000000)::bigint label, count(*) nbpixels, {", ".join(f"round(avg(c[{k}]) + 1e-9, 6) meanb{k - 1}" for k in _BANDS)}, 2014 as year, 'a' job from lab1 join smooth using (id)
+        group by label having count(*) >= {_LEAST}""",
+        *_FETCHED, _mean_shift_sql(), _LINKED, recursive=True,
+    )
+)
+def segment_of_area(spark, sf_dir):
+    """From an area to loaded segments: its tiles that are here, their mosaic, its segments."""
+    pixels = _holed(spark, sf_dir)
+    images = pixels.select((F.floor(F.col("y") / 20) + 1).cast("int").alias("image"), "band", (F.col("y") % 20).alias("y"), "x", "dn")
+    rasters = images.groupBy("image").agg(F.lit(64).alias("width"), F.lit(20).alias("height")).select("image", "width", "height", F.lit(-117.0).alias("x0"), F.lit(1e-4).alias("dx"), (33.5 - (F.col("image") - 1) * 20 * 1e-4).alias("y0"), F.lit(-1e-4).alias("dy"), F.lit("EPSG:4326").alias("srs"))
+    tiles = ad.catalogue(spark, sf_dir).join(rasters.select(F.col("image").alias("gid")), "gid", "left_semi")
+    found = commands.segment_of_area(
+        images, rasters, tiles, ad.regions(spark, sf_dir), ad.fetched(spark, sf_dir), "0.5,0.2,39.5,0.8", {}, new_path(spark, "segments"), 2014, "a", new_path(spark, "index"),
+        _SPATIAL, _SPECTRAL, _LEAST, True, iterations=_ROUNDS, tile=32,
+    )
+    return found.select("label", "nbpixels", *[F.round(F.col(f"meanb{k}") + 1e-9, 6).alias(f"meanb{k}") for k in range(5)], "year", "job")
+
+
+@query(_sql("select segment, line, area, year, job from shapes, (select unnest([2014, 2015]) as year, unnest(['a', 'b']) job)", "rects"))
+def segments_loaded(spark, sf_dir):
+    """Two years' segments in one table, the first year's loaded twice: the second load replaces the first, the other year's stay."""
+    path, rows = new_path(spark, "segments"), polygon_area_perim(spark, sf_dir).select("segment", "line", "area")
+    tables.load_segments(rows.withColumn("area", F.lit(0.0)), path, 2014, "a")
+    tables.load_segments(rows, path, 2015, "b")
+    tables.load_segments(rows, path, 2014, "a")
+    return spark.read.parquet(path)
+
+
+@query(_sql("select 0 image, 0 band, (y - 5)::int y, (x - 40)::int x, arg_max(dn, image)::int dn from (select band image, y, x + 30 * band x, dn from pixels) s where s.y between 5 and 12 and s.x between 40 and 59 group by s.y, s.x", "pixels"))
+def extract_place(spark, sf_dir):
+    """A window around a place, cut out of the mosaic of five images and written as a table of tiles."""
+    images = ad.pixels(spark, sf_dir).select(F.col("band").alias("image"), F.lit(0).alias("band"), "y", "x", "dn")
+    rasters = spark.range(5).select(F.col("id").cast("int").alias("image"), (30.0 * F.col("id")).alias("x0"), F.lit(1.0).alias("dx"), F.lit(100.0).alias("y0"), F.lit(-1.0).alias("dy"), F.lit("EPSG:4326").alias("srs"))
+    return raster.from_tiles(commands.extract_place(images, rasters, 90.5, 50.5, 20, 8, new_path(spark, "place")))
