@@ -11,7 +11,7 @@ from stratolith import commands
 from stratolith.functions import geometry as g
 from stratolith.functions.circle import convex_hull, group_circles
 from stratolith.functions.projections import forward, inverse, utm
-from stratolith.operators import catalog, overlay, params, raster, segment, virtual, warp
+from stratolith.operators import catalog, overlay, params, raster, segment, virtual
 from stratolith.operators.metrics import METRICS, with_metrics
 from stratolith.sources import adapters as ad
 from stratolith.sources import shapefile, tables
