@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from itertools import accumulate, islice
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stratolith.functions.geometry import EARTH_RADIUS  # noqa: F401 (also known from here)
 from stratolith.functions.projections import ARRAYS, MERCATOR, Srs, inverse, parse
+from stratolith.storage import cut, new_path, spread
 
 #: Geometry as read: parts of rings of points. A line's parts have one ring each.
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
@@ -26,6 +28,12 @@ _CODE, _LIST_END = 9994, 0x0D
 _HEADER = 100
 #: Bytes of a text attribute that is written, and rows of a package that are read together.
 _TEXT, _TOGETHER = 254, 4096
+#: Bytes of shapes, and rows, of a split; bytes of shapes for each task that reads splits; bytes copied or listed at a time.
+SPLIT, _SPLIT_ROWS, _TASK, _CHUNK = 8 << 20, 1 << 16, 64 << 20, 1 << 20
+#: A split: rows and shapes of a package that lie one after another, and what is needed to read them. Offsets are those of the files named.
+_SPLITS = """path string, member string, prj string, fields array<struct<name:string,kind:string,bytes:int,decimals:int>>,
+    shapes string, shapes_at long, shapes_bytes long, rows string, rows_at long, width long, n long"""
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 #: Coordinate systems that a .prj names, as packages are written, and words that tell spherical mercator in others.
 SYSTEMS = {
     4326: 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]',
@@ -68,7 +76,8 @@ def _parts(kind: int, body: bytes) -> list[list[list[tuple[float, float]]]] | No
 
 
 def _shapes(data: bytes) -> Iterator[list | None]:
-    at = _HEADER
+    """The parts of each of the records that ``data`` consists of."""
+    at = 0
     while at + 12 <= len(data):
         words = struct.unpack_from(">i", data, at + 4)[0]
         yield _parts(struct.unpack_from("<i", data, at + 8)[0], data[at + 8 : at + 8 + 2 * words])
@@ -125,67 +134,184 @@ def _degrees(parts: list | None, system: Srs) -> list | None:
     return parts and [[turned(ring) for ring in part] for part in parts]
 
 
-def _rows(data: bytes) -> Iterator[tuple[dict, list | None]]:
-    """(attributes, parts) of each row of each shapefile in a package; deleted rows are left out.
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Spark names it, and the path there."""
+    scheme, colon, rest = path.partition(":")
+    return fs.FileSystem.from_uri(quote({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest, safe="/:@"))
 
-    Shapes in web or transverse mercator (by the package's .prj) come in degrees, all others as they are.
-    """
-    with zipfile.ZipFile(io.BytesIO(data)) as package:
+
+def _range(path: str, at: int, size: int) -> bytes:
+    store, place = _store(path)
+    with store.open_input_file(place) as source:
+        return source.read_at(size, at)
+
+
+def _placed(path: str, source, package: zipfile.ZipFile, name: str, folder: str) -> tuple[str, int]:
+    """Where the bytes of a member can be read by ranges: in the package if it is stored, else in a new file under ``folder``."""
+    info = package.getinfo(name)
+    if info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1:
+        source.seek(info.header_offset)
+        return path, info.header_offset + 30 + sum(struct.unpack_from("<2H", source.read(30), 26))
+    copy = f"{folder}/{uuid.uuid4().hex}"
+    store, place = _store(copy)
+    store.create_dir(_store(folder)[1], recursive=True)
+    with package.open(name) as packed, store.open_output_stream(place) as out:
+        while data := packed.read(_CHUNK):
+            out.write(data)
+    return copy, 0
+
+
+def _indexed(index) -> Iterator[tuple[int, int]]:
+    """(first byte, bytes) of each record, its header included, from the index."""
+    index.read(_HEADER)
+    while data := index.read(_CHUNK):
+        for at, words in struct.iter_unpack(">2i", data[: len(data) // 8 * 8]):
+            yield 2 * at, 8 + 2 * words
+
+
+def _walked(shapes, size: int) -> Iterator[tuple[int, int]]:
+    """The same from the records' headers, for a package without an index."""
+    at = _HEADER
+    while at + 12 <= size:
+        shapes.seek(at)
+        length = 8 + 2 * struct.unpack(">4xi", shapes.read(8))[0]
+        yield at, length
+        at += length
+
+
+def _cut_up(records: Iterator[tuple[int, int]], size: int, split: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, rows, first byte, bytes) of runs of records that lie one after another; one without rows where there are none."""
+    first = n = at = length = 0
+    for i, (begin, more) in enumerate(records):
+        if begin + more > size:
+            raise ValueError(f"record {i} ends at byte {begin + more} of {size}")
+        if n and (begin != at + length or length + more > split or n == _SPLIT_ROWS):
+            yield first, n, at, length
+            n = 0
+        if not n:
+            first, at, length = i, begin, 0
+        n, length = n + 1, length + more
+    yield first, n, at, length
+
+
+def _plan(path: str, folder: str, split: int) -> Iterator[dict]:
+    """The splits of every shapefile of a package."""
+    store, place = _store(path)
+    with store.open_input_file(place) as source, zipfile.ZipFile(source) as package:
         names = {n.lower(): n for n in package.namelist()}
         for low, name in sorted(names.items()):
             if not low.endswith(".shp"):
                 continue
-            table = package.read(names[low[:-4] + ".dbf"])
-            system = _system(package.read(names[low[:-4] + ".prj"]).decode("latin-1") if low[:-4] + ".prj" in names else "")
-            fields, (n, begin, width) = _fields(table), struct.unpack_from("<IHH", table, 4)
-            for i, shape in zip(range(n), _shapes(package.read(name)), strict=False):
-                row, at, out = table[begin + i * width : begin + (i + 1) * width], 1, {}
-                for field, kind, size, decimals in fields:
-                    out[field] = _value(row[at : at + size], kind, decimals)
-                    at += size
-                if row[:1] != b"*":
-                    yield out, _degrees(shape, system) if system and system.kind != "degrees" else shape
-
-
-def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$") -> DataFrame:
+            table, index, prj = (names.get(low[:-4] + end) for end in (".dbf", ".shx", ".prj"))
+            with package.open(table) as opened:
+                head = opened.read(32)
+                n_rows, begin, width = struct.unpack_from("<IHH", head, 4)
+                fields = [dict(zip(("name", "kind", "bytes", "decimals"), f, strict=True)) for f in _fields(head + opened.read(begin - 32))]
+            size = package.getinfo(name).file_size
+            shapes, shapes_from = _placed(path, source, package, name, folder)
+            rows, rows_from = _placed(path, source, package, table, folder)
+            whole = {"path": path, "member": low, "prj": package.read(prj).decode("latin-1") if prj else "", "fields": fields, "shapes": shapes, "rows": rows, "width": width}
+            with package.open(index or name) as opened:
+                records = islice(_indexed(opened) if index else _walked(opened, size), n_rows)
+                for first, n, at, length in _cut_up(records, size, split):
+                    yield whole | {"shapes_at": shapes_from + at, "shapes_bytes": length, "rows_at": rows_from + begin + first * width, "n": n}
+
+
+def _rows(split: dict) -> Iterator[tuple[dict, list | None]]:
+    """(attributes, parts) of each row of a split; deleted rows are left out.
+
+    Shapes in web or transverse mercator (by the package's .prj) come in degrees, all others as they are.
+    """
+    system, width = _system(split["prj"]), split["width"]
+    table = _range(split["rows"], split["rows_at"], split["n"] * width)
+    for i, shape in enumerate(_shapes(_range(split["shapes"], split["shapes_at"], split["shapes_bytes"]))):
+        row, at, out = table[i * width : (i + 1) * width], 1, {}
+        for field in split["fields"]:
+            out[field["name"]] = _value(row[at : at + field["bytes"]], field["kind"], field["decimals"])
+            at += field["bytes"]
+        if row[:1] != b"*":
+            yield out, _degrees(shape, system) if system and system.kind != "degrees" else shape
+
+
+def _cast(value, kind: str):
+    if value is None or kind == "string":
+        return None if value is None else str(value)
+    return value if isinstance(value, bool) == (kind == "boolean") and not isinstance(value, str) else None
+
+
+def _geometry(shapes: list) -> pa.Array:
+    """Shapes as an array of GEOMETRY, from flat coordinates and offsets."""
+    points, rings, parts, whole = [], [], [], []
+    for shape in shapes:
+        whole.append(None if shape is None else len(parts))
+        for part in shape or ():
+            parts.append(len(rings))
+            for ring in part:
+                rings.append(len(points))
+                points += ring
+    flat = np.array(points, float).reshape(-1, 2)
+    found = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+    for starts, end in ((rings, len(points)), (parts, len(rings)), (whole, len(parts))):
+        found = pa.ListArray.from_arrays(pa.array([*starts, end], pa.int32()), found)
+    return found
+
+
+def splits_of(spark: SparkSession, folder: str, pattern: str = r"\.zip$", split: int = SPLIT) -> DataFrame:
+    """The splits of the zipped shapefiles under ``folder``, written to the shared folder.
+
+    A task opens a package by its directory and its index (.shx; without one
+    by the records' headers), never as a whole. Stored members are read where
+    they are. Packed ones can't be read from their middle: they are unpacked
+    once, as streams, into the shared folder, where they stay until it is
+    cleared. A split has ``split`` bytes of shapes at most, or one larger shape.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.where(F.element_at(F.split("path", "/"), -1).rlike(pattern)).select("path")
+    copies = new_path(spark, "unpacked")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                left = _plan(path, copies, split)
+                while found := list(islice(left, _TOGETHER)):
+                    columns = ("path", "member", "prj", "fields", "shapes", "shapes_at", "shapes_bytes", "rows", "rows_at", "width", "n")
+                    yield pa.RecordBatch.from_arrays([pa.array([s[c] for s in found], kinds[c]) for c in columns], list(columns))
+
+    field = pa.struct([("name", pa.string()), ("kind", pa.string()), ("bytes", pa.int32()), ("decimals", pa.int32())])
+    kinds = {"fields": pa.list_(field), **dict.fromkeys(("path", "member", "prj", "shapes", "rows"), pa.string()), **dict.fromkeys(("shapes_at", "shapes_bytes", "rows_at", "width", "n"), pa.int64())}
+    return cut(files.mapInArrow(each, _SPLITS), "splits")
+
+
+def read_zipped(spark: SparkSession, folder: str, pattern: str = r"\.zip$", split: int = SPLIT) -> DataFrame:
     """All rows of the zipped shapefiles under ``folder`` whose file name has a match of ``pattern``.
 
-    The first package by path fixes the columns, as a table that it creates
-    would; packages that lack one give null, and more than those are left
+    The first shapefile by path fixes the columns, as a table that it creates
+    would; those that lack one give null, and more than those are left
     out. Geometry comes as ``geom``, always in parts (lines too), in the
     packages' own coordinates but for web and transverse mercator (UTM), which become degrees;
     shapes of other kinds are null. An attribute
-    of that name is called ``geom_`` instead. One task reads a package at a
-    time. Without a package there are no rows, and ``geom`` is the one column.
+    of that name is called ``geom_`` instead. Packages are cut into ranges of
+    records (see ``splits_of``), so many tasks read a large one; only a header
+    comes to the driver. Without a package there are no rows, and ``geom`` is
+    the one column.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.where(F.element_at(F.split("path", "/"), -1).rlike(pattern))
-    first = files.select("path").orderBy("path").limit(1).select("path").first()
-    columns: list[tuple[str, str]] = []
-    if first:
-        with zipfile.ZipFile(io.BytesIO(files.where(F.col("path") == first["path"]).select("content").first()["content"])) as package:
-            table = next(n for n in sorted(package.namelist(), key=str.lower) if n.lower().endswith(".dbf"))
-            columns = [(name, _type(kind, decimals)) for name, kind, _, decimals in _fields(package.read(table))]
+    splits = splits_of(spark, folder, pattern, split)
+    first = splits.orderBy("path", "member").select("fields").first()
+    columns = [(f["name"], _type(f["kind"], f["decimals"])) for f in first["fields"]] if first else []
     shown = {name: "geom_" if name == "geom" else name for name, _ in columns}
     schema = ", ".join([*[f"`{shown[n]}` {t}" for n, t in columns], f"geom {GEOMETRY}"])
-    arrow = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-    geometry = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
-
-    def cast(value, kind: str):
-        if value is None or kind == "string":
-            return None if value is None else str(value)
-        return value if isinstance(value, bool) == (kind == "boolean") and not isinstance(value, str) else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                left = _rows(data.as_py())
+            for one in batch.to_pylist():
+                left = _rows(one)
                 while rows := list(islice(left, _TOGETHER)):
-                    values = [pa.array([cast(r.get(n), t) for r, _ in rows], arrow[t]) for n, t in columns]
-                    shapes = [None if p is None else [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in p] for _, p in rows]
-                    yield pa.RecordBatch.from_arrays([*values, pa.array(shapes, geometry)], [*[shown[n] for n, _ in columns], "geom"])
+                    values = [pa.array([_cast(r.get(n), t) for r, _ in rows], _ARROW[t]) for n, t in columns]
+                    yield pa.RecordBatch.from_arrays([*values, _geometry([p for _, p in rows])], [*[shown[n] for n, _ in columns], "geom"])
 
-    return files.select("content").mapInArrow(each, schema)
+    size = splits.agg(F.count("*").alias("n"), F.coalesce(F.sum("shapes_bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size["n"], max(spread(splits), size["bytes"] // _TASK)))
+    return splits.repartition(tasks).mapInArrow(each, schema)
 
 
 def _shape(parts: list | None) -> bytes:

@@ -77,14 +77,74 @@ def test_index_and_coordinate_system(spark):
         assert struct.unpack_from(">2i", shp, 2 * at) == (i + 1, words)
 
 
+def put(path, rows, method=zipfile.ZIP_DEFLATED, turned=False, index=True, past=0):
+    """A package with ``rows`` squares; ``turned``: its records lie in the other order; ``past``: bytes that the index says too many."""
+    import pyarrow as pa
+
+    data = s._package(["gid", "st"], [pa.array(range(rows), pa.int64()), pa.array(["x"] * rows, pa.string())], [[[ring(i, i, 1)]] for i in range(rows)], 4326)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    shp, shx = parts["shapes.shp"], parts["shapes.shx"]
+    records = [shp[2 * at : 2 * at + 8 + 2 * words] for at, words in struct.iter_unpack(">2i", shx[100:])]
+    if turned:
+        parts["shapes.shp"] = shp[:100] + b"".join(records[::-1])
+        ends = [100 + sum(map(len, records[i + 1 :])) for i in range(rows)]
+        parts["shapes.shx"] = shx[:100] + b"".join(struct.pack(">2i", at // 2, (len(r) - 8) // 2) for at, r in zip(ends, records, strict=True))
+    if past:
+        parts["shapes.shx"] = shx[:-4] + struct.pack(">i", struct.unpack(">i", shx[-4:])[0] + past // 2)
+    with zipfile.ZipFile(path, "w", method) as z:
+        for name, content in parts.items():
+            if index or not name.endswith(".shx"):
+                z.writestr(name, content)
+
+
+@pytest.mark.parametrize("form", [{}, {"method": zipfile.ZIP_STORED}, {"turned": True}, {"index": False}, {"index": False, "method": zipfile.ZIP_STORED}])
+def test_ranges_of_records(spark, form):
+    folder = tempfile.mkdtemp(prefix="spark-") + "/a b%20c"
+    os.mkdir(folder)
+    put(folder + "/p.zip", 50, **form)
+    splits = s.splits_of(spark, folder, split=1000).collect()
+    assert sum(r.n for r in splits) == 50 and all(r.shapes_bytes <= 1000 for r in splits) and len(splits) >= 8
+    assert all(r.shapes.endswith("/p.zip") == (form.get("method") == zipfile.ZIP_STORED) for r in splits)
+    back = s.read_zipped(spark, folder, split=1000)
+    assert back.rdd.getNumPartitions() == min(len(splits), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert {(r.gid, r.st, r.geom[0][0][0].x, len(r.geom[0][0])) for r in back.collect()} == {(i, "x", float(i), 5) for i in range(50)}
+
+
+def test_many_tasks_read_one_package(spark):
+    from pyspark.sql import functions as F
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    put(folder + "/p.zip", 5000)
+    found = s.read_zipped(spark, folder, split=20_000).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(found) == 4 and sum(r["count"] for r in found) == 5000 and max(r["count"] for r in found) < 2000
+
+
+def test_empty_package_and_broken_index(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    put(folder + "/none.zip", 0)
+    put(folder + "/some.zip", 3)
+    empty = s.read_zipped(spark, folder, "none")
+    assert empty.columns == ["gid", "st", "geom"] and empty.count() == 0
+    assert s.read_zipped(spark, folder).count() == 3
+    put(folder + "/broken.zip", 3, past=8)
+    with pytest.raises(Exception, match="record 2 ends at byte"):
+        s.read_zipped(spark, folder, "broken")
+
+
+def test_shapes_as_arrays():
+    shapes = [None, [], [[[(0.0, 1.0), (2.0, 3.0)], []], [[(4.0, 5.0)]]], None]
+    got = s._geometry(shapes).to_pylist()
+    assert got == [None, [], [[[{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 3.0}], []], [[{"x": 4.0, "y": 5.0}]]], None]
+    assert s._geometry([]).to_pylist() == [] and s._geometry([None]).to_pylist() == [None]
+
+
 def test_many_rows_take_linear_time(spark):
     import time
 
-    import pyarrow as pa
-
-    n = 20_000
+    folder, n = tempfile.mkdtemp(prefix="spark-"), 20_000
     begun = time.time()
-    data = s._package(["gid", "st"], [pa.array(range(n)), pa.array(["x"] * n)], [[[ring(i, i, 1)]] for i in range(n)], 4326)
-    assert sum(1 for _ in s._rows(data)) == n and time.time() - begun < 20
+    put(folder + "/p.zip", n)
+    assert s.read_zipped(spark, folder).count() == n and time.time() - begun < 20
     many = [[ring(i, 0, 1) for i in range(5000)]]
     assert len(s._shape(many)) > 5000 * 80 and time.time() - begun < 25
