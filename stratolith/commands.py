@@ -14,6 +14,8 @@ from stratolith.storage import unused
 
 #: Degrees of a pixel at zoom 1, and the fields that a profile of segments has.
 DEGREES_PER_PIXEL = 0.000005836467370
+#: The end of a package's name: one package, or parts as ``shapefile.write_zipped`` names them.
+_PART = r"(_[0-9a-f]{32})?\.zip$"
 PROFILED = ["nbpixels", *[f"{m}b{k}" for m in ("mean", "var") for k in range(6)], *METRICS]
 
 
@@ -45,14 +47,14 @@ def ingest_census(spark: SparkSession, folder: str, area: str | list, year: str
     roads are those of all its counties.
     """
     wanted = catalog.parse_area(area)
-    county = ingest_regions(spark, folder, pattern=rf"^tl_{year}_us_county\.zip$")
+    county = ingest_regions(spark, folder, pattern=rf"^tl_{year}_us_county{_PART}")
     if wanted.kind == "bbox":
         states, counties = catalog.region_lists(county, wanted.value)
     else:
         states, counties = [wanted.value[:2]], [wanted.value[:5] if len(wanted.value) >= 5 else wanted.value + "[0-9]*"]
     if not states:
         raise ValueError("the area overlaps no county")
-    named = lambda codes, kind: rf"^tl_{year}_({'|'.join(codes)})_{kind}\.zip$"
+    named = lambda codes, kind: rf"^tl_{year}_({'|'.join(codes)})_{kind}{_PART}"
     return {"county": county, "cousub": ingest_regions(spark, folder, pattern=named(states, "cousub")), "roads": ingest_regions(spark, folder, pattern=named(counties, "roads"))}
 
 
@@ -66,7 +68,7 @@ def catalogue_sources(spark: SparkSession, template: str, year: str, states: lis
 
 def load_catalogue(spark: SparkSession, folder: str, year: str) -> DataFrame:
     """The year's tile catalogue from its packages under ``folder``, with a box for every tile."""
-    return _boxed(shapefile.read_zipped(spark, folder, rf"_naip{year[-2:]}qq\.zip$"))
+    return _boxed(shapefile.read_zipped(spark, folder, rf"_naip{year[-2:]}qq{_PART}"))
 
 
 def tiles_of_area(tiles: DataFrame, regions: DataFrame, area: str, states: dict[str, str], default: str = "", cell: float = 1.0) -> DataFrame:

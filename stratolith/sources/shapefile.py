@@ -364,29 +364,36 @@ def _package(names: list[str], columns: list[pa.Array], shapes: list, system: in
     return out.getvalue()
 
 
-def write_zipped(df: DataFrame, folder: str, geometry: str = "geom", system: int = 4326) -> DataFrame:
+def write_zipped(df: DataFrame, folder: str, geometry: str = "geom", system: int = 4326, named: str | None = None) -> DataFrame:
     """Write the rows as zipped shapefiles, one for each batch; (path, rows) of each. ``system`` (4326 or 3857) is that of the coordinates.
 
     ``geometry`` is an array of polygons, as read_zipped gives it; null or
     empty ones are null shapes. Names of attributes are cut to ten bytes by
-    the format. A package that a lost task leaves behind is in no row of the
-    result.
+    the format. ``named`` is a column (no attribute) whose texts are the packages':
+    a batch becomes one for each text, called ``text_<32 hex digits>.zip``, so
+    no text's rows have to meet in one task; rows with a null go to packages
+    without a text. A package that a lost task leaves behind is in no row of
+    the result.
     """
-    names = [c for c in df.columns if c != geometry]
+    names = [c for c in df.columns if c not in (geometry, named)]
     if len({n[:10].lower() for n in names}) < len(names):
         raise ValueError("attribute names must differ in their first ten letters")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            path = f"{base}/{uuid.uuid4().hex}.zip"
-            data = _package(names, [batch.column(i) for i in range(len(names))], batch.column(len(names)).to_pylist(), system)
-            with store.open_output_stream(path) as out:
-                out.write(data)
-            yield pa.RecordBatch.from_pydict({"path": [path], "rows": pa.array([batch.num_rows], pa.int64())})
+            places: dict[str | None, list[int]] = {}
+            for i, text in enumerate(batch.column(len(names) + 1).to_pylist() if named else [None] * batch.num_rows):
+                places.setdefault(text, []).append(i)
+            for text, rows in places.items():
+                path = f"{base}/{'' if text is None else text + '_'}{uuid.uuid4().hex}.zip"
+                part = batch.take(pa.array(rows, pa.int64())) if named else batch
+                data = _package(names, [part.column(i) for i in range(len(names))], part.column(len(names)).to_pylist(), system)
+                with store.open_output_stream(path) as out:
+                    out.write(data)
+                yield pa.RecordBatch.from_pydict({"path": [path], "rows": pa.array([len(rows)], pa.int64())})
 
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    return df.select(*names, geometry).mapInArrow(each, "path string, rows long")
+    chosen = df.select(*names, geometry, *([named] if named else []))
+    return (chosen.sortWithinPartitions(named) if named else chosen).mapInArrow(each, "path string, rows long")

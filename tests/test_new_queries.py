@@ -1,12 +1,13 @@
 import duckdb
 import pytest
 
-from stratolith.plans import queries
+from stratolith.plans import queries, workflow  # noqa: F401 (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 NAMES = [
     "local_variance_gaps", "optimal_params_gaps", "mosaic_masked", "mosaic_window", "overview_avg", "utm_round_trip", "utm_warp", "normalise_all", "normalise_pyramid", "spatial_join_edges",
     "aoi_polygon", "point_expand_polygon", "vectorise_gaps", "segment_metrics_mercator", "segment_of_area", "segments_loaded", "extract_place", "polygon_metrics", "semivariogram_gaps", "tile_table_round_trip",
+    "catalogue_loaded", "census_ingested", "areas_dispatched", "states_first_seen", "log_kept", "status_lines", "profile_lines", "wkt_polygons", "crop_pixels", "crop_world", "variance_fit", "variance_series", "optimal_params_of_area",
 ]
 
 

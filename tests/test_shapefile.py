@@ -120,6 +120,15 @@ def test_many_tasks_read_one_package(spark):
     assert len(found) == 4 and sum(r["count"] for r in found) == 5000 and max(r["count"] for r in found) < 2000
 
 
+def test_packages_named_by_a_column(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = [(i, "ab#"[i % 3], [[ring(i, i, 1)]]) for i in range(30)] + [(30, None, None)]
+    written = s.write_zipped(spark.createDataFrame(rows, f"gid long, name string, geom {s.GEOMETRY}").repartition(3), folder, named="name").collect()
+    assert sum(r.rows for r in written) == 31 and {os.path.basename(r.path).rpartition("_")[0] for r in written} == {"a", "b", "#", ""}
+    assert {r.gid for r in s.read_zipped(spark, folder, "^#_").collect()} == {i for i in range(30) if i % 3 == 2}
+    assert s.read_zipped(spark, folder).columns == ["gid", "geom"] and s.read_zipped(spark, folder).count() == 31
+
+
 def test_empty_package_and_broken_index(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     put(folder + "/none.zip", 0)
