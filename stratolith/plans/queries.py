@@ -295,12 +295,12 @@ def min_bounding_circle(spark, sf_dir):
             and (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) and (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) <= 0)
         and exists (select 1 from p b where b.grp = a.grp and (b.x, b.y) <> (a.x, a.y) and not exists (
             select 1 from p c where c.grp = a.grp and (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0))""",
-        "p as (select distinct l_orderkey % 500 grp, l_linenumber::double x, l_quantity y from lineitem where l_orderkey < 4000)",
+        "p as (select distinct l_orderkey // 8 grp, l_linenumber::double x, l_quantity y from lineitem)",
     )
 )
 def convex_hulls(spark, sf_dir):
     """The corners of each group's hull; points on its sides aren't corners."""
-    points = ad._read(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select((F.col("l_orderkey") % 500).alias("grp"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
+    points = ad._read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("grp"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
     return points.groupBy("grp").agg(convex_hull(F.collect_set(g.point("x", "y"))).alias("h")).select("grp", F.inline("h"))
 
 

@@ -18,9 +18,10 @@ def init_namespaces(spark: SparkSession, names: tuple[str, ...] = NAMESPACES) ->
         spark.sql(f"create database if not exists `{name}`")
 
 
-def ensure_log(spark: SparkSession, table: str) -> DataFrame:
-    """The fetch log (gid, processed), created empty where there is none."""
-    spark.sql(f"create table if not exists {table} (gid bigint, processed boolean) using parquet")
+def ensure_log(spark: SparkSession, table: str, path: str | None = None) -> DataFrame:
+    """The fetch log (gid, processed), created empty where there is none; at ``path`` it outlives a session without a lasting catalogue."""
+    at = f" location '{path}'" if path else ""
+    spark.sql(f"create table if not exists {table} (gid bigint, processed boolean) using parquet{at}")
     return spark.table(table)
 
 
