@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stratolith.functions import geometry
@@ -19,6 +19,10 @@ _PART = r"(_[0-9a-f]{32})?\.zip$"
 PROFILED = ["nbpixels", *[f"{m}b{k}" for m in ("mean", "var") for k in range(6)], *METRICS]
 
 
+class NoImage(ValueError):
+    """None of an area's tiles has an image."""
+
+
 def describe_config(spark: SparkSession, config: dict[str, str]) -> DataFrame:
     """key and value of every setting; passwords are shown as stars."""
     shown = [(k, "*" * max(len(str(v)), 1) if k.endswith("pass") else str(v)) for k, v in sorted(config.items())]
@@ -169,6 +173,14 @@ def segment_area(
     return tables.load_segments(segment.segment(pixels, spatial, spectral, least, delete, iterations, threshold, tile, transform, srs, ramp), path, year, job)
 
 
+def _known(best: DataFrame) -> Row:
+    """The row of nine parameters; an error where there is none."""
+    row = best.first()
+    if row is None:
+        raise ValueError("the middle has too few pixels for parameters")
+    return row
+
+
 def index_of_area(images: DataFrame, rasters: DataFrame, tiles: DataFrame, path: str, side: int = raster.SIDE) -> tuple[DataFrame, tuple[float, float, float, float], tuple[int, int], str]:
     """(index of the mosaic of the chosen tiles' images, its transform, its width and height, its coordinate system).
 
@@ -180,8 +192,10 @@ def index_of_area(images: DataFrame, rasters: DataFrame, tiles: DataFrame, path:
     gids = tiles.select(F.col("gid").alias("image"))
     some = rasters.join(gids, "image", "left_semi")
     grid = some.agg(F.min("x0").alias("x0"), F.first("dx").alias("dx"), F.max("y0").alias("y0"), F.first("dy").alias("dy"), F.count_distinct("dx", "dy", "srs").alias("n"), F.first("srs").alias("srs")).first()
+    if not grid["n"]:
+        raise NoImage("the area has no image")
     if grid["n"] != 1:
-        raise ValueError("the area has no image" if not grid["n"] else f"{grid['n']} pixel sizes or systems among the images")
+        raise ValueError(f"{grid['n']} pixel sizes or systems among the images")
     shift = lambda c, d: F.round((F.col(c) - grid[c]) / grid[d]).cast("int")
     places = some.select("image", shift("x0", "dx").alias("dx"), shift("y0", "dy").alias("dy"), F.col("image").alias("priority"), "width", "height")
     size = places.agg(F.max(F.col("dx") + F.col("width")).alias("w"), F.max(F.col("dy") + F.col("height")).alias("h")).first()
@@ -213,7 +227,7 @@ def segment_of_area(
     whole = lambda x0, y0, a, b: raster.select_bands(virtual.window(found, x0, y0, a, b, bands), bands) if bands else virtual.window(found, x0, y0, a, b)
     if optimal:
         side = min(side, w, h)
-        best = params.optimal_parameters(whole(w // 2 - side // 2, h // 2 - side // 2, side, side), boxy).first()
+        best = _known(params.optimal_parameters(whole(w // 2 - side // 2, h // 2 - side // 2, side, side), boxy))
         spatial, spectral, least = best[f"hs_{optimal}"], float(best[f"hr_{optimal}"]), best[f"m_{optimal}"]
     made = segment.segment(whole(0, 0, w, h), spatial, spectral, least, delete, iterations, threshold, tile, transform, srs, ramp)
     return tables.load_segments(made, path, year, job)
@@ -223,7 +237,7 @@ def optimal_parameters_of_area(
     images: DataFrame, rasters: DataFrame, tiles: DataFrame, regions: DataFrame, log: DataFrame, area: str, states: dict[str, str], index: str, lat: float | None = None, lon: float | None = None,
     side: int = 512, bands: list[int] | None = None, boxy: bool = True, default: str = "", cell: float = 1.0,
 ) -> DataFrame:
-    """The nine parameters of ``side`` pixels square around a place (without one the middle) of the mosaic of an area's tiles that are here."""
+    """The nine parameters of ``side`` pixels square around a place (without one the middle) of the mosaic of an area's tiles that are here; no row where too few pixels are there."""
     if side < 1 or (lat is None) != (lon is None):
         raise ValueError("the side must be positive, and a place has both lat and lon")
     chosen = catalog.here(tiles_of_area(tiles, regions, area, states, default, cell), log)
@@ -240,7 +254,7 @@ def segment_optimal(pixels: DataFrame, which: str = "avg", side: int = 1024, del
     """Segments with the parameters (min, max or avg) that the image's middle suggests."""
     if which not in ("min", "max", "avg"):
         raise ValueError(f"not a choice: {which}")
-    best = params.optimal_parameters(raster.centre_crop(pixels, side), boxy).first()
+    best = _known(params.optimal_parameters(raster.centre_crop(pixels, side), boxy))
     return segment.segment(pixels, best[f"hs_{which}"], float(best[f"hr_{which}"]), best[f"m_{which}"], delete)
 
 

@@ -160,9 +160,12 @@ _STRIPS = 20
     )
 )
 def optimal_params_of_area(spark, sf_dir):
-    """From an area to the nine parameters: the middle of the mosaic of its tiles that are here."""
+    """From an area to the nine parameters: the middle of the mosaic of its tiles that are here. No row where nothing is there."""
     images = _holed(spark, sf_dir).select((F.floor(F.col("y") / _STRIPS) + 1).cast("int").alias("image"), "band", (F.col("y") % _STRIPS).alias("y"), "x", "dn")
     step = 1e-4
     rasters = images.select("image").distinct().select("image", F.lit(64).alias("width"), F.lit(_STRIPS).alias("height"), F.lit(-117.0).alias("x0"), F.lit(step).alias("dx"), (33.5 - (F.col("image") - 1) * _STRIPS * step).alias("y0"), F.lit(-step).alias("dy"), F.lit("EPSG:4326").alias("srs"))
     tiles = ad.catalogue(spark, sf_dir).join(rasters.select(F.col("image").alias("gid")), "gid", "left_semi")
-    return commands.optimal_parameters_of_area(images, rasters, tiles, ad.regions(spark, sf_dir), ad.fetched(spark, sf_dir), "0.5,0.2,39.5,0.8", {}, new_path(spark, "index"))
+    try:
+        return commands.optimal_parameters_of_area(images, rasters, tiles, ad.regions(spark, sf_dir), ad.fetched(spark, sf_dir), "0.5,0.2,39.5,0.8", {}, new_path(spark, "index"))
+    except commands.NoImage:
+        return spark.createDataFrame([], ", ".join(f"{a}_{b} int" for a in ("hs", "hr", "m") for b in ("min", "max", "avg")))

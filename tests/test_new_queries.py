@@ -22,3 +22,22 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     rows = lambda found: sorted((tuple(r) for r in found), key=repr)
     assert rows(got.select(columns).collect()) == rows(want.fetchall())
+
+
+@pytest.mark.parametrize("here", [(1, 2, 19, 20), (1, 8, 19), (1, 9, 20), ()])
+def test_parameters_where_the_middle_is_missing(spark, tmp_path, here):
+    """Middles of no row of pixels, of two rows, of twelve; and no tile at all."""
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from '/root/testdata/sf0.1/embeddings.parquet'")
+    con.execute("create table part as select i p_partkey, 'Brand#1' p_brand from range(60) t(i)")
+    con.execute(f"create table lineitem as select unnest({[*here, 77]})::bigint l_partkey, 50.0::double l_quantity, 'O' l_linestatus")
+    con.execute(f"create table supplier as select * from '{DATA}/supplier.parquet'")
+    for table in ("part", "lineitem", "supplier", "embeddings"):
+        con.execute(f"copy {table} to '{tmp_path}/{table}.parquet' (format parquet)")
+    name = "optimal_params_of_area"
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(columns)
+    assert [tuple(r) for r in got.select(columns).collect()] == want.fetchall()
+    assert len(got.collect()) == (here == (1, 9, 20))
