@@ -21,6 +21,11 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _steps(ring: Column) -> Column:
     """Places at which an edge begins; a ring of fewer than two points has none."""
     return F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
@@ -32,8 +37,12 @@ def _over_edges(ring: Column, term) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Shoelace area without a sign, from the ring's first point, so that rings far from the origin keep their digits."""
-    o = F.get(ring, F.lit(0))
-    return F.abs(_over_edges(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))) / 2
+
+    def doubled(r: Column) -> Column:
+        o = F.get(r, F.lit(0))
+        return _over_edges(r, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))
+
+    return F.abs(_once(ring, doubled)) / 2
 
 
 def ring_length(ring: Column) -> Column:
@@ -42,8 +51,12 @@ def ring_length(ring: Column) -> Column:
 
 def area(rings: Column) -> Column:
     """Shell minus holes."""
-    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
-    return F.aggregate(holes, ring_area(F.get(rings, F.lit(0))), lambda acc, r: acc - ring_area(r))
+
+    def whole(rs: Column) -> Column:
+        holes = F.slice(rs, F.lit(2), F.greatest(F.size(rs) - 1, F.lit(0)))
+        return F.aggregate(holes, ring_area(F.get(rs, F.lit(0))), lambda acc, r: acc - ring_area(r))
+
+    return _once(rings, whole)
 
 
 def perimeter(rings: Column) -> Column:

@@ -11,6 +11,7 @@ from stratolith import commands
 from stratolith.functions import geometry as g
 from stratolith.functions.circle import convex_hull, group_circles
 from stratolith.functions.projections import forward, inverse, utm
+from stratolith.functions.shapes import areas
 from stratolith.operators import catalog, overlay, params, raster, segment, virtual
 from stratolith.operators.metrics import METRICS, with_metrics
 from stratolith.sources import adapters as ad
@@ -270,7 +271,7 @@ def polygon_metrics(spark, sf_dir):
     )
 )
 def mercator_area(spark, sf_dir):
-    return ad.segments(spark, sf_dir).select("segment", "line", F.round(g.area(g.mercator(F.col("rings"))) / 1e6, 3).alias("km2"))
+    return ad.segments(spark, sf_dir).select("segment", "line", F.round(areas("EPSG:4326")(F.col("rings")) / 1e6, 3).alias("km2"))
 
 
 #: The least circle of a set is the greatest of its triples' least circles; of an obtuse triple that is its longest side's.

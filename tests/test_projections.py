@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratolith.functions import geometry as g
 from stratolith.functions import projections as p
-from stratolith.functions.shapes import measured
+from stratolith.functions.shapes import areas, measured
 from stratolith.operators import metrics, params, raster, segment, warp
 from stratolith.sources import shapefile
 
@@ -164,3 +164,24 @@ def test_measured_takes_slices():
     whole = pa.array([None, *points], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
     area, perim, r = measured(whole.slice(2, 3))
     assert area.tolist() == [4, 9, 16] and perim.tolist() == [8, 12, 16] and np.allclose(r, np.sqrt(2) * np.array([1, 1.5, 2]))
+
+
+def test_areas_alone_are_those_of_columns_and_measures(spark):
+    shape = "array<array<struct<x:double,y:double>>>"
+    at = lambda points: [{"x": float(a), "y": float(b)} for a, b in points]
+    rows = [([at(ring(i % 9, i % 7, 5 + i % 9)), at(ring(i % 9 + 1, i % 7 + 1, i % 9 + 2)), at(ring(i % 9 + 3, i % 7 + 3, i % 9 + 4))][: 1 + i % 3],) for i in range(60)] + [(None,), ([],), ([[]],)]
+    df = spark.createDataFrame(rows, f"r {shape}").coalesce(1)
+    r = F.col("r")
+    found = df.select(areas()(r).alias("flat"), g.area(r).alias("column"), areas("EPSG:4326")(r).alias("metres"), g.area(g.mercator(r)).alias("column_metres")).collect()
+    for row in found[:60]:
+        assert row.flat == row.column and row.metres == pytest.approx(row.column_metres, rel=1e-12)
+    assert [tuple(row[c] for c in ("flat", "metres")) for row in found[60:]] == [(None, None), (None, None), (0, 0)]
+    whole = pa.array([x for x, in rows], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    assert [row.flat for row in found[:60]] == measured(whole)[0][:60].tolist()
+
+
+def test_an_area_works_its_rings_out_once(spark):
+    """Mapped rings were worked out again for every corner of every edge: 170 us a rectangle."""
+    df = spark.range(1).select(F.array(g.rectangle(*[F.col("id") + k for k in (0, 1, 2, 3)])).alias("r"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan(df.select(g.area(g.mercator(F.col("r"))).alias("a"))).count("tan(") == 1
