@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratolith import commands
 from stratolith.functions import geometry as g
-from stratolith.operators import outlines, overlay, raster, segment, virtual
+from stratolith.operators import outlines, overlay, params, raster, segment, virtual
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -150,3 +150,10 @@ def test_from_an_area_to_parameters_and_segments(spark):
         commands.optimal_parameters_of_area(images, rasters, tiles, none, log.limit(0), "06", {"06": "CA"}, new())
     made = commands.segment_of_area(images, rasters, tiles, none, log, "06", {"06": "CA"}, new(), 2014, "a", new(), 2, 20.0, 5, iterations=3, tile=64).toPandas()
     assert made.nbpixels.sum() == 2 * 64 * 64 and (made.area > 90 * made.nbpixels).all() and set(made.year) == {2014}
+
+
+def test_no_parameters_of_too_few_pixels(spark):
+    two = frame(spark, np.array([[5, 6]]))
+    assert params.optimal_parameters(two).collect() == []
+    with pytest.raises(ValueError, match="too few pixels"):
+        commands.segment_optimal(two)
